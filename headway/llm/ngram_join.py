@@ -238,21 +238,22 @@ def _between(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of different components that share as many prefix tokens as both ask for and pass all bounds."""
     pos, n = F.shiftright("meta", 33), F.shiftright("meta", 3).bitwiseAND((1 << 30) - 1)
     named = tokens.join(labels, tokens.doc == labels.node, "left").select("token", "doc", "meta", F.coalesce("component", "doc").alias("component"))
-    before = (F.row_number().over(Window.partitionBy("doc").orderBy("meta", "token")) - 1).cast("long")
-    rows = saved(named.select("*", n.alias("n"), before.alias("shared")), "rows")
-    smallest = rows.groupBy("token").agg(F.min("n").alias("low"))
+    order = Window.partitionBy("doc").orderBy("meta", "token")
+    before, previous = (F.row_number().over(order) - 1).cast("long"), F.coalesce(F.lag("token").over(order), F.col("token"))
+    rows = saved(named.select("*", n.alias("n"), before.alias("shared"), previous.alias("previous")), "rows")
+    mixed = rows.groupBy("token").agg(F.min("n").alias("low"), F.min("component").alias("first"), F.max("component").alias("other")).where("first != other")
     own = pos - F.col("shared")  # its prefix tokens so far that no other prefix has
     need = F.greatest("low", F.floor((percent * F.col("n") + 99) / 100))
-    rows = rows.join(smallest, "token").where((100 + percent) * (F.col("n") - own) >= percent * (F.col("n") + need)).select("token", "doc", "meta", "component", "shared")
+    rows = rows.join(mixed, "token").where((100 + percent) * (F.col("n") - own) >= percent * (F.col("n") + need)).select("token", "doc", "meta", "component", "shared", "previous")
     rows = saved(rows, "bounded")
     mixed = rows.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("other"), F.count("*").alias("m")).where("first != other")
     blocks = F.floor((F.col("m") + TILE - 1) / TILE)
     rows = rows.join(mixed.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "meta", "component", "shared")
+    rows = rows.select("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "meta", "component", "shared", "previous")
 
     def pairs_of(t: np.ndarray) -> list[np.ndarray]:
-        i, j, block, doc, meta, component, shared = t[1:]
+        token, i, j, block, doc, meta, component, shared, previous = t
         if i[0] == j[0]:
             a, b = np.triu_indices(len(doc), 1)
         else:
@@ -261,12 +262,15 @@ def _between(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         ok = (component[a] != component[b]) & (doc[a] != doc[b])
         a, b = a[ok], b[ok]
         ok = _plausible(meta[a], meta[b], np.minimum(shared[a], shared[b]), percent)
-        a, b = a[ok], b[ok]
-        return [np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), np.minimum(meta[a] & 7, meta[b] & 7)]
+        asked = np.minimum(meta[a] & 7, meta[b] & 7)
+        # one match is enough for most pairs: if both came here from the same shared token, they met there
+        met = (previous[a] == previous[b]) & (previous[a] != token[a]) & (asked == 1)
+        a, b, asked = a[ok & ~met], b[ok & ~met], asked[ok & ~met]
+        return [np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((8, 0), np.int64)
-        last = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 8, list("abcdefgh"))
+        held = np.zeros((9, 0), np.int64)
+        last = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 9, list("abcdefghi"))
 
         def emitted(found: list[list[np.ndarray]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in range(3)], ["a", "b", "need"])
@@ -290,7 +294,7 @@ def _between(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need").select("a", "b")
 
 
-def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85, sketch_bits: int = 20) -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85, sketch_bits: int = 21) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document row: the size of its set of `words`-word shingles,
     and the smallest doc_id reachable by pairs with Jaccard similarity of at least percent / 100.
 
@@ -305,7 +309,7 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85,
     sizes = base.where("segment is null").select("doc_id", "n_shingles")
     sketch = docs.sparkSession.sparkContext.broadcast(_rarity(base.where("segment is not null").select("segment", "counts"), sketch_bits))
     index = saved(_pivots(_prefixes(docs, words, percent, sketch_bits, sketch), percent), "index")
-    tokens = index.where("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("doc"), "meta").distinct()
+    tokens = index.where("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("doc"), "meta")
     copies = index.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
     met = index.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("k"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
