@@ -26,12 +26,14 @@ def permuted(rows: DataFrame, column: str, n: int, seed: int) -> DataFrame:
     """rows with the column, which holds numbers in [0, n), replaced by their image under a permutation of [0, n).
 
     The permutation is a Feistel network on a domain a b just above n. Images of n or more are mapped
-    again until they are below n; the number of steps that takes at most is found from the fewer than
+    again until they are below n; how many steps that takes at most is found by walking the fewer than
     sqrt(n) + 1 numbers of the domain outside [0, n).
     """
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     b = max(1, -(-n // a))
-    steps, outside = 0, rows.sparkSession.range(n, a * b).select(F.col("id").alias("x"))
+    outside = rows.sparkSession.range(n, a * b).select(F.col("id").alias("x"))
+    # only those with no image from outside are ever reached from within; their walks end within
+    steps, outside = 0, saved(outside.join(_round(outside, a, b, seed).select(F.col("_y").alias("x")), "x", "left_anti"), "walk")
     while not outside.isEmpty():
         steps += 1
         outside = saved(_round(outside, a, b, seed).where(F.col("_y") >= n).select(F.col("_y").alias("x")), "walk")
