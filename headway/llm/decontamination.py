@@ -114,3 +114,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     hit = F.coalesce("f.n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("f.items", none)
     return out.select("r.doc_id", "r.text_key", "r.n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (hit > 0).alias("contaminated"))
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """documents without the rows that hold a benchmark window; all columns stay."""
+    hit = decontaminate(documents, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    return documents.join(hit, same, "left_anti")

@@ -320,3 +320,11 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85,
         labels = components(links.union(more))
     out = sizes.join(labels, sizes.doc_id == labels.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """documents with one row of each group of linked documents: that of the smallest doc_id. Rows without a doc_id stay, as nothing can name them."""
+    kept = ngram_jaccard_join(documents, words, percent).where("doc_id = component_id").select("doc_id").distinct()
+    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    return first.unionByName(documents.where("doc_id is null")).select(*documents.columns)

@@ -234,3 +234,17 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000)
     scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
+    """documents without the rows whose text scores one half or more; all columns stay. The weights are learned as in score_toxicity."""
+    terms, weights = train(documents, labels, sample)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexer = Lexer(terms)
+        for batch in batches:
+            z = np.array([features(t or "", lexer) for t in batch.column(at).to_pylist()]).reshape(-1, len(weights) - 1) @ weights[:-1] + weights[-1]
+            yield batch.filter(pa.array(z < 0))
+
+    return documents.mapInArrow(run, documents.schema)
