@@ -111,14 +111,19 @@ def _matches(text: Column, kind: str, pattern: str, base: bool) -> Column:
     return F.when(F.size(found) > 0, voted).otherwise(none)
 
 
-def candidates(text: Column, kind: str) -> Column:
-    """Base spans and those of the wider pattern that overlap none of them, by start."""
-    body = F.coalesce(text, F.lit(""))
-    base = _matches(body, kind, BASE[kind], True)
-    if kind not in WIDE:
-        return base
-    wide = F.filter(_matches(body, kind, WIDE[kind], False), lambda w: ~F.exists(base, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return F.array_sort(F.concat(base, wide))
+def with_candidates(documents: DataFrame) -> DataFrame:
+    """Adds for each kind a column _<kind>: base spans and those of the wider pattern that overlap none of them, by start."""
+    body = F.coalesce("text", F.lit(""))
+    based = documents.withColumns({f"_base_{k}": _matches(body, k, BASE[k], True) for k in KINDS})
+
+    def all_spans(kind: str) -> Column:
+        base = F.col(f"_base_{kind}")
+        if kind not in WIDE:
+            return base
+        wide = F.filter(_matches(body, kind, WIDE[kind], False), lambda w: ~F.exists(base, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+        return F.array_sort(F.concat(base, wide))
+
+    return based.withColumns({f"_{k}": all_spans(k) for k in KINDS}).drop(*[f"_base_{k}" for k in KINDS])
 
 
 def fit_votes(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -172,10 +177,10 @@ def _accepted(spans: Column, kind: str, scores: dict) -> Column:
 
 
 def learn(spans: DataFrame) -> dict:
-    """The span classifier's scores from a table with a column of candidates for each kind."""
+    """The span classifier's scores from a table with the candidates of each kind."""
     votes = None
     for kind in KINDS:
-        one = spans.select(F.explode(kind).alias("x")).select(F.lit(kind).alias("kind"), *[F.col(f"x.{c}") for c in LABELERS])
+        one = spans.select(F.explode(f"_{kind}").alias("x")).select(F.lit(kind).alias("kind"), *[F.col(f"x.{c}") for c in LABELERS])
         votes = one if votes is None else votes.union(one)
     counts = votes.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()
     return fit_votes(sorted((r.kind, tuple(r[c] for c in LABELERS), r.n) for r in counts))
@@ -185,6 +190,10 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["stop"].cast("string")))
 
 
+def _marked(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(f"<{kind.upper()}>").alias("mark")))
+
+
 def find_pii(documents: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for each document row.
 
@@ -192,20 +201,20 @@ def find_pii(documents: DataFrame) -> DataFrame:
     counts are those of the base spans. Null texts count as empty; null ids and repeated rows pass through;
     other columns are ignored; an empty table gives an empty result.
     """
-    text = F.col("text")
-    found = saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[candidates(text, k).alias(k) for k in KINDS]), "spans")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = saved(with_candidates(rows).drop("text"), "spans")
     scores = learn(found)
-    base = {k: F.filter(k, lambda x: x["base"]) for k in KINDS}
+    base = {k: F.filter(f"_{k}", lambda x: x["base"]) for k in KINDS}
     counts = [F.size(base[k]).cast("long").alias(f"n_{k}") for k in KINDS]
-    listed = F.concat(*[_named(k, base[k]) for k in KINDS]), F.concat(*[_named(k, _accepted(F.col(k), k, scores)) for k in KINDS])
+    listed = F.concat(*[_named(k, base[k]) for k in KINDS]), F.concat(*[_named(k, _accepted(F.col(f"_{k}"), k, scores)) for k in KINDS])
     return found.select("doc_id", *counts, listed[0].alias("base"), listed[1].alias("spans"))
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with each span of the text replaced by its kind in angle brackets; spans that overlap become one. Null texts stay null."""
     text, columns = F.col("text"), documents.columns
-    scores = learn(saved(documents.select(*[candidates(text, k).alias(k) for k in KINDS]), "spans"))
-    spans = F.array_sort(F.concat(*[F.transform(_accepted(candidates(text, k), k, scores), lambda x, k=k: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.lit(f"<{k.upper()}>").alias("mark"))) for k in KINDS]))
+    scores = learn(saved(with_candidates(documents.select("text")).drop("text"), "spans"))
+    spans = F.array_sort(F.concat(*[_marked(k, _accepted(F.col(f"_{k}"), k, scores)) for k in KINDS]))
 
     def step(acc: Column, x: Column) -> Column:
         apart = x["start"] >= acc["at"]
@@ -214,4 +223,4 @@ def redact(documents: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text)))
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return documents.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*columns)
+    return with_candidates(documents).withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(text)).select(*columns)
