@@ -26,7 +26,7 @@ def frames(observations: DataFrame, frame_seconds: int = FRAME_S, max_age_frames
     span = read.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).first()
     if span.lo is None:
         return read.select("station", "frame", F.col("read").alias("delay"), F.lit(False).alias("fresh"))
-    grid = read.select("station").distinct().select("station", F.explode(F.sequence(F.lit(span.lo), F.lit(span.hi))).alias("frame"))
+    grid = read.select("station").distinct().select("station", F.explode(F.sequence(F.lit(span.lo).cast("long"), F.lit(span.hi).cast("long"))).alias("frame"))
     past = Window.partitionBy("station").orderBy("frame")
     rows = grid.join(read, ["station", "frame"], "left")
     held, since = F.last("read", ignorenulls=True).over(past), F.last(F.when(F.col("read").isNotNull(), F.col("frame")), ignorenulls=True).over(past)

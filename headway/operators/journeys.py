@@ -50,13 +50,13 @@ def scan(queries: DataFrame, rides: DataFrame, transfers: DataFrame, rounds: int
         ride = near.join(rides.withColumnRenamed("arr", "at"), (near.station == rides.src) & (rides.dep >= near.arr))
         ride = label(ride.select("query_id", F.col("dst").alias("station"), F.col("at").alias("arr"), F.col("station").alias("prev"), F.lit(k - 1).alias("prev_k"), F.col("dep").alias("left")), k, "RIDE")
         ride = best_of(ride)
-        ride = saved(ride.join(best, ["query_id", "station"], "left").where("known is null or arr < known").drop("known"), "rides-taken")
+        ride = saved(ride.join(best, ["query_id", "station"], "left").where("known is null or arr < known").select(*labels.columns), "rides-taken")
         new = best_of(ride.union(walked(ride, k)))
-        frontier = saved(new.join(best, ["query_id", "station"], "left").where("known is null or arr < known").drop("known").select(*labels.columns), "frontier")
+        frontier = saved(new.join(best, ["query_id", "station"], "left").where("known is null or arr < known").select(*labels.columns), "frontier")
         if frontier.isEmpty():
             break
         # a station that a walk improved keeps its ride as well: walks start from rides
-        labels = saved(labels.union(frontier).union(ride.select(*labels.columns).join(frontier.where("kind = 'WALK'").select("query_id", "station"), ["query_id", "station"], "left_semi").select(*labels.columns)), "labels")
+        labels = saved(labels.union(frontier).union(ride.join(frontier.where("kind = 'WALK'").select("query_id", "station"), ["query_id", "station"], "left_semi").select(*labels.columns)), "labels")
         best = saved(labels.groupBy("query_id", "station").agg(F.min("arr").alias("known")), "best")
     return labels
 

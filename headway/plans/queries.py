@@ -1,4 +1,288 @@
-"""Registered rail queries and their oracle SQL."""
+"""Registered rail queries over the derived network, and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import boards, cascade, criticality, forecast, graph, journeys, network
+from ..sources import frames
+from . import derived as d
+
+HOUR = 3600
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.edges(d.calls(spark, sf_dir), d.RUN_DAYS, d.CAP, d.ORDER)
+
+
+def _dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.dwell(d.calls(spark, sf_dir), d.DWELL_DAYS, d.CAP, d.ORDER)
+
+
+def network_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+def network_dwell(spark, sf_dir):
+    return _dwell(spark, sf_dir)
+
+
+def station_rollup(spark, sf_dir):
+    """Calls and lines of each station."""
+    return d.calls(spark, sf_dir).groupBy("station").agg(F.count("*").alias("calls"), F.array_join(F.array_sort(F.collect_set("line")), ",").alias("lines"))
+
+
+def patterns(spark, sf_dir):
+    kinds, _ = network.patterns(d.calls(spark, sf_dir), d.ORDER)
+    return kinds.groupBy("line", "n_stops").agg(F.count("*").alias("patterns"), F.sum("n_trips").alias("trips"))
+
+
+def pattern_index(spark, sf_dir):
+    """Patterns through each station."""
+    _, times = network.patterns(d.calls(spark, sf_dir), d.ORDER)
+    return network.pattern_stops(times).groupBy("station").agg(F.countDistinct("pattern_id").alias("patterns"))
+
+
+def network_stats(spark, sf_dir):
+    return network.network_stats(d.nodes(spark, sf_dir), _edges(spark, sf_dir), d.transfers(spark, sf_dir))
+
+
+def network_matrix(spark, sf_dir):
+    edges, _ = network.matrix_view(_edges(spark, sf_dir), d.nodes(spark, sf_dir), d.nodes(spark, sf_dir).select("station", F.lit(0.0).alias("pagerank")), "v1")
+    return edges
+
+
+def seriation(spark, sf_dir):
+    """T14 with the line order as the pattern number."""
+    calls = d.calls(spark, sf_dir)
+    stops = calls.select(F.col("line").alias("pattern_id"), F.col("arr").alias("pos"), "station")
+    return network.seriation(stops, d.nodes(spark, sf_dir))
+
+
+def station_search(spark, sf_dir):
+    return network.search_stations(d.nodes(spark, sf_dir).select("station", "name"), "N_1", 20)
+
+
+def stop_map(spark, sf_dir):
+    s = d.table(spark, sf_dir, "supplier")
+    return network.stop_map(s.select(F.col("s_name").alias("stop_id"), F.col("s_nationkey").alias("station")))
+
+
+def normalize_positions(spark, sf_dir):
+    rows = frames.accepted(frames.normalize_positions(d.raw_frames(spark, sf_dir), d.stop_ids(spark, sf_dir), d.NOW_MS))
+    return rows.select("trip_id", "vehicle_id", "latitude", "longitude", "station_id", "delay_seconds", "event_time_ms")
+
+
+def dead_letters(spark, sf_dir):
+    return frames.dead_letters(frames.normalize_positions(d.raw_frames(spark, sf_dir), d.stop_ids(spark, sf_dir), d.NOW_MS), d.NOW_MS)
+
+
+def signalling_events(spark, sf_dir):
+    """Block reports by event type."""
+    e = d.events(spark, sf_dir)
+    body = F.concat(F.lit('{"tripRef":"'), "trip_id", F.lit('","tcId":"B'), F.col("station").cast("string"), F.lit('","occupancy":"'), F.when(F.col("event_type") == "click", "busy").when(F.col("event_type") == "view", "Free").when(F.col("event_type") == "signup", "fault").otherwise("odd"), F.lit('","ts":'), F.col("event_time_ms").cast("string"), F.lit("}"))
+    raw = e.select(F.lit("SIGNALLING").alias("kind"), body.alias("body"))
+    rows = frames.accepted(frames.normalize_signalling(raw, d.stop_ids(spark, sf_dir), d.NOW_MS))
+    return rows.groupBy("block_id", "block_state").agg(F.count("*").alias("n"), F.max("event_time_ms").alias("last_ms"))
+
+
+def incident_events(spark, sf_dir):
+    """Incidents of errors and purchases, with one line or an array of them."""
+    e = d.events(spark, sf_dir).where("event_type in ('error', 'purchase')")
+    lines = F.when(F.col("event_type") == "error", F.concat(F.lit('["L'), F.col("station").cast("string"), F.lit('","X"]'))).otherwise(F.concat(F.lit('"L'), F.col("station").cast("string"), F.lit('"')))
+    body = F.concat(F.lit('{"incidentType":"'), F.when(F.col("event_type") == "error", "signalling").otherwise("weather"), F.lit('","level":"high","lines":'), lines, F.lit(',"stations":[1,"x",'), F.col("station").cast("string"), F.lit("]}"))
+    rows = frames.accepted(frames.normalize_incidents(e.select(F.lit("INCIDENT").alias("kind"), body.alias("body")), d.NOW_MS))
+    return rows.groupBy("key", "category", "severity").agg(F.count("*").alias("n"), F.sum(F.size("impacted_station_ids")).cast("long").alias("stations"))
+
+
+def trip_partitions(spark, sf_dir):
+    """Each trip in one partition."""
+    e = d.events(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string"))
+    return frames.by_trip(e, 22).select("trip_id", F.spark_partition_id().alias("p")).groupBy("trip_id").agg(F.countDistinct("p").alias("partitions"), F.count("*").alias("events"))
+
+
+def _cascade(spark, sf_dir):
+    return cascade.residuals(d.sources(spark, sf_dir).join(d.nodes(spark, sf_dir).select("station"), "station", "left_semi"), cascade.absorbing_edges(_edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir)), 6)
+
+
+def cascade_residuals(spark, sf_dir):
+    return _cascade(spark, sf_dir)
+
+
+def cascade_summary(spark, sf_dir):
+    return _cascade(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("stations_hit"), F.max("residual").alias("peak_residual"), F.sum("residual").cast("long").alias("total_residual"))
+
+
+def cascade_labels(spark, sf_dir):
+    """G10 with hop and missed flag."""
+    return cascade.propagate(d.sources(spark, sf_dir), _edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir))
+
+
+def pagerank(spark, sf_dir):
+    return graph.pagerank(_edges(spark, sf_dir), d.nodes(spark, sf_dir), iterations=10).withColumn("pagerank", F.round("pagerank", 8))
+
+
+def pagerank_personalised(spark, sf_dir):
+    overrides = d.nodes(spark, sf_dir).select(F.lit("station").alias("target"), F.col("station").cast("string").alias("id"), (F.col("station") % 3 + 0.5).cast("double").alias("weight"))
+    nodes = d.nodes(spark, sf_dir)
+    return graph.pagerank(_edges(spark, sf_dir), nodes, graph.teleport(nodes, overrides), 10).withColumn("pagerank", F.round("pagerank", 8))
+
+
+def _weights(spark, sf_dir):
+    return graph.kernel_weights(graph.undirected(_edges(spark, sf_dir)), sigma=20.0)
+
+
+def kernel_weights(spark, sf_dir):
+    return _weights(spark, sf_dir).withColumn("w", F.round("w", 8))
+
+
+def laplacian(spark, sf_dir):
+    return graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)).withColumn("val", F.round("val", 8))
+
+
+def adjacency(spark, sf_dir):
+    return graph.renormalised_adjacency(_weights(spark, sf_dir), d.nodes(spark, sf_dir)).withColumn("val", F.round("val", 8))
+
+
+def scaled_laplacian(spark, sf_dir):
+    return graph.scaled_laplacian(graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)), 2.0).withColumn("val", F.round("val", 8))
+
+
+def lambda_max(spark, sf_dir):
+    lap = graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir))
+    return d.nodes(spark, sf_dir).agg(F.count("*").alias("stations")).withColumn("lambda_max", F.round(F.lit(graph.lambda_max(lap, d.nodes(spark, sf_dir), 12)), 8))
+
+
+def diffusion(spark, sf_dir):
+    return graph.diffusion(_edges(spark, sf_dir)).withColumn("val", F.round("val", 8))
+
+
+def cheb_features(spark, sf_dir):
+    signal = d.nodes(spark, sf_dir).select(F.lit(0).alias("frame"), "station", (F.col("station") % 5).cast("double").alias("x"))
+    scaled = graph.scaled_laplacian(graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)), 2.0)
+    return graph.chebyshev(scaled, signal, 3).withColumn("x", F.round("x", 6)).select("station", "k", "x")
+
+
+def _scored(spark, sf_dir):
+    ranks = d.nodes(spark, sf_dir).select("station", (1.0 / (F.col("station") + 1)).alias("pagerank"))
+    joined = criticality.window_join(d.cascade_side(spark, sf_dir), d.prediction_side(spark, sf_dir), d.WINDOW)
+    return criticality.score(joined, ranks)
+
+
+def criticality_join(spark, sf_dir):
+    return criticality.window_join(d.cascade_side(spark, sf_dir), d.prediction_side(spark, sf_dir), d.WINDOW).select("station", "cascade_id", "prediction_id", "lag_ms")
+
+
+def criticality_interval(spark, sf_dir):
+    out = criticality.interval_join(d.cascade_side(spark, sf_dir), d.prediction_side(spark, sf_dir), d.WINDOW)
+    return out.groupBy("station").agg(F.count("prediction_id").alias("pairs"), F.sum((F.col("lag_ms") < 0).cast("int")).cast("long").alias("alone"), F.sum("lag_ms").alias("lag_ms"))
+
+
+def criticality_latest(spark, sf_dir):
+    return criticality.latest_scores(_scored(spark, sf_dir)).select("station", "cascade_id", F.round("total", 6).alias("total"))
+
+
+def criticality_events(spark, sf_dir):
+    out = criticality.criticality_events(_scored(spark, sf_dir), d.nodes(spark, sf_dir), "v1", d.NOW_MS)
+    return out.groupBy("station_id", "station_name", "prediction_joined").agg(F.count("*").alias("n"), F.round(F.sum("score.total"), 4).alias("total"))
+
+
+def criticality_top(spark, sf_dir):
+    """The minimum slice: network, cascade, score, top-k. Delays are in days here, so they are not divided by 60."""
+    hit = _cascade(spark, sf_dir).groupBy("station").agg(F.max("residual").alias("delay")).withColumns({"missed": F.lit(False), "escalation": F.lit(0.0)})
+    ranks = d.nodes(spark, sf_dir).select("station", F.lit(1.0).alias("pagerank"))
+    return criticality.top_stations(criticality.score(hit, ranks, gain=0.0, divisor=1.0), 10).select("station", "total")
+
+
+def topk_decisions(spark, sf_dir):
+    out = criticality.topk_decisions(_scored(spark, sf_dir), 3, "station")
+    return out.select("station", F.array_join(F.transform("decisions", lambda x: x["cascade_id"]), ",").alias("cascades"))
+
+
+def latest_observation(spark, sf_dir):
+    return forecast.latest_observation(d.observations(spark, sf_dir), 25)
+
+
+def _frames(spark, sf_dir):
+    return forecast.frames(d.observations(spark, sf_dir), HOUR)
+
+
+def frames_resampled(spark, sf_dir):
+    return _frames(spark, sf_dir).select("station", "frame", "delay")
+
+
+def rolling_history(spark, sf_dir):
+    rows = forecast.rolling_history(_frames(spark, sf_dir))
+    return rows.select("station", "frame", "seen", F.size("history").alias("frames"), F.round(F.aggregate("history", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+def escalation(spark, sf_dir):
+    rows = forecast.escalation(forecast.rolling_history(_frames(spark, sf_dir)))
+    return rows.select("station", "frame", F.round("forecast", 6).alias("forecast"), F.round("escalation_ratio", 6).alias("escalation_ratio"), F.round(F.col("quantiles")[1]["delay_seconds"], 6).alias("p90"))
+
+
+def prediction_events(spark, sf_dir):
+    rows = forecast.escalation(forecast.rolling_history(_frames(spark, sf_dir))).withColumns({"trip_id": F.lit(None).cast("string"), "event_time_ms": F.col("frame") * HOUR * 1000})
+    out = forecast.prediction_events(rows, d.NOW_MS, "heuristic", "v1")
+    return out.groupBy("trip_id", "station_id").agg(F.count("*").alias("n"), F.max("event_time_ms").alias("last_ms"))
+
+
+def supervised_windows(spark, sf_dir):
+    rows = forecast.supervised_windows(_frames(spark, sf_dir), steps=3)
+    return rows.select("station", "frame", F.round(F.col("x")[11], 6).alias("now"), F.round("y", 6).alias("y"))
+
+
+def forecast_losses(spark, sf_dir):
+    rows = forecast.supervised_windows(_frames(spark, sf_dir), steps=3).withColumn("prediction", F.col("x")[11] * 0.1)
+    return forecast.losses(rows).select(*[F.round(c, 6).alias(c) for c in ("mse", "mae_seconds", "pinball", "loss")])
+
+
+def residual_forecast(spark, sf_dir):
+    """a linear model over the history, trained on four fifths of the windows; its losses on the rest."""
+    rows = forecast.supervised_windows(_frames(spark, sf_dir), steps=3)
+    names = [f"h{k}" for k in range(12)]
+    rows = rows.select("station", "frame", "y", *[F.col("x")[k].alias(f"h{k}") for k in range(12)])
+    training, held = forecast.split(rows)
+    return forecast.losses(forecast.predict_residuals(forecast.fit_residuals(training, names), held, names))
+
+
+def delay_percentiles(spark, sf_dir):
+    return forecast.rank_percentiles(d.events(spark, sf_dir), "value", keys=("event_type",))
+
+
+def _times(spark, sf_dir):
+    return network.patterns(d.calls(spark, sf_dir), d.ORDER)
+
+
+def journey_frontier(spark, sf_dir):
+    return journeys.plan(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir), 3)
+
+
+def journey_paths(spark, sf_dir):
+    return journeys.paths(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir), 3)
+
+
+def departure_board(spark, sf_dir):
+    kinds, times = _times(spark, sf_dir)
+    return boards.departures(times, kinds, 1000, 400, 5)
+
+
+def display_messages(spark, sf_dir):
+    kinds, times = _times(spark, sf_dir)
+    return boards.display_messages(boards.departures(times, kinds, 1000, 400, 5), d.nodes(spark, sf_dir), "2024-01-15")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        network_edges, network_dwell, station_rollup, patterns, pattern_index, network_stats, network_matrix, seriation, station_search, stop_map,
+        normalize_positions, dead_letters, signalling_events, incident_events, trip_partitions,
+        cascade_residuals, cascade_summary, cascade_labels, pagerank, pagerank_personalised, kernel_weights, laplacian, adjacency, scaled_laplacian, lambda_max, diffusion, cheb_features,
+        criticality_join, criticality_interval, criticality_latest, criticality_events, criticality_top, topk_decisions,
+        latest_observation, frames_resampled, rolling_history, escalation, prediction_events, supervised_windows, forecast_losses, residual_forecast, delay_percentiles,
+        journey_frontier, journey_paths, departure_board, display_messages,
+    )
+}
+
+from .oracles import ORACLES  # noqa: E402, F401
