@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .storage import saved
 from .tokens import byte_encoder
 
-GROUP = 1024
+GROUP = 512
 WINDOWS = 1 << 20
 
 
@@ -80,7 +80,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for) of sequences of at most capacity ids.
 
     A document's pieces of full capacity are sequences of their own. The rests are spread at random over
-    groups of about 1,024 and each group is differenced into near-equal windows; no row sees more than its group.
+    groups of about 512 and each group is differenced into near-equal windows; no row sees more than its group.
     Null texts are empty documents: one piece with the end id. Repeated rows and null ids are packed like
     others; other columns are ignored; an empty table gives an empty result.
     """
