@@ -32,6 +32,7 @@ SEGMENTS = 64
 MOST_MATCHES = 4
 HOT = 20_000
 TILE = 1024
+STRIP = 256
 FILTER_BITS = 23
 
 
@@ -48,16 +49,40 @@ def _size(meta):
     return (meta >> 3) & ((1 << 30) - 1)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for less memory at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            yield batch.slice(k, 1000)
+
+
+def _outline(items: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of 64 bins, a byte each; None if one does not fit. Two sets share no more than the sum of the smaller counts."""
+    bins = np.bincount((items >> _U(20)).astype(np.int64) & 63, minlength=64)
+    return bins.astype(np.uint8).tobytes() if bins.max() < 256 else None
+
+
+def _outlines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of each row, and whether it has any."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    rows = column.fill_null(bytes(64)).to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 64), known
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64)
+
+
 def sizes_and_sketch(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """A row (doc_id, n_shingles) for each document, and rows (segment, counts) with each task's part of the sketch."""
+    """A row (doc_id, n_shingles, counts: its outline) for each document, and rows (segment, counts) with each task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << bits, np.int32)
-        for batch in batches:
+        for batch in _cut(batches):
             found = [s for _, s in sets_of(batch.column(1), words)]
             sketch += np.bincount((np.concatenate(found or [np.zeros(0, _U)]) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
             n = len(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n_shingles", "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.nulls(n, pa.int32()), pa.array([_outline(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "segment", "counts"])
         for k, part in enumerate(np.split(sketch, SEGMENTS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["doc_id", "n_shingles", "segment", "counts"])
@@ -103,7 +128,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, bits: int, sketch) -> D
         counts = sketch.value
         noise = int(np.median(counts))
         met: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in _cut(batches):
             ids, token, doc, meta, salt, copies = batch.column(0).to_pylist(), [], [], [], [], []
             for row, found in sets_of(batch.column(1), words):
                 me, n = ids[row], len(found)
@@ -205,6 +230,21 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(_U)) >> _U(64 - bits)).astype(np.int64)
 
 
+def _conceivable(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose outlines leave the threshold within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (p, p_known), (q, q_known) = _outlines(batch.column("p")), _outlines(batch.column("q"))
+            total = p.sum(axis=1, dtype=np.int64) + q.sum(axis=1, dtype=np.int64)
+            keep = ~(p_known & q_known) | ((100 + percent) * _overlap(p, q) >= percent * total)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    one = pairs.join(outlines.select(F.col("doc").alias("a"), F.col("outline").alias("p")), "a")
+    two = one.join(outlines.select(F.col("doc").alias("b"), F.col("outline").alias("q")), "b").select("a", "b", "p", "q")
+    return two.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold. Only documents of pairs have their sets made again."""
     pairs = saved(pairs, "pairs")
@@ -234,7 +274,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return two.mapInArrow(alike, "a long, b long")
 
 
-def _between(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _between(tokens: DataFrame, labels: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents of different components that share as many prefix tokens as both ask for and pass all bounds."""
     pos, n = F.shiftright("meta", 33), F.shiftright("meta", 3).bitwiseAND((1 << 30) - 1)
     named = tokens.join(labels, tokens.doc == labels.node, "left").select("token", "doc", "meta", F.coalesce("component", "doc").alias("component"))
@@ -245,50 +285,55 @@ def _between(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     own = pos - F.col("shared")  # its prefix tokens so far that no other prefix has
     need = F.greatest("low", F.floor((percent * F.col("n") + 99) / 100))
     rows = rows.join(mixed, "token").where((100 + percent) * (F.col("n") - own) >= percent * (F.col("n") + need)).select("token", "doc", "meta", "component", "shared", "previous")
-    rows = saved(rows, "bounded")
+    rows = saved(rows.join(outlines, "doc"), "bounded")
     mixed = rows.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("other"), F.count("*").alias("m")).where("first != other")
     blocks = F.floor((F.col("m") + TILE - 1) / TILE)
     rows = rows.join(mixed.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "meta", "component", "shared", "previous")
+    rows = rows.select("token", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "doc", "meta", "component", "shared", "previous", "outline")
 
-    def pairs_of(t: np.ndarray) -> list[np.ndarray]:
+    def pairs_of(t: np.ndarray, bins: np.ndarray, known: np.ndarray) -> Iterator[list[np.ndarray]]:
         token, i, j, block, doc, meta, component, shared, previous = t
-        if i[0] == j[0]:
-            a, b = np.triu_indices(len(doc), 1)
-        else:
-            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-            a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        ok = (component[a] != component[b]) & (doc[a] != doc[b])
-        a, b = a[ok], b[ok]
-        ok = _plausible(meta[a], meta[b], np.minimum(shared[a], shared[b]), percent)
-        asked = np.minimum(meta[a] & 7, meta[b] & 7)
-        # one match is enough for most pairs: if both came here from the same shared token, they met there
-        met = (previous[a] == previous[b]) & (previous[a] != token[a]) & (asked == 1)
-        a, b, asked = a[ok & ~met], b[ok & ~met], asked[ok & ~met]
-        return [np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), asked]
+        own = i[0] == j[0]
+        left, right = (np.arange(len(doc)),) * 2 if own else (np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0]))
+        for k in range(0, len(left), STRIP):
+            a, b = np.meshgrid(left[k : k + STRIP], right, indexing="ij")
+            ok = component[a] != component[b]
+            a, b = (a[ok & (a < b)], b[ok & (a < b)]) if own else (a[ok], b[ok])
+            ok = (doc[a] != doc[b]) & _plausible(meta[a], meta[b], np.minimum(shared[a], shared[b]), percent)
+            a, b = a[ok], b[ok]
+            asked = np.minimum(meta[a] & 7, meta[b] & 7)
+            # one match is enough for most pairs: if both came here from the same shared token, they met there
+            met = (previous[a] == previous[b]) & (previous[a] != token[a]) & (asked == 1)
+            a, b, asked = a[~met], b[~met], asked[~met]
+            ok = ~(known[a] & known[b]) | ((100 + percent) * _overlap(bins[a], bins[b]) >= percent * (_size(meta[a]) + _size(meta[b])))
+            a, b, asked = a[ok], b[ok], asked[ok]
+            yield [np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((9, 0), np.int64)
-        last = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 9, list("abcdefghi"))
+        held, bins, known = np.zeros((9, 0), np.int64), np.zeros((0, 64), np.uint8), np.zeros(0, bool)
 
         def emitted(found: list[list[np.ndarray]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in found])) for k in range(3)], ["a", "b", "need"])
 
-        for batch in (x for source in (batches, [last]) for x in source):
-            t = np.hstack([held, np.vstack([c.to_numpy(zero_copy_only=False) for c in batch.columns])]) if batch.num_rows else held
-            ends = np.flatnonzero((t[:3, 1:] != t[:3, :-1]).any(axis=0)) + 1
-            cuts = [0, *ends.tolist()] + ([t.shape[1]] if batch is last and t.shape[1] else [])
+        for batch in (x for source in (batches, [None]) for x in source):
+            if batch is not None:
+                more, more_known = _outlines(batch.column(9))
+                held = np.hstack([held, np.vstack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(9)])])
+                bins, known = np.vstack([bins, more]), np.r_[known, more_known]
+            ends = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
+            cuts = [0, *ends.tolist()] + ([held.shape[1]] if batch is None and held.shape[1] else [])
             found, size = [], 0
             for k in range(len(cuts) - 1):
-                found.append(pairs_of(t[:, cuts[k] : cuts[k + 1]]))
-                size += len(found[-1][0])
+                for part in pairs_of(held[:, cuts[k] : cuts[k + 1]], bins[cuts[k] : cuts[k + 1]], known[cuts[k] : cuts[k + 1]]):
+                    found.append(part)
+                    size += len(part[0])
                 if size > 100_000:
                     yield emitted(found)
                     found, size = [], 0
             if found:
                 yield emitted(found)
-            held = t[:, cuts[-1] :]
+            held, bins, known = held[:, cuts[-1] :], bins[cuts[-1] :], known[cuts[-1] :]
 
     found = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long, need long")
     return found.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need").select("a", "b")
@@ -307,15 +352,16 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85,
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = saved(sizes_and_sketch(docs, words, sketch_bits), "base")
     sizes = base.where("segment is null").select("doc_id", "n_shingles")
+    outlines = base.where("segment is null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("counts").alias("outline"))
     sketch = docs.sparkSession.sparkContext.broadcast(_rarity(base.where("segment is not null").select("segment", "counts"), sketch_bits))
     index = saved(_pivots(_prefixes(docs, words, percent, sketch_bits, sketch), percent), "index")
     tokens = index.where("kind = 0").select(F.col("x").alias("token"), F.col("y").alias("doc"), "meta")
     copies = index.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
     met = index.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("k"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
-    links = saved(_verified(best, docs, words, percent).union(copies), "links")
+    links = saved(_verified(_conceivable(best, outlines, percent), docs, words, percent).union(copies), "links")
     labels = components(links)
-    more = saved(_verified(_between(tokens, labels, percent), docs, words, percent), "more")
+    more = saved(_verified(_between(tokens, labels, outlines, percent), docs, words, percent), "more")
     if not more.isEmpty():
         labels = components(links.union(more))
     out = sizes.join(labels, sizes.doc_id == labels.node, "left")
