@@ -161,11 +161,11 @@ def _terms_of(text: str) -> Iterator[tuple[str, str]]:
 def learn_terms(training: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
     """Words and word beginnings of toxic texts, with weights from their log odds.
 
-    A term must occur in a hundredth of the toxic texts at least, with as many different neighbours:
-    near copies repeat a chance word with the same neighbours.
+    A term must occur in four toxic texts and in one of 250, and three times out of four with neighbours of its
+    own: near copies repeat a chance word with the same neighbours.
     """
     n_clean, n_toxic = (training.where(F.col("toxic") == k).count() for k in (0, 1))
-    least = max(2, -(-n_toxic // 100))
+    least = max(4, -(-n_toxic // 250))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -180,7 +180,7 @@ def learn_terms(training: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     counts = training.select("text", "toxic").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     likely = counts.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("toxic"), "term").limit(most)
-    likely = {r.term: r.odds for r in likely.collect()}
+    likely = {r.term: (r.odds, r.toxic) for r in likely.collect()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,29 +188,33 @@ def learn_terms(training: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["term", "around"])
 
-    wide = training.where("toxic = 1").select("text").mapInArrow(spread, "term string, around string").groupBy("term").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= 2 * least)
-    return {r.term: min(2.0, likely[r.term] / 3) for r in wide.collect()}
+    wide = training.where("toxic = 1").select("text").mapInArrow(spread, "term string, around string").groupBy("term").agg(F.countDistinct("around").alias("n"))
+    return {r.term: min(2.0, likely[r.term][0] / 3) for r in wide.collect() if r.n >= max(least, 0.75 * likely[r.term][1])}
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[dict[str, float], np.ndarray]:
-    """Lexicon and weights from at most `sample` toxic and `sample` clean labelled texts, the first by a hash of their doc_id."""
+    """Lexicon and weights from at most `sample` toxic and three times as many clean labelled texts, the first by a hash of their doc_id.
+
+    The weights are fitted on half of the texts, with a lexicon learned from the other half, so that they do
+    not trust chance terms; the lexicon that is returned is learned from all.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for k in (0, 1):
-        part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample if k else 3 * sample)
         chosen = part if chosen is None else chosen.union(part)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    training = saved(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "training")
-    terms = learn_terms(training)
+    training = saved(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("half")), "training")
+    terms, half_terms = learn_terms(training), learn_terms(training.where("half"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexer = Lexer(terms)
+        lexer = Lexer(half_terms)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t, lexer) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = training.select("text", "toxic").mapInArrow(run, "x array<double>, y int").orderBy("x", "y").limit(4 * sample).collect()
-    if not rows:
+    rows = training.where("not half").select("text", "toxic").mapInArrow(run, "x array<double>, y int").orderBy("x", "y").limit(4 * sample).collect()
+    if len({r.y for r in rows}) < 2:
         return terms, np.array([1.0, 1.5, 2.0, 0.1, 0.1, 0.5, 0.5, 1.0, -3.0])
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
     return terms, fit_weights(x, y)
