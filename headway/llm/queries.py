@@ -9,6 +9,7 @@ from .decontamination import decontaminate
 from .html_text import extract_main_text
 from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_join
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack
 from .pii import find_pii
 from .sharding import shard
@@ -86,4 +87,4 @@ QUERIES = {
         op10_ngram_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {}
+
