@@ -96,10 +96,10 @@ ORACLES = {
     "pagerank": _ranks("SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t FROM nodes"),
     "pagerank_personalised": _ranks("SELECT station, (station % 3 + 0.5)::DOUBLE / (SELECT sum(station % 3 + 0.5)::DOUBLE FROM nodes) AS t FROM nodes"),
     "kernel_weights": f"{W} SELECT a, b, round(w, 8) AS w FROM weights",
-    "laplacian": f'{W} SELECT "row", col, round(val, 8) AS val FROM lap',
+    "laplacian": f'{W} SELECT "row", col, CASE WHEN round(val, 8) = 0 THEN 0.0 ELSE round(val, 8) END AS val FROM lap',
     "adjacency": f"""{W}, own AS (SELECT * FROM sym UNION ALL SELECT station, station, 1.0 FROM nodes), od AS (SELECT r, sum(w) AS d FROM own GROUP BY r)
       SELECT o.r AS "row", o.c AS col, round(w / sqrt(x.d * y.d), 8) AS val FROM own o JOIN od x ON x.r = o.r JOIN od y ON y.r = o.c""",
-    "scaled_laplacian": f'{W} SELECT "row", col, round(val, 8) AS val FROM scaled',
+    "scaled_laplacian": f'{W} SELECT "row", col, CASE WHEN round(val, 8) = 0 THEN 0.0 ELSE round(val, 8) END AS val FROM scaled',
     "diffusion": f"WITH {CALLS} SELECT src AS \"row\", dst AS col, round(1.0 / count(*) OVER (PARTITION BY src), 8) AS val FROM (SELECT DISTINCT src, dst FROM edges)",
     "cheb_features": f"""{W}, t0 AS (SELECT station, (station % 5)::DOUBLE AS x FROM nodes), t1 AS (SELECT "row" AS station, sum(val * x) AS x FROM scaled JOIN t0 ON station = col GROUP BY ALL),
       t2 AS (SELECT s.station, 2 * s.x - t0.x AS x FROM (SELECT "row" AS station, sum(val * x) AS x FROM scaled JOIN t1 ON station = col GROUP BY ALL) s JOIN t0 USING (station))

@@ -137,8 +137,14 @@ def kernel_weights(spark, sf_dir):
     return _weights(spark, sf_dir).withColumn("w", F.round("w", 8))
 
 
+def _rounded(entries: DataFrame) -> DataFrame:
+    """Values to 8 decimals, without a negative zero."""
+    val = F.round("val", 8)
+    return entries.withColumn("val", F.when(val == 0, 0.0).otherwise(val))
+
+
 def laplacian(spark, sf_dir):
-    return graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)).withColumn("val", F.round("val", 8))
+    return _rounded(graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)))
 
 
 def adjacency(spark, sf_dir):
@@ -146,7 +152,7 @@ def adjacency(spark, sf_dir):
 
 
 def scaled_laplacian(spark, sf_dir):
-    return graph.scaled_laplacian(graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)), 2.0).withColumn("val", F.round("val", 8))
+    return _rounded(graph.scaled_laplacian(graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir)), 2.0))
 
 
 def lambda_max(spark, sf_dir):
