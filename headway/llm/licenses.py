@@ -1,7 +1,7 @@
 """Licence scans by sentence-rule recognition, in SQL functions only.
 
-Texts are cut into sentences, normalised and looked up in a table of known licence sentences. The
-identifiers found in a document, in order, are matched against ordered rules, each a sequence of
+Texts are cut at sentence ends, colons and line ends, normalised, and runs of pieces looked up in a table
+of known licence sentences. The identifiers found in a document, in order, are matched against ordered rules, each a sequence of
 identifiers that must follow each other with no other known sentence between.
 """
 
@@ -51,25 +51,44 @@ RULES = {
     "CC-BY-SA-4.0": [["cc-by-sa"]],
 }
 BREAK = r"[.!?;](?=\s|$)|\n+"
-LONGEST = 600
+# A known sentence may also end or begin at a colon that no small letter follows; it does not count as a place.
+COLON = r":(?=\s+[^\s\p{Ll}]|\s*$)"
+CUE = r"licen[cs]e|permission|copyright|warranty|redistribution|rights[^\p{L}\p{N}]+reserved"
+# Places are written into the words between these two.
+OPEN, CLOSE = "\x01", "\x02"
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def _known_pattern() -> str:
+    """A known sentence from a break to a break, the longest first; between its words there may be breaks, as texts are wrapped."""
+    place = rf"{OPEN}\d+{CLOSE}"
+    ways = "|".join(words.replace(" ", f"(?: |{place})") for words in sorted(SENTENCES.values(), key=len, reverse=True))
+    return f"{place}(?:{ways})(?={OPEN}|$)"
+
+
 def _matched(sequence: Column, rule: list[str]) -> Column:
     return F.contains(F.concat(F.lit(" "), sequence, F.lit(" ")), F.lit(f" {' '.join(rule)} "))
 
 
 def known_sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_key, place, sentence) of every licence sentence in a document; place is its number among the document's sentences."""
+    """(doc_id, text_key, place, sentence) of every licence sentence in a document; place is the number of the piece between breaks that it begins in.
+
+    A sentence may be wrapped over any number of lines. Of overlapping ones the first, then the longest counts.
+    """
     spark = documents.sparkSession
     table = spark.createDataFrame([(k, v) for k, v in SENTENCES.items()], "sentence string, words string")
-    cue = F.coalesce(F.lower("text").rlike("licen[cs]e|permission|copyright|warranty|redistribution|free software|rights reserved"), F.lit(False))
-    cut = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split(F.when(cue, F.col("text")), BREAK, -1)).alias("place", "raw"))
-    short = cut.where(F.char_length("raw").between(3, LONGEST)).select("doc_id", "text_key", "place", normalised(F.col("raw")).alias("words"))
-    return short.join(F.broadcast(table), "words").select("doc_id", "text_key", "place", "sentence")
+    cue = F.coalesce(F.lower("text").rlike(CUE), F.lit(False))
+    numbered = F.transform(F.split(F.when(cue, F.col("text")), BREAK, -1), lambda x, i: F.transform(F.split(x, COLON, -1), lambda y: F.struct(i.alias("place"), normalised(y).alias("words"))))
+    pieces = F.filter(F.flatten(numbered), lambda x: x["words"] != "")
+    marked = F.array_join(F.transform(pieces, lambda x: F.concat(F.lit(OPEN), x["place"].cast("string"), F.lit(CLOSE), x["words"])), "")
+    found = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.regexp_extract_all(marked, F.lit(_known_pattern()), F.lit(0))).alias("m"))
+    place = F.regexp_extract("m", rf"^{OPEN}(\d+){CLOSE}", 1).cast("int")
+    words = F.trim(F.regexp_replace("m", rf"{OPEN}\d+{CLOSE}", " "))
+    found = found.select("doc_id", "text_key", place.alias("place"), words.alias("words"))
+    return found.join(F.broadcast(table), "words").select("doc_id", "text_key", "place", "sentence")
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:

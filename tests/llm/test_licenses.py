@@ -21,3 +21,49 @@ def test_scan(spark):
     assert {k: v.licenses for k, v in got.items()} == {1: "MIT", 2: "MIT", 3: "", 4: "Apache-2.0", 5: "Apache-2.0,CC-BY-NC-4.0", 9: "GPL-3.0", None: ""}
     assert got[2].sentences == "mit-grant mit-notice" and got[1].first_place == 2 and got[9].n_sentences == 3000
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """All rights
+reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. more"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See more."""
+
+
+def test_wrapped_texts(spark):
+    squeezed = " ".join(MIT.split("Somebody")[1].split())
+    padded = MIT.replace("\n", "\n" + " " * 100)
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    texts = [MIT, BSD, GPL, squeezed, padded, "All rights\nreserved", mpl, "This project is\nlicensed under the MIT License", "MIT License\nCopyright 2020", " ".join(BSD.split())]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {k: v.sentences for k, v in got.items()} == {
+        0: "mit-head mit-grant mit-notice as-is", 1: "all-rights bsd-grant", 2: "gpl-free gpl-hope", 3: "mit-grant mit-notice as-is",
+        4: "mit-head mit-grant mit-notice as-is", 5: "all-rights", 6: "mpl-form", 7: "mit-name-3", 8: "mit-head", 9: "all-rights bsd-grant",
+    }
+    assert [got[k].licenses for k in range(10)] == ["MIT", "BSD", "GPL-3.0", "MIT", "MIT", "", "MPL-2.0", "MIT", "", "BSD"]
