@@ -16,8 +16,27 @@ def absorbing_edges(edges: DataFrame, dwell: DataFrame, transfers: DataFrame) ->
     return run.union(walk).groupBy("src", "dst", "running").agg(F.min("absorb").alias("absorb"))
 
 
+def _kinds(sources: DataFrame) -> DataFrame:
+    """sources with the same station and delay as one source, saved."""
+    return saved(sources.select("station", "delay").distinct().withColumn("source_id", F.concat_ws("@", "station", "delay")), "kinds")
+
+
+def _each(sources: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for each of _kinds, for every source."""
+    return sources.withColumn("kind", F.concat_ws("@", "station", "delay")).select("source_id", "kind").join(found.withColumnRenamed("source_id", "kind"), "kind").drop("kind")
+
+
 def residuals(sources: DataFrame, ways: DataFrame, max_hops: int = 128) -> DataFrame:
-    """(source_id, station, residual): the largest residual delay at each station reached.
+    """(source_id, station, residual): the largest residual delay at each station reached; a source_id has one row of sources.
+
+    Sources with the same station and delay are spread once and joined back.
+    """
+    sources = sources.where("delay > 0")
+    return _each(sources, _spread(_kinds(sources), ways, max_hops))
+
+
+def _spread(sources: DataFrame, ways: DataFrame, max_hops: int) -> DataFrame:
+    """(source_id, station, residual) of each source of _kinds.
 
     All sources advance together, one join a round. Only rows that improved in the last round are
     expanded; each round is written to shared storage; it stops when nothing improves.
@@ -63,10 +82,9 @@ def propagate(sources: DataFrame, edges: DataFrame, dwell: DataFrame, transfers:
     ways = saved(absorbing_edges(edges, dwell, transfers), "ways")
     known = ways.select(F.col("src").alias("station")).union(ways.select("dst")).distinct()
     sources = sources.join(small(known), "station", "left_semi").where("delay > 0")
-    kinds = saved(sources.select("station", "delay").distinct().withColumn("source_id", F.concat_ws("@", "station", "delay")), "kinds")
+    kinds = _kinds(sources)
     ranks = ranks if ranks is not None else known.select("station", F.lit(0.0).alias("pagerank"))
-    found = labelled(residuals(kinds, ways, max_hops), kinds, ways, ranks).withColumnRenamed("source_id", "kind")
-    return sources.withColumn("kind", F.concat_ws("@", "station", "delay")).select("source_id", "kind").join(found, "kind").drop("kind")
+    return _each(sources, labelled(_spread(kinds, ways, max_hops), kinds, ways, ranks))
 
 
 def cascade_summary(cascades: DataFrame, n_stations: int) -> DataFrame:

@@ -47,9 +47,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, station, delay): the worst late event of each station."""
-    late = events(spark, sf_dir).where("value > 200").groupBy("station").agg(F.floor(F.max("value") + 0.5).cast("int").alias("delay"))
-    return late.select(F.concat(F.lit("S"), F.col("station").cast("string")).alias("source_id"), "station", "delay")
+    """(source_id, station, delay): every late event, its delay rounded half up."""
+    late = events(spark, sf_dir).withColumn("delay", F.floor(F.col("value") + 0.5).cast("int")).where("delay > 0")
+    return late.select(F.concat(F.lit("S"), F.col("event_id").cast("string")).alias("source_id"), "station", "delay")
 
 
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
