@@ -103,7 +103,7 @@ def trip_partitions(spark, sf_dir):
 
 
 def _cascade(spark, sf_dir):
-    return cascade.residuals(d.sources(spark, sf_dir).join(d.nodes(spark, sf_dir).select("station"), "station", "left_semi"), cascade.absorbing_edges(_edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir)), 6)
+    return cascade.residuals(d.sources(spark, sf_dir).join(d.nodes(spark, sf_dir).select("station"), "station", "left_semi"), cascade.absorbing_edges(_edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir)))
 
 
 def cascade_residuals(spark, sf_dir):
@@ -120,13 +120,13 @@ def cascade_labels(spark, sf_dir):
 
 
 def pagerank(spark, sf_dir):
-    return graph.pagerank(_edges(spark, sf_dir), d.nodes(spark, sf_dir), iterations=10).withColumn("pagerank", F.round("pagerank", 8))
+    return graph.pagerank(_edges(spark, sf_dir), d.nodes(spark, sf_dir)).withColumn("pagerank", F.round("pagerank", 8))
 
 
 def pagerank_personalised(spark, sf_dir):
     overrides = d.nodes(spark, sf_dir).select(F.lit("station").alias("target"), F.col("station").cast("string").alias("id"), (F.col("station") % 3 + 0.5).cast("double").alias("weight"))
     nodes = d.nodes(spark, sf_dir)
-    return graph.pagerank(_edges(spark, sf_dir), nodes, graph.teleport(nodes, overrides), 10).withColumn("pagerank", F.round("pagerank", 8))
+    return graph.pagerank(_edges(spark, sf_dir), nodes, graph.teleport(nodes, overrides)).withColumn("pagerank", F.round("pagerank", 8))
 
 
 def _weights(spark, sf_dir):
@@ -157,7 +157,7 @@ def scaled_laplacian(spark, sf_dir):
 
 def lambda_max(spark, sf_dir):
     lap = graph.laplacian(_weights(spark, sf_dir), d.nodes(spark, sf_dir))
-    return d.nodes(spark, sf_dir).agg(F.count("*").alias("stations")).withColumn("lambda_max", F.round(F.lit(graph.lambda_max(lap, d.nodes(spark, sf_dir), 12)), 8))
+    return d.nodes(spark, sf_dir).agg(F.count("*").alias("stations")).withColumn("lambda_max", F.round(F.lit(graph.lambda_max(lap, d.nodes(spark, sf_dir))), 8))
 
 
 def diffusion(spark, sf_dir):
@@ -262,11 +262,11 @@ def _times(spark, sf_dir):
 
 
 def journey_frontier(spark, sf_dir):
-    return journeys.plan(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir), 3)
+    return journeys.plan(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir))
 
 
 def journey_paths(spark, sf_dir):
-    return journeys.paths(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir), 3)
+    return journeys.paths(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir))
 
 
 def departure_board(spark, sf_dir):
