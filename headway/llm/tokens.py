@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
+import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-# The pre-tokenisation patterns of the two vocabularies.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+# The pre-tokenisation patterns of the two vocabularies; letters, digits and others are the library's own classes.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[{others}]+"
 BYTE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 MEMO = 400_000
@@ -57,17 +58,67 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
+BLOCK = 256
+
+
+def _library(path: str) -> Tokenizer:
+    """The library's normaliser and first split of a vocabulary file, without its vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    empty = {"type": "BPE", "vocab": {}, "merges": []}
+    return Tokenizer.from_str(json.dumps({"version": "1.0", "added_tokens": [], "model": empty, "normalizer": spec["normalizer"], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][0]}))
+
+
+def character_classes(path: str) -> dict[str, str]:
+    """The letters, digits and other characters of the vocabulary's own pre-tokeniser, as ranges for a pattern.
+
+    Libraries differ in their version of Unicode, so the library itself is asked: a letter stays in the word of a
+    letter before it, an "other" in that of a mark; a digit is a word of its own; white space is dropped.
+    Whole blocks of code points first, one by one where a block is mixed.
+    """
+    split = _library(path).pre_tokenizer.pre_tokenize_str
+    found: dict[str, list[list[int]]] = {"letters": [], "digits": [], "others": []}
+
+    def add(kind: str, first: int, last: int) -> None:
+        if found[kind] and found[kind][-1][1] == first - 1:
+            found[kind][-1][1] = last
+        else:
+            found[kind].append([first, last])
+
+    for at in range(0, sys.maxunicode + 1, BLOCK):
+        if 0xD800 <= at < 0xE000:
+            continue
+        block = "".join(map(chr, range(at, at + BLOCK)))
+        whole = next((kind for kind, mark in (("letters", "x"), ("others", "!")) if len(split(mark + block)) == 1), None)
+        if whole:
+            add(whole, at, at + BLOCK - 1)
+            continue
+        for c in range(at, at + BLOCK):
+            if len(split("x" + chr(c))) == 1 and split(chr(c)):
+                add("letters", c, c)
+            elif len(split("!" + chr(c))) == 1 and split(chr(c)):
+                add("others", c, c)
+            elif split(chr(c)):
+                add("digits", c, c)
+    return {kind: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) for kind, ranges in found.items()}
+
+
 class WordCounter:
-    """Counts tokens for a lower-casing BPE vocabulary with word ends (a tokenizers .json file)."""
+    """Counts tokens for a lower-casing BPE vocabulary with word ends (a tokenizers .json file).
 
-    def __init__(self, path: str):
+    classes are its character classes, where they have been found before.
+    """
+
+    def __init__(self, path: str, classes: tuple[tuple[str, str], ...] = ()):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         merges = spec["model"]["merges"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(merges)}
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.find = regex.compile(WORD_PATTERN).findall
+        self.normalize = _library(path).normalizer.normalize_str
+        self.find = re.compile(WORD_PATTERN.format(**dict(classes or character_classes(path)))).findall
+        self.find_ascii = re.compile(WORD_PATTERN.format(letters="a-z", digits="0-9", others=r"!-/:-`{-\x7f\x00-\x08\x0e-\x1f")).findall
         self.symbols = byte_symbols()
         self.word = lru_cache(MEMO)(self._word)
         outer = self
@@ -89,8 +140,8 @@ class WordCounter:
         return merged_length(symbols, self.ranks)
 
     def _piece(self, piece: str) -> int:
-        plain = "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
-        return sum(self.word(w) if len(w) <= LONGEST_PIECE else self._word(w) for w in self.find(plain))
+        words = self.find_ascii(piece.lower()) if piece.isascii() else self.find(self.normalize(piece))
+        return sum(self.word(w) if len(w) <= LONGEST_PIECE else self._word(w) for w in words)
 
     def count(self, text: str) -> int:
         parts, found = [text], 0
@@ -151,8 +202,8 @@ class ByteEncoder:
 
 
 @lru_cache(1)
-def word_counter(path: str) -> WordCounter:
-    return WordCounter(path)
+def word_counter(path: str, classes: tuple[tuple[str, str], ...]) -> WordCounter:
+    return WordCounter(path, classes)
 
 
 @lru_cache(1)
@@ -167,8 +218,10 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = 2048) -> Dat
     pass through; other columns are ignored; an empty table gives an empty result.
     """
 
+    classes = tuple(character_classes(tokenizer).items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = word_counter(tokenizer).count
+        count = word_counter(tokenizer, classes).count
         for batch in batches:
             n = [count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -1,5 +1,6 @@
 import random
 import struct
+import sys
 import zlib
 
 import pytest
@@ -35,6 +36,18 @@ def test_random_texts(text):
     assert byte_encoder.encode(text) == ids(text)
 
 
+@pytest.mark.parametrize("before", ["", "x", "¨"])
+def test_every_code_point(before):
+    """Each code point alone, after a letter and after a mark; blocks far from any assigned one only alone."""
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and (not before or c < 0x24000 or 0x2F000 <= c < 0x32000 or 0x3C000 <= c < 0x3E000 or 0xE0000 <= c < 0xE0200)]
+    for k in range(0, len(points), 4096):
+        text = " ".join(before + chr(c) for c in points[k : k + 4096])
+        if word_counter.count(text) != len(word_library.encode(text, add_special_tokens=False).ids):
+            words = [before + chr(c) for c in points[k : k + 4096]]
+            assert [] == [ascii(w) for w in words if word_counter.count(w) != len(word_library.encode(w, add_special_tokens=False).ids)]
+        assert byte_encoder.encode(text) == ids(text)
+
+
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_windows_hold_each_item_once(sizes):
     found = windows(sizes, 100)
@@ -50,6 +63,23 @@ def test_differencing_balances():
     assert len(found) <= 1.025 * sum(sizes) / 2048
 
 
+def plain_differenced(sizes, k):
+    """The same differencing, each partition a full list of k windows."""
+    parts = [sorted([0] * (k - 1) + [s]) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+    return [s for s in reversed(parts[0]) if s]
+
+
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=80, unique=True), st.integers(1, 9))
+def test_differencing_equals_plain(sizes, k):
+    """Distinct sizes leave no ties between single items; the largest window and the number of windows agree."""
+    sizes = [s * 7919 + i * i for i, s in enumerate(sizes)]
+    assert [s for s, _ in differenced(sizes, k)] == plain_differenced(sizes, k)
+
+
 def test_pack_round_trip(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma.", "Delta"]) for _ in range(rng.choice([0, 3, 50, 4000]))), 7) for i in range(40)] + [(50, None, 7), (50, None, 7), (None, "x", 7)]
