@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from .storage import saved
 from .tokens import byte_encoder
 
-GROUP = 512
+GROUP = 4096
 WINDOWS = 1 << 20
+FEW = 16
 
 
 def differenced(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -23,33 +25,67 @@ def differenced(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
     Each item starts as a partial partition of its own. The two partial partitions with the largest
     spread are merged, the largest window of one with the smallest of the other, until one is left.
     Only non-empty windows are kept, largest first.
+
+    A partition is a list of (sum, node) by sum; a node beyond the items stands for two joined windows.
+    A partition with few windows is put into one with many by binary search, so that a merge costs little
+    more than the smaller side.
     """
-    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    joined: list[tuple[int, int]] = []
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    serial = len(sizes)
+    serial = n = len(sizes)
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
+        a, b = heapq.heappop(heap)[2], heap[0][2]
+        if len(a) < len(b):
+            a, b = b, a
         overlap = max(0, len(a) + len(b) - k)
-        # the k - 1 - i th window of b meets the i th of a; unless both are non-empty, it stays as it is
-        tail_a, tail_b = a[len(a) - overlap :], b[len(b) - overlap :]
-        merged = a[: len(a) - overlap] + b[: len(b) - overlap]
-        merged += [(x + y, p + q) for (x, p), (y, q) in zip(tail_a, reversed(tail_b), strict=True)]
-        merged.sort(key=lambda w: -w[0])
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
-        heapq.heappush(heap, (-spread, serial, merged))
+        met = []
+        for (x, p), (y, q) in zip(a[:overlap], reversed(b[:overlap]), strict=True):
+            met.append((x + y, n + len(joined)))
+            joined.append((p, q))
+        if FEW * len(b) < len(a):
+            del a[:overlap]
+            for window in b[overlap:] + met:
+                insort(a, window)
+        else:
+            a = sorted(a[overlap:] + b[overlap:] + met)
+        heapq.heapreplace(heap, (a[0][0] * (len(a) == k) - a[-1][0], serial, a))
         serial += 1
-    return heap[0][2] if heap else []
+
+    def items(node: int) -> list[int]:
+        found, open_ = [], [node]
+        while open_:
+            node = open_.pop()
+            if node < n:
+                found.append(node)
+            else:
+                open_ += joined[node - n]
+        return found
+
+    return [(s, items(node)) for s, node in reversed(heap[0][2])] if heap else []
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Item numbers by window; the window count starts at the least possible one and rises whenever a window is over capacity."""
+    """Item numbers by window.
+
+    The window count starts at the least possible one and rises whenever a window is over capacity: first by
+    what is over, in windows, then by twice as much each time. Between the last count that was too small and
+    the first that is enough, the least that is enough is found by halving.
+    """
     k = max(1, -(-sum(sizes) // capacity))
-    while True:
+    found, low, step = differenced(sizes, k), k, 0
+    while over := sum(s - capacity for s, _ in found if s > capacity):
+        low, step = k, 2 * step or -(-over // capacity)
+        k += step
         found = differenced(sizes, k)
-        if not found or found[0][0] <= capacity:
-            return [members for _, members in found]
-        k += 1
+    while k - low > 1:
+        middle = (k + low) // 2
+        fewer = differenced(sizes, middle)
+        if fewer[0][0] > capacity:
+            low = middle
+        else:
+            k, found = middle, fewer
+    return [members for _, members in found]
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
@@ -80,7 +116,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for) of sequences of at most capacity ids.
 
     A document's pieces of full capacity are sequences of their own. The rests are spread at random over
-    groups of about 512 and each group is differenced into near-equal windows; no row sees more than its group.
+    groups of about 4,096 and each group is differenced into near-equal windows; no row sees more than its group.
     Null texts are empty documents: one piece with the end id. Repeated rows and null ids are packed like
     others; other columns are ignored; an empty table gives an empty result.
     """
