@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexer gives each word a symbol: insult, harm verb, intent, target, negation, report or other. Four
-transducers rewrite the symbol string of a clause, composed in this order:
+transducers read the symbols of a clause, each the output of the one before, and mark what they recognise:
 
-    threat    intent within three words before a harm verb  ->  the verb becomes a threat
-    target    an insult in a clause with a target           ->  a targeted insult
-    negation  up to three words after a negation            ->  a negated insult or threat
-    report    anything after a verb of saying               ->  reported, not voiced
+    threat    a harm verb within three words after intent       arc gain 1 or more
+    target    an insult or threat in a clause with a target      arc gain 1 or more
+    negation  up to three words after a negation                 arc gain below 1
+    report    anything after a verb of saying                    arc gain below 1
 
-The symbols that come out of a clause carry weights; a text's score is the logistic function of
-what its clauses sum up to. The insult lexicon and the weights are learned from labelled texts.
+An insult or threat is worth its lexical weight times the gains of the arcs that it took; a clause is worth
+the sum over its insults and threats, and a text's score is the logistic function of its clauses. The insult
+lexicon, the arcs' gains and the logistic function are learned from labelled texts. Gains start from a prior and
+stay on their side of 1, so a target never lowers and a negation or report never raises a score.
 """
 
 from __future__ import annotations
@@ -38,54 +40,64 @@ OTHER = "o"
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 PREFIXES = (4, 5, 6)
-MOST_TERMS = 2000
+
+
+ARCS = ["threat", "target", "negation", "report"]
+# The model's parameters: the log gains of the arcs, then slopes for the clauses and for different insults, and the bias.
+PRIOR = np.array([0.5, 0.5, -1.5, -1.5, 2.0, 0.5, -3.0])
+LOWEST = np.array([0.0, 0.0, -5.0, -5.0, 0.1, 0.0, -20.0])
+HIGHEST = np.array([3.0, 3.0, -0.5, -0.5, 20.0, 20.0, 0.0])
 
 
 class Transducer:
-    """A deterministic finite-state transducer: step(state, symbol) -> (state, symbol)."""
+    """A deterministic finite-state transducer: step(state, symbol) -> (state, symbol, weights of the arc)."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
     def __matmul__(self, other: Transducer) -> Transducer:
-        """The composition: what self puts out is other's input."""
+        """The composition: what self puts out is other's input; an arc carries the weights of both."""
 
         def step(state, symbol):
-            a, symbol = self.step(state[0], symbol)
-            b, symbol = other.step(state[1], symbol)
-            return (a, b), symbol
+            a, symbol, one = self.step(state[0], symbol)
+            b, symbol, two = other.step(state[1], symbol)
+            return (a, b), symbol, one | two
 
         return Transducer((self.start, other.start), step)
 
-    def run(self, symbols: str) -> str:
+    def run(self, symbols: str) -> list[tuple[str, int]]:
+        """The output symbols, each with the set of weighted arcs taken, as bits in the order of ARCS."""
         state, out = self.start, []
         for s in symbols:
-            state, s = self.step(state, s)
-            out.append(s)
-        return "".join(out)
+            state, s, arcs = self.step(state, s)
+            out.append((s, arcs))
+        return out
 
 
-def _threat(left: int, s: str) -> tuple[int, str]:
+def _threat(left: int, s: str) -> tuple[int, str, int]:
     if s == "m":
-        return 3, s
-    return max(0, left - 1), "X" if s == "h" and left else s
+        return 3, s, 0
+    return (max(0, left - 1), "x", 1) if s == "h" and left else (max(0, left - 1), s, 0)
 
 
-def _target(seen: int, s: str) -> tuple[int, str]:
-    return int(seen or s == "t"), "I" if s == "i" and (seen or s == "t") else s
+def _target(seen: int, s: str) -> tuple[int, str, int]:
+    seen = int(seen or s == "t")
+    return seen, s, 2 * (seen and s in "ix")
 
 
-def _negation(left: int, s: str) -> tuple[int, str]:
+def _negation(left: int, s: str) -> tuple[int, str, int]:
     if s == "n":
-        return 3, s
-    return max(0, left - 1), "J" if left and s in "iIX" else s
+        return 3, s, 0
+    return max(0, left - 1), s, 4 * (left > 0 and s in "ix")
 
 
-def _report(seen: int, s: str) -> tuple[int, str]:
-    return int(seen or s == "r"), "Q" if seen and s in "iIX" else s
+def _report(seen: int, s: str) -> tuple[int, str, int]:
+    return int(seen or s == "r"), s, 8 * (seen > 0 and s in "ix")
 
 
 GRAMMAR = Transducer(0, _threat) @ Transducer(0, _target) @ Transducer(0, _negation) @ Transducer(0, _report)
+PATHS = 1 << len(ARCS)
+TAKEN = np.array([[path >> k & 1 for k in range(len(ARCS))] for path in range(PATHS)], float)
 
 
 class Lexer(dict):
@@ -107,43 +119,64 @@ class Lexer(dict):
         return found
 
 
-def features(text: str, lexer: Lexer) -> list[float]:
-    """For each output symbol log(1 + its clauses' lexical weights), then those of the worst clause, the number of matched clauses and of different insults."""
+def features(text: str, lexer: Lexer, grammar: Transducer = GRAMMAR) -> list[float]:
+    """The lexical weight of the text's insults and threats by the arcs they took, then log(1 + different ones)."""
     lower = text.lower()
-    found = [lexer[w] for w in WORD.findall(lower)]
-    totals, worst, clauses, kinds = dict.fromkeys("iIXJQ", 0.0), 0.0, 0, set()
-    if any(s in "ih" for s, _ in found):
+    mass, kinds = [0.0] * PATHS, set()
+    if any(lexer[w][0] in "ih" for w in WORD.findall(lower)):
         for clause in CLAUSE.split(lower):
             words = WORD.findall(clause)
             parts = [lexer[w] for w in words]
             if not any(s in "ih" for s, _ in parts):
                 continue
-            out = GRAMMAR.run("".join(s for s, _ in parts))
-            mass = 0.0
-            for word, symbol, (_, weight) in zip(words, out, parts, strict=True):
-                if symbol in totals:
-                    totals[symbol] += weight
+            for word, (symbol, arcs), (_, weight) in zip(words, grammar.run("".join(s for s, _ in parts)), parts, strict=True):
+                if symbol in "ix":
+                    mass[arcs] += weight
                     kinds.add(word)
-                    mass += weight * (0.2 if symbol in "JQ" else 1.0)
-            clauses += mass > 0
-            worst = max(worst, mass)
-    return [*(np.log1p(v) for v in totals.values()), worst, np.log1p(clauses), float(len(kinds) > 1)]
-
-
-def fit_weights(x: np.ndarray, y: np.ndarray, l2: float = 0.02, steps: int = 300) -> np.ndarray:
-    """Logistic regression by Newton steps; a class prior of one half keeps the score calibrated to predict the likelier label."""
-    x1 = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x1.shape[1])
-    ridge = l2 * np.eye(len(w))
-    ridge[-1, -1] = 1e-4
+    return [*mass, float(np.log1p(len(kinds)))]
+
+
+def logits(x: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """x: rows of features. An arc that a path takes multiplies its weight by the arc's gain."""
+    clauses = x[:, :PATHS] @ np.exp(TAKEN @ model[: len(ARCS)])
+    return model[-3] * np.log1p(clauses) + model[-2] * x[:, PATHS] + model[-1]
+
+
+def fit_arcs(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
+    """The parameters of greatest posterior probability, by damped Newton steps within the bounds.
+
+    A normal prior around PRIOR, wide for the slopes and the bias, narrow for the gains, decides where the
+    texts say nothing, as of an arc that no text takes. No rows give the prior itself.
+    """
+    precision = np.array([1.0] * len(ARCS) + [0.05, 0.05, 0.01])
+    model = PRIOR.copy()
+    damping = 1.0
+
+    def cost(m: np.ndarray) -> float:
+        z = logits(x, m)
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (precision * (m - PRIOR) ** 2).sum())
+
+    now = cost(model)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        gradient = x1.T @ (p - y) + ridge @ w
-        change = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + ridge, gradient)
-        w -= change * min(1.0, 4 / (np.abs(change).max() + 1e-12))
-        if np.abs(change).max() < 1e-8:
+        gains = np.exp(TAKEN @ model[: len(ARCS)])
+        clauses = x[:, :PATHS] @ gains
+        slopes = (x[:, :PATHS] * gains) @ TAKEN * (model[-3] / (1 + clauses))[:, None]
+        jacobian = np.column_stack([slopes, np.log1p(clauses), x[:, PATHS], np.ones(len(x))])
+        p = 1 / (1 + np.exp(-np.clip(logits(x, model), -30, 30)))
+        gradient = jacobian.T @ (p - y) + precision * (model - PRIOR)
+        hessian = (jacobian * (p * (1 - p))[:, None]).T @ jacobian + np.diag(precision * (1 + damping))
+        moved = np.clip(model - np.linalg.solve(hessian, gradient), LOWEST, HIGHEST)
+        after = cost(moved)
+        if after > now:
+            damping *= 4
+            if damping > 1e9:
+                break
+            continue
+        done = now - after < 1e-9 * (1 + now)
+        model, now, damping = moved, after, max(damping / 4, 1e-3)
+        if done:
             break
-    return w
+    return model
 
 
 def _terms_of(text: str) -> Iterator[tuple[str, str]]:
@@ -158,11 +191,12 @@ def _terms_of(text: str) -> Iterator[tuple[str, str]]:
                     yield w[:n] + "*", around
 
 
-def learn_terms(training: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
+def learn_terms(training: DataFrame) -> dict[str, float]:
     """Words and word beginnings of toxic texts, with weights from their log odds.
 
     A term must occur in four toxic texts and in one of 250, and three times out of four with neighbours of its
-    own: near copies repeat a chance word with the same neighbours.
+    own: near copies repeat a chance word with the same neighbours. Every such term is learned; the training texts,
+    not the corpus, bound how many there are.
     """
     n_clean, n_toxic = (training.where(F.col("toxic") == k).count() for k in (0, 1))
     least = max(4, -(-n_toxic // 250))
@@ -179,7 +213,7 @@ def learn_terms(training: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
 
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     counts = training.select("text", "toxic").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    likely = counts.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("toxic"), "term").limit(most)
+    likely = counts.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2.5")
     likely = {r.term: (r.odds, r.toxic) for r in likely.collect()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +227,10 @@ def learn_terms(training: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[dict[str, float], np.ndarray]:
-    """Lexicon and weights from at most `sample` toxic and three times as many clean labelled texts, the first by a hash of their doc_id.
+    """Lexicon and model from at most `sample` toxic and three times as many clean labelled texts, the first by a hash of their doc_id.
 
-    The weights are fitted on half of the texts, with a lexicon learned from the other half, so that they do
-    not trust chance terms; the lexicon that is returned is learned from all.
+    One text a doc_id, the least one where ids repeat. The model is fitted on half of the texts, with a lexicon
+    learned from the other half, so that it does not trust chance terms; the lexicon that is returned is learned from all.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -205,7 +239,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[
         part = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample if k else 3 * sample)
         chosen = part if chosen is None else chosen.union(part)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    training = saved(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("half")), "training")
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    training = saved(texts.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("half")), "training")
     terms, half_terms = learn_terms(training), learn_terms(training.where("half"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +248,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> tuple[
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t, lexer) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = training.where("not half").select("text", "toxic").mapInArrow(run, "x array<double>, y int").orderBy("x", "y").limit(4 * sample).collect()
-    if len({r.y for r in rows}) < 2:
-        return terms, np.array([1.0, 1.5, 2.0, 0.1, 0.1, 0.5, 0.5, 1.0, -3.0])
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
-    return terms, fit_weights(x, y)
+    rows = sorted((r.x, r.y) for r in training.where("not half").select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect())
+    return terms, fit_arcs(np.array([x for x, _ in rows]).reshape(-1, PATHS + 1), np.array([y for _, y in rows], float))
+
+
+def _scores(texts: list[str | None], lexer: Lexer, model: np.ndarray) -> np.ndarray:
+    z = logits(np.array([features(t or "", lexer) for t in texts]).reshape(-1, PATHS + 1), model)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
@@ -227,13 +264,12 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000)
     as empty and get the score of a text without matches. Null or repeated ids pass through (held_out is
     false for a null id); labels without a document, null labels and other columns are ignored.
     """
-    terms, weights = train(documents, labels, sample)
+    terms, model = train(documents, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = Lexer(terms)
         for batch in batches:
-            z = np.array([features(t or "", lexer) for t in batch.column(1).to_pylist()]).reshape(-1, len(weights) - 1) @ weights[:-1] + weights[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1).to_pylist(), lexer, model))], ["doc_id", "score"])
 
     scored = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
@@ -241,14 +277,17 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 3000)
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> DataFrame:
-    """documents without the rows whose text scores one half or more; all columns stay. The weights are learned as in score_toxicity."""
-    terms, weights = train(documents, labels, sample)
+    """documents without the rows whose text scores one half or more; all columns stay. The model is learned as in score_toxicity.
+
+    Null texts count as empty and score as a text without matches. Null ids and repeated rows stay or go by their
+    text; columns of any other name pass through untouched; an empty table gives an empty result.
+    """
+    terms, model = train(documents, labels, sample)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = Lexer(terms)
         for batch in batches:
-            z = np.array([features(t or "", lexer) for t in batch.column(at).to_pylist()]).reshape(-1, len(weights) - 1) @ weights[:-1] + weights[-1]
-            yield batch.filter(pa.array(z < 0))
+            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), lexer, model) < 0.5))
 
     return documents.mapInArrow(run, documents.schema)
