@@ -1,4 +1,10 @@
+import os
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
 import numpy as np
+import pytest
 
 from headway.llm.html_text import classify, extract_main_text, labelled_table, main_text, trained_tree
 
@@ -28,6 +34,79 @@ def test_page_without_article():
     assert main_text(page) == " ".join([body.strip(), body.strip()])
 
 
+LONG = "These are words of the article, and there are enough of them to make a paragraph of the usual length for reading. "
+GOLD = [
+    (f"<nav><a href=/>Home</a><a href=/x>News</a><p>{LONG}</p><p>{LONG}</p>", LONG * 2),
+    (f"<article><h1>Of effects</h1><p>{LONG}</p><div class='side-effects'><p>{LONG}</p></div><p class=share-price-story>{LONG}</p></article>", "Of effects " + LONG * 3),
+    (f"<ul class='menu'><li><a>One</a><li><a>Two</a></ul><div class=story><h2>On things</h2><p>{LONG}<a>with a link of a few words</a></p><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><ul><li><a>Next story of the day</a><li><a>Another story</a><li><a>One more</a></ul>", f"On things {LONG}with a link of a few words {LONG}Short one. {LONG}"),
+    (f"<header class=site-header><div>Site of news</div><p>{LONG}</p></header><main><h1>Title</h1><p>{LONG}</p><blockquote>{LONG}</blockquote></main><div id=comment-list><p>{LONG}</p></div><footer><p>{LONG}</p></footer>", "Title " + LONG * 2),
+    (f"<div class='cookieConsent'><p>{LONG}</p></div><div><p>{LONG}</p><div class='ad-banner top'>{LONG}</div><p>{LONG}</p></div><form class=newsletter><p>{LONG}</p><input></form><aside><p>{LONG}</p></aside>", LONG * 2),
+    (f"<body><svg><p>{LONG}</p><p>{LONG}</p>", LONG * 2),
+]
+
+
+@pytest.mark.parametrize("page, gold", GOLD)
+def test_gold_pages(page, gold):
+    """Recall and precision of the words of nine tenths or more."""
+    got, want = Counter(main_text(page).split()), Counter(gold.split())
+    assert sum((got & want).values()) >= 0.9 * max(sum(got.values()), sum(want.values()))
+
+
+def test_words_and_links_decide():
+    """The same blocks without any mark of their surroundings: long ones with few links stay, linked ones go."""
+    x, _ = labelled_table()
+    bare = x.copy()
+    bare[:, 6:] = 0
+    kept = classify(trained_tree(), bare)
+    assert kept[(x[:, 0] > 30) & (x[:, 1] < 0.1) & (x[:, 4] > 10)].mean() > 0.9 and kept[x[:, 1] > 0.9].mean() < 0.05
+
+
+class Article(HTMLParser):
+    """Brute force for pages with one article: its text, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "h2"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1", "h2"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_given_pages(spark):
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no given tables here")
+    pages = spark.read.parquet(folder)
+    got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    for row in pages.collect():
+        brute = Article()
+        brute.feed(row.html or "")
+        assert got[row.page_id] == " ".join(t for b in brute.blocks if (t := " ".join(b.split())))
+
+
+def test_time_grows_with_the_page():
+    def seconds(n):
+        began = time.process_time()
+        main_text("<div>" * n + "</section>" * n + "<select>" * n + "x")
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 6 * max(seconds(20_000), 0.02)
+
+
 def test_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>only"), (3, "u", "<article><p>only"), (None, "u", "<article>" + "<p>x y" * 20000), (4, "u", "<" * 5000), (5, "u", "<a " + "'" * 5000)]
     df = spark.createDataFrame([r + ("z",) for r in rows], "page_id long, url string, html string, text string")
