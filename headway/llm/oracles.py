@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import RULES, SENTENCES
+from .licenses import SENTENCES, ranked_rules
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS = rf"list_filter(string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -34,14 +34,24 @@ SELECT v.vec_id, coalesce(k, 0) AS n_links, c AS component_id, v.vec_id = c AS k
 
 
 def _licenses() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
-    cases = ", ".join("CASE WHEN " + " OR ".join(f"contains(' ' || s || ' ', ' {' '.join(rule)} ')" for rule in RULES[name]) + f" THEN '{name}' END" for name in sorted(RULES))
-    return rf"""WITH known(sentence, words) AS (VALUES {known}),
-cut AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;])(\s|$)', chr(1) || '\2', 'g'), '\x01|\n+') AS parts FROM documents),
-each AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS place FROM cut),
-found AS (SELECT doc_id, place, sentence FROM each JOIN known ON words = trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) WHERE length(raw) BETWEEN 3 AND 600),
-per AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY place) AS s, count(*) AS n, min(place) AS a, max(place) AS b FROM found GROUP BY doc_id)
-SELECT doc_id, concat_ws(',', {cases}) AS licenses, s AS sentences, n AS n_sentences, a AS first_place, b AS last_place FROM per"""
+    """Known sentences by place in the joined words of a text: one runs from the start of a piece to the end of a piece."""
+    known = ", ".join(f"({i}, '{k}', '{v}', {len(v)})" for i, (k, v) in enumerate(SENTENCES.items()))
+    rules = ", ".join(f"('{rule}', '{name}')" for rule, name in ranked_rules().items())
+    return rf"""WITH RECURSIVE known(id, sentence, words, n) AS (VALUES {known}), rules(rule, licence) AS (VALUES {rules}),
+parts AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;])(\s|$)', chr(1) || '\2', 'g'), '\x01|\n+') AS p FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS place FROM parts),
+colons AS (SELECT doc_id, place, string_split_regex(regexp_replace(raw, ':(\s+[^\s\p{{Ll}}]|\s*$)', chr(1) || '\1', 'g'), '\x01') AS q FROM cut),
+each AS (SELECT doc_id, place, unnest(q) AS raw, generate_subscripts(q, 1) AS sub FROM colons),
+words AS (SELECT doc_id, place, sub, trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS w FROM each),
+pieces AS (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY place, sub) AS stop FROM words WHERE w <> ''),
+joined AS (SELECT doc_id, string_agg(w, ' ' ORDER BY place, sub) AS t FROM pieces GROUP BY doc_id),
+met AS MATERIALIZED (SELECT p.doc_id, CAST(p.stop - length(p.w) AS BIGINT) AS start, k.n, k.id, CAST(p.place AS BIGINT) AS place FROM pieces p JOIN joined j USING (doc_id) JOIN known k ON substr(j.t, CAST(p.stop - length(p.w) AS BIGINT), k.n) = k.words
+  WHERE EXISTS (SELECT 1 FROM pieces e WHERE e.doc_id = p.doc_id AND e.stop = p.stop - length(p.w) + k.n)),
+scan(doc_id, start, n, id, place) AS (SELECT * FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start, n DESC) = 1)
+  UNION ALL SELECT * FROM (SELECT m.* FROM scan s JOIN met m ON m.doc_id = s.doc_id AND m.start >= s.start + s.n QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY m.start, m.n DESC) = 1)),
+per AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY start) AS s, count(*) AS n, min(place) AS a, max(place) AS b FROM scan JOIN known USING (id) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT licence)) AS l FROM (SELECT doc_id, unnest(regexp_extract_all('<' || replace(s, ' ', '><') || '>', '{"|".join(ranked_rules())}')) AS rule FROM per) JOIN rules USING (rule) GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(l, ','), '') AS licenses, s AS sentences, n AS n_sentences, a AS first_place, b AS last_place FROM per LEFT JOIN named USING (doc_id)"""
 
 
 ORACLES = {
