@@ -2,9 +2,9 @@
 
 A window is `size` consecutive item words (an item with fewer words is one window), and stands for
 the set of its word shingles. A document that contains a window contains all its shingles, so one
-shingle is prefix enough: the one that is rarest over all documents. Where it occurs, the window can
-start at one place only; the place must leave the window room in the document, and then all the
-window's shingles are looked up there one by one.
+shingle is prefix enough: the one that is rarest over all documents, counted first. Only prefix
+shingles are joined with the documents' places. Where one occurs, the window can start at one place
+only; the place must leave the window room in the document, and then the words there are compared.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import free_names
 from .storage import saved
 
 SHINGLE = 3
@@ -43,22 +44,39 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return words.select("item_id", "words", F.explode(F.sequence(F.lit(1), last)).alias("at")).select("item_id", F.slice("words", F.col("at"), size).alias("window")).distinct()
 
 
-def _matches(docs: DataFrame, shingles: DataFrame, k: int, n: int) -> DataFrame:
-    """(doc_id, text_key, n_words, pos, shingle) wherever a document has one of the shingles of k words.
+def _places(docs: DataFrame, k: int) -> DataFrame:
+    """The columns of docs with pos and w0.. wk-1 of each place of a shingle of k words in a document, and their hash as key."""
+    names = [f"w{j}" for j in range(k)]
+    place = docs.select(*docs.columns, F.posexplode(_shingles(F.col("words"), k)).alias("pos", "s"))
+    place = place.select(*docs.columns, F.col("pos").cast("long").alias("pos"), *[F.col(f"s.{w}").alias(w) for w in names])
+    return place.where(F.col(names[-1]).isNotNull()).withColumn("key", F.xxhash64(*names))
+
+
+def _rarity(docs: DataFrame, shingles: DataFrame, k: int, n: int) -> DataFrame:
+    """(key, n): how often each shingle of k words of the items occurs in the documents; those that never occur are left out."""
+    wanted = shingles.where(F.size("shingle_words") == k).select("key").distinct()
+    return _places(docs.select("words"), k).select("key").join(_bounded(wanted, n), "key").groupBy("key").agg(F.count("*").alias("n"))
 
-    Each document also gives one row with shingle -1, so that one pass finds matches and word counts.
+
+def _hits(docs: DataFrame, prefixes: DataFrame, k: int, n: int) -> DataFrame:
+    """(doc, unnamed, text_key, name, start, length) wherever a document holds a whole window whose prefix has k words.
+
+    Prefixes within the bound are broadcast and the words compared at once; beyond it only places travel, and the
+    documents' words are joined to what is left of them.
     """
-    names = [f"w{j}" for j in range(k)]
-    own = F.struct(*[F.lit("").alias(w) for w in names])
-    place = docs.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(own), _shingles(F.col("words"), k))).alias("pos", "s"))
-    place = place.select("doc_id", "text_key", "n_words", (F.col("pos") - 1).cast("long").alias("pos"), *[F.col(f"s.{w}").alias(w) for w in names])
-    place = place.where(F.col(names[-1]).isNotNull()).withColumn("key", F.xxhash64(*names))
-    wanted = shingles.where(F.size("shingle_words") == k).select("shingle", *[F.col("shingle_words")[j].alias(f"v{j}") for j in range(k)])
-    wanted = wanted.union(docs.sparkSession.range(1).select(F.lit(-1).cast("long"), *[F.lit("")] * k)).withColumn("key", F.xxhash64(*[f"v{j}" for j in range(k)]))
-    same = place.key == wanted.key
+    row = ["doc", "unnamed", "text_key"]
+    wanted = prefixes.where(F.size("shingle_words") == k).select("key", "name", "offset", "length", *[F.col("shingle_words")[j].alias(f"v{j}") for j in range(k)])
+    room = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))
+    whole = F.array_join(F.slice("words", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ") == F.col("name")
+    bounded = n <= BROADCAST_ROWS
+    places = _places(docs, k) if bounded else _places(docs, k).drop("words")
+    same = places.key == wanted.key
     for j in range(k):
-        same &= place[f"w{j}"] == wanted[f"v{j}"]
-    return place.join(_bounded(wanted, n), same).select("doc_id", "text_key", "n_words", "pos", "shingle")
+        same &= places[f"w{j}"] == wanted[f"v{j}"]
+    met = places.join(_bounded(wanted, n), same).withColumn("start", F.col("pos") - F.col("offset")).where(room)
+    if not bounded:
+        met = met.select(*row, "name", "start", "length").join(docs.select(*row, "words"), row)
+    return met.where(whole).select(*row, "name", "start", "length")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -72,34 +90,32 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     """
     windows = saved(item_windows(benchmark, size).select("item_id", "window", F.array_join("window", " ").alias("name")), "windows")
     by_name = windows.select("name", "window").distinct()
-    width = F.least(F.size("window"), F.lit(SHINGLE))
-    parts = by_name.select("name", F.size("window").cast("long").alias("length"), width.alias("k"), F.explode(F.expr(f"transform(sequence(0, size(window) - least(size(window), {SHINGLE})), j -> struct(j AS offset, slice(window, j + 1, least(size(window), {SHINGLE})) AS words))")).alias("part"))
+    shape = f"transform(sequence(0, size(window) - least(size(window), {SHINGLE})), j -> struct(j AS offset, slice(window, j + 1, least(size(window), {SHINGLE})) AS words))"
+    parts = by_name.select("name", F.size("window").cast("long").alias("length"), F.explode(F.expr(shape)).alias("part"))
     parts = parts.select("name", "length", F.col("part.offset").cast("long").alias("offset"), F.col("part.words").alias("shingle_words"))
-    shingles = saved(parts.select("shingle_words").distinct(), "shingles").withColumn("shingle", F.monotonically_increasing_id())
-    parts = saved(parts.join(shingles, "shingle_words").select("name", "length", "offset", "shingle"), "parts")
-    sizes = {r.k: r.n for r in shingles.groupBy(F.size("shingle_words").alias("k")).agg(F.count("*").alias("n")).collect()}
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words_of(F.col("text")).alias("words"))
-    met = None
-    for k in sorted(sizes.keys() | {SHINGLE}, reverse=True):
-        found = _matches(docs, shingles, k, sizes.get(k, 0))
-        met = found if met is None else met.unionByName(found.where("shingle >= 0"))
-    met = saved(met, "matches")
-    rows = met.where("shingle = -1").select("doc_id", "text_key", "n_words")
-    met = met.where("shingle >= 0").select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), "text_key", "n_words", "pos", "shingle").distinct()
-    met = saved(met, "matched")
-    row = ["doc", "unnamed", "text_key"]
+    keys = F.when(F.size("shingle_words") == 1, F.xxhash64(F.col("shingle_words")[0])).when(F.size("shingle_words") == 2, F.xxhash64(F.col("shingle_words")[0], F.col("shingle_words")[1])).otherwise(F.xxhash64(*[F.get("shingle_words", F.lit(j)) for j in range(SHINGLE)]))
+    parts = saved(parts.withColumn("key", keys), "parts")
+    sizes = {r.k: r.n for r in parts.groupBy(F.size("shingle_words").alias("k")).agg(F.count("*").alias("n")).collect()}
 
-    rarity = met.groupBy("shingle").agg(F.count("*").alias("n"))
-    prefix = parts.join(rarity, "shingle").groupBy("name").agg(F.min_by(F.struct("shingle", "offset", "length"), F.struct("n", "shingle", "offset")).alias("p"))
-    prefix = saved(prefix.select("name", "p.*"), "prefixes")
-    starts = met.join(_bounded(prefix, prefix.count()), "shingle").withColumn("start", F.col("pos") - F.col("offset"))
-    starts = starts.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))).select(*row, "name", "start", "length")
-    n_parts = sum(sizes.values()) * max(1, size)
-    places = starts.join(_bounded(parts.select("name", F.col("offset"), "shingle"), n_parts), "name").withColumn("pos", F.col("start") + F.col("offset"))
-    held = places.join(met.select(*row, "pos", "shingle"), [*row, "pos", "shingle"], "left_semi")
-    whole = F.col("length") - F.least("length", F.lit(SHINGLE)) + 1
-    hits = saved(held.groupBy(*row, "name", "start", "length").agg(F.count("*").alias("n")).where(F.col("n") == whole), "hits")
+    row = ["doc", "unnamed", "text_key"]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").cast("long").isNull().alias("unnamed"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
+    docs = documents.select(*key, words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    rows = docs.select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id"), "text_key", "n_words")
+    rarity = hits = None
+    for k, n in sorted(sizes.items()):
+        counted = _rarity(docs, parts, k, n).withColumn("k", F.lit(k))
+        rarity = counted if rarity is None else rarity.union(counted)
+    if rarity is not None:
+        rarity = saved(rarity, "rarity").select("k", "key", F.col("n").alias("n"))
+        rare = parts.withColumn("k", F.size("shingle_words")).join(rarity, ["k", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        prefixes = rare.groupBy("name").agg(F.min_by(F.struct("key", "shingle_words", "offset", "length", "n"), F.struct("n", "key", "offset")).alias("p"))
+        prefixes = saved(prefixes.select("name", "p.*").where("n > 0").drop("n"), "prefixes")
+        left = {r.k: r.n for r in prefixes.groupBy(F.size("shingle_words").alias("k")).agg(F.count("*").alias("n")).collect()}
+        for k, n in sorted(left.items()):
+            found = _hits(docs, prefixes, k, n)
+            hits = found if hits is None else hits.union(found)
+    none = documents.sparkSession.createDataFrame([], "doc long, unnamed boolean, text_key long, name string, start long, length long")
+    hits = saved(none if hits is None else hits.distinct(), "hits")
 
     spans = hits.select(*row, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
     before = F.max("end").over(Window.partitionBy(*row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
@@ -117,7 +133,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """documents without the rows that hold a benchmark window; all columns stay."""
-    hit = decontaminate(documents, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
-    return documents.join(hit, same, "left_anti")
+    """documents without the rows that hold a benchmark window; all columns stay.
+
+    Rows go by their own text, so repeated ids with clean texts stay, as do null and empty texts and null ids;
+    columns of any other name pass through untouched; an empty table gives an empty result, an empty benchmark
+    drops nothing.
+    """
+    hit = saved(decontaminate(documents, benchmark, size).where("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
+    a, b = free_names(["hit doc_id", "hit text_key"], documents.columns)
+    hit = hit.toDF(a, b)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"`{a}`")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(f"`{b}`"))
+    return documents.join(_bounded(hit, hit.count()), same, "left_anti")

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import free_names
 from .storage import saved
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -147,15 +148,9 @@ def candidates(text: str, kind: str) -> Column:
     return F.expr(_let("t", text, _let("b", _placed("t", kind, BASE[kind], True), f"array_sort(concat(b.spans, {wide}.spans))")))
 
 
-def _free(names: list[str], columns: list[str]) -> dict[str, str]:
-    """A column name for each of names that no column has, whatever its case."""
-    taken, out = {c.lower() for c in columns}, {}
-    for name in names:
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out[name.rstrip("_")] = name
-    return out
+def span_columns(columns: list[str]) -> dict[str, str]:
+    """A column for the spans of each kind, none of whose names is taken."""
+    return dict(zip(KINDS, free_names([f"spans of {k}" for k in KINDS], columns), strict=True))
 
 
 def with_candidates(documents: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -239,8 +234,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     other columns are ignored; an empty table gives an empty result. Texts of any length take time in proportion.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    columns = _free([f"spans of {k}" for k in KINDS], rows.columns)
-    columns = {k: columns[f"spans of {k}"] for k in KINDS}
+    columns = span_columns(rows.columns)
     found = saved(with_candidates(rows, columns).drop("text"), "spans")
     models = learn(found, columns)
     base = {k: F.filter(columns[k], lambda x: x["base"]) for k in KINDS}
@@ -255,8 +249,7 @@ def redact(documents: DataFrame) -> DataFrame:
     Null texts stay null; rows with null or repeated ids are treated alike; columns of any other name pass through
     untouched; an empty table gives an empty result. The candidates are found once and written beside the documents.
     """
-    columns = _free([f"spans of {k}" for k in KINDS], documents.columns)
-    columns = {k: columns[f"spans of {k}"] for k in KINDS}
+    columns = span_columns(documents.columns)
     found = saved(with_candidates(documents, columns), "spans")
     models = learn(found, columns)
     spans = F.array_sort(F.concat(*[_marked(k, _accepted(F.col(columns[k]), models[k])) for k in KINDS]))
@@ -266,7 +259,7 @@ def redact(documents: DataFrame) -> DataFrame:
     # what stands before each span that begins a group of overlapping ones, and its mark; then the rest
     kept = f"zip_with(ss, {_scan('transform(ss, y -> y.stop)', 'greatest')}, (y, e) -> if(y.start >= e, concat({cut('e', 'y.start')}, y.mark), ''))"
     rest = _let("z", "array_max(transform(ss, y -> y.stop))", _let("n", "char_length(text)", cut("z", "n")))
-    name = _free(["marked spans"], [*documents.columns, *columns.values()])["marked spans"]
+    [name] = free_names(["marked spans"], found.columns)
     replaced = _let("ss", f"`{name}`", _let("ps", f"regexp_extract_all(text, r'(?s).{{1,{PIECE}}}', 0)", f"concat(array_join({kept}, ''), {rest})"))
     clean = F.when(F.size(F.col(name)) > 0, F.expr(replaced)).otherwise(F.col("text"))
     return found.withColumn(name, spans).withColumn("text", clean).select(*[F.col(f"`{c}`") for c in documents.columns])
