@@ -4,7 +4,7 @@ A document's shingles are ordered by rarity. Two documents that reach the thresh
 least l of their first n - ceil(t n) + l shingles. Each document takes the l of least estimated
 cost, and a pair is verified once it shares min(l, l') prefix shingles.
 
-Rarity comes from a counting sketch of fixed size over all documents: any order that all
+Rarity comes from a counting sketch over all documents, sized by their number: any order that all
 documents share is right, a better one only makes fewer candidates.
 
 No group is ever expanded into all its pairs. Copies within a task stand behind one of them.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import free_names
 from .components import components
 from .shingles import mix, sets_of
 from .storage import saved
@@ -33,7 +34,8 @@ MOST_MATCHES = 4
 HOT = 20_000
 TILE = 1024
 STRIP = 256
-FILTER_BITS = 23
+FILTER_BITS = (16, 26)
+SKETCH_BITS = (21, 24)
 
 
 def _meta(pos: np.ndarray, n: int, matches: int) -> np.ndarray:
@@ -80,7 +82,12 @@ def sizes_and_sketch(docs: DataFrame, words: int, bits: int) -> DataFrame:
         sketch = np.zeros(1 << bits, np.int32)
         for batch in _cut(batches):
             found = [s for _, s in sets_of(batch.column(1), words)]
-            sketch += np.bincount((np.concatenate(found or [np.zeros(0, _U)]) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+            slots = (np.concatenate(found or [np.zeros(0, _U)]) >> _U(64 - bits)).astype(np.int64)
+            if bits > 21:
+                slots, times = np.unique(slots, return_counts=True)
+                sketch[slots] += times.astype(np.int32)
+            else:
+                sketch += np.bincount(slots, minlength=1 << bits).astype(np.int32)
             n = len(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.nulls(n, pa.int32()), pa.array([_outline(s) for s in found], pa.binary())], ["doc_id", "n_shingles", "segment", "counts"])
         for k, part in enumerate(np.split(sketch, SEGMENTS)):
@@ -112,7 +119,7 @@ def _summed(parts: DataFrame, *keys: str) -> DataFrame:
 
 
 def _rarity(parts: DataFrame, bits: int) -> np.ndarray:
-    """The summed sketch: 2 ** bits counts, however large the corpus. Two levels of sums, so none reads a part of every task."""
+    """The summed sketch: 2 ** bits counts. Two levels of sums, so none reads a part of every task."""
     first = _summed(parts.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(16))), "segment", "part")
     sketch = np.zeros(1 << bits, np.int32)
     for row in _summed(first, "segment").collect():
@@ -203,8 +210,13 @@ def _pivots(prefixes: DataFrame, percent: int) -> DataFrame:
     return prefixes.repartition("x", "salt").sortWithinPartitions("x", "salt", "meta", "y").mapInArrow(run, "kind byte, x long, y long, meta long")
 
 
-def _id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of one hash and a fixed size over ids; false hits only cost work."""
+def _bits(entries: int, each: int, bounds: tuple[int, int]) -> int:
+    """The power of two that gives each entry so many places, within bounds that a task's memory sets."""
+    return min(max((each * max(entries, 1) - 1).bit_length(), bounds[0]), bounds[1])
+
+
+def _id_filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of one hash over ids, sized by their number; false hits only cost work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, bool)
@@ -248,13 +260,14 @@ def _conceivable(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFra
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold. Only documents of pairs have their sets made again."""
     pairs = saved(pairs, "pairs")
-    seen = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs.select("a").union(pairs.select("b"))))
+    size = _bits(2 * pairs.count(), 8, FILTER_BITS)
+    seen = docs.sparkSession.sparkContext.broadcast(_id_filter(pairs.select("a").union(pairs.select("b")), size))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(seen.value).astype(bool)
         for batch in batches:
             ids = batch.column(0)
-            slots = _slot(ids.fill_null(0).to_numpy(zero_copy_only=False), FILTER_BITS)
+            slots = _slot(ids.fill_null(0).to_numpy(zero_copy_only=False), size)
             batch = batch.filter(pa.array(bits[slots] & ids.is_valid().to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for _, s in sets_of(batch.column(1), words)], pa.binary())], ["doc", "items"])
 
@@ -339,7 +352,7 @@ def _between(tokens: DataFrame, labels: DataFrame, outlines: DataFrame, percent:
     return found.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).where("k >= need").select("a", "b")
 
 
-def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85, sketch_bits: int = 21) -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document row: the size of its set of `words`-word shingles,
     and the smallest doc_id reachable by pairs with Jaccard similarity of at least percent / 100.
 
@@ -350,6 +363,7 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85,
     An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch_bits = _bits(docs.count(), 8, SKETCH_BITS)
     base = saved(sizes_and_sketch(docs, words, sketch_bits), "base")
     sizes = base.where("segment is null").select("doc_id", "n_shingles")
     outlines = base.where("segment is null and doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("counts").alias("outline"))
@@ -368,9 +382,19 @@ def ngram_jaccard_join(documents: DataFrame, words: int = 4, percent: int = 85,
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each_group(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """documents with one row of each group of linked documents: that of the smallest doc_id. Rows without a doc_id stay, as nothing can name them."""
-    kept = ngram_jaccard_join(documents, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return first.unionByName(documents.where("doc_id is null")).select(*documents.columns)
+def one_of_each_group(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """documents with one row of each group of linked texts: that of the smallest doc_id, null ids last.
+
+    A row is named by its doc_id and a 64-bit hash of both it and its text, so rows that share an id but not a text are judged
+    apart, and of rows equal in both one stays. Null and blank texts link with nothing; all columns stay, whatever
+    their names; an empty table gives an empty result.
+    """
+    [node, many, row] = free_names(["node", "many", "row"], documents.columns)
+    named = documents.withColumn(node, F.xxhash64("doc_id", "text"))
+    ids = named.select(F.col(f"`{node}`").alias("node"), F.col("doc_id").cast("long").alias("id")).groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    groups = ngram_jaccard_join(named.select(F.col(f"`{node}`").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("node"), "component_id").distinct()
+    first = groups.join(ids, "node").groupBy("component_id").agg(F.min_by(F.struct("node", "n"), F.struct(F.col("id").isNull(), "id", "node")).alias("first"))
+    kept = saved(first.select(F.col("first.node").alias(node), (F.col("first.n") > 1).alias(many)), "kept")
+    chosen = named.join(kept.where(f"not `{many}`"), node, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+    repeated = named.join(kept.where(f"`{many}`"), node, "left_semi").groupBy(f"`{node}`").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias(row))
+    return chosen.unionByName(repeated.select(*[F.col(f"`{row}`")[c].alias(c) for c in documents.columns]))

@@ -45,3 +45,40 @@ def test_stages(spark, corpus):
     assert text[203].endswith("mail <EMAIL> now") and all(text[i] == texts[i] for i in text if i != 203)
     packed = corpus_pipeline.packing(spark, docs, path).collect()
     assert {r.doc_id for r in packed} == kept[3]
+
+
+CLASHING = "doc_id long, text string, n_chars long, _id long, _key string, _n int, _spans string, node string, many int, row string, score double, `spans of ip` string, hit_doc string"
+
+
+def clashing_rows():
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+    same, other = prose(40), prose(40)
+    rows = [(1, same, 1), (2, same, 2), (3, other, 3), (3, other, 3), (3, prose(40), 4), (None, prose(9), 5), (None, same, 6), (7, None, 7), (8, "", 8), (9, "1.2.3.4 " + prose(30), 9)]
+    return [(i, t, len(t or ""), n, f"k{n}", n, f"s{n}", "x", n, "r", 0.5, "q", "h") for i, t, n in rows]
+
+
+def test_hard_rows(spark, corpus):
+    """Clashing columns, repeated rows, shared ids, nulls and empty tables in every stage that returns documents."""
+    path, _ = corpus
+    docs = spark.createDataFrame(clashing_rows(), CLASHING)
+    want = {"toxicity": docs.count(), "ngram_join": 7, "decontamination": docs.count(), "pii": docs.count()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, path)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert len(rows) == want[name], name
+        if name == "pii":
+            assert sorted(r._n for r in rows if "<IP>" in (r.text or "")) == [9] and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+        else:
+            assert set(rows) <= set(docs.collect())
+        if name == "ngram_join":
+            assert sorted(r._n for r in rows) == [1, 3, 4, 5, 7, 8, 9]
+        assert stage(spark, docs.limit(0), path).count() == 0
+    assert corpus_pipeline.packing(spark, docs, path).count() == docs.count()
+
+
+def test_one_column_less(spark, corpus):
+    """Stages need only doc_id and text."""
+    docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    assert corpus_pipeline.pii(spark, docs, corpus[0]).collect()[0].text == "<EMAIL>"
