@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,8 +12,11 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import saved
 
-TILE = 4096
+TILE = 4096  # rows of a block, at least
+TILE_BYTES = 64 << 20  # of a block, at most
+COPIES = 8  # blocks of a label, while they stay within TILE_BYTES
 STRIP = 512
+OPEN = 50_000
 EXACT = 1024  # so many products of two int8 values add up exactly in float32
 
 
@@ -51,21 +56,21 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float, weight_x:
     links = np.zeros(n + (0 if own else m))
     label = np.arange(n + (0 if own else m))
     shift = 0 if own else n
-    for at in range(0, n, STRIP):
-        rows = slice(at, min(n, at + STRIP))
-        near = products(cx[rows], cy) * sx[rows, None] * sy[None, :]
-        near += dx[rows, None] * ey[None, :] + ex[rows, None] + 1e-9
+    for at, over in itertools.product(range(0, n, STRIP), range(0, m, TILE)):
+        if own and over + TILE <= at:
+            continue
+        rows, others = slice(at, min(n, at + STRIP)), slice(over, min(m, over + TILE))
+        near = products(cx[rows], cy[others]) * sx[rows, None] * sy[None, others]
+        near += dx[rows, None] * ey[None, others] + ex[rows, None] + 1e-9
         i, j = np.nonzero(near >= threshold)
+        i, j = i + at, j + over
         if own:
-            i, j = i[i + at < j], j[i + at < j]
-        if len(i) > near.size // 50:
-            cosine = ((x[rows] @ y.T) / nx[rows, None] / ny[None, :])[i, j]
-        else:
-            cosine = np.concatenate([np.einsum("ij,ij->i", x[at + i[k : k + 50_000]], y[j[k : k + 50_000]]) for k in range(0, len(i), 50_000)] or [np.zeros(0)]) / nx[at + i] / ny[j]
-        i, j = i[cosine >= threshold] + at, j[cosine >= threshold]
+            i, j = i[i < j], j[i < j]
+        cosine = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + OPEN]], y[j[k : k + OPEN]]) for k in range(0, len(i), OPEN)] or [np.zeros(0)]) / nx[i] / ny[j]
+        i, j = i[cosine >= threshold], j[cosine >= threshold]
         np.add.at(links, i, weight_y[j])
         np.add.at(links, j + shift, weight_x[i])
-        for a, b in zip(np.flatnonzero(np.bincount(i, minlength=n)) if len(i) else (), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=False):
+        for a, b in zip(np.unique(i), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=False):
             met = np.unique(np.r_[label[a], label[b + shift]])
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
@@ -77,21 +82,23 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98) -> Da
     """(vec_id, n_links, component_id, kept) for each vector row.
 
     Two rows of the same non-null label and dimension are linked when the cosine of their embeddings, in
-    double precision, is at least the threshold. n_links counts the other rows linked directly,
+    double precision, is at least the threshold; labels are of any type that compares. n_links counts the other rows linked directly,
     component_id is the smallest vec_id reachable. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing. Rows with equal label and embedding are compared as one,
     with their number as weight; vec_ids should be unique, repeated ones make one node. Other columns are
     ignored; an empty table gives an empty result.
 
-    Each label's vectors are dealt by hash over blocks of about TILE rows, and each pair of blocks is a
-    task of its own: a hot label gives more tasks, not larger ones.
+    Each label's vectors are dealt by hash over blocks, and each pair of blocks is a task of its own: a hot label
+    gives more tasks, not larger ones. A vector travels once for each block of its label: at most COPIES times while
+    blocks of TILE_BYTES hold the label, n * its bytes / TILE_BYTES times beyond.
     """
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = vectors.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0))
     groups = saved(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")), "vectors")
     counts = groups.groupBy("label", F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / TILE)
+    fitting = F.greatest(F.lit(TILE), F.least(F.ceil(F.col("n") / COPIES), F.floor(TILE_BYTES / (8 * F.col("size")))))
+    blocks = F.ceil(F.col("n") / fitting)
     dealt = groups.withColumn("size", F.size("embedding")).join(counts.select("label", "size", blocks.alias("blocks")), ["label", "size"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("first"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("label", "size", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "first", "weight", "embedding")

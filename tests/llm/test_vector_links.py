@@ -50,3 +50,23 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([r + (1,) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
     assert {tuple(r) for r in near_duplicate_vectors(df).collect()} == brute(rows)
     assert near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_text_labels(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
+
+
+def test_slices_of_a_tile(monkeypatch):
+    """A tile is worked off in strips and slices; the links are those of the whole."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(90, 8)), rng.normal(size=(70, 8))
+    y[:30] = x[:30] + 0.01 * y[:30]
+    whole = [tile_links(x, None, 0.6, np.ones(90), np.ones(90)), tile_links(x, y, 0.6, np.ones(90), np.ones(70))]
+    monkeypatch.setattr(vector_links, "TILE", 16)
+    monkeypatch.setattr(vector_links, "STRIP", 12)
+    monkeypatch.setattr(vector_links, "OPEN", 7)
+    parts = [tile_links(x, None, 0.6, np.ones(90), np.ones(90)), tile_links(x, y, 0.6, np.ones(90), np.ones(70))]
+    for a, b in zip(whole, parts, strict=True):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
