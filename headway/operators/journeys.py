@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,42 +24,65 @@ def connections(trip_times: DataFrame) -> DataFrame:
     return rides.withColumn("later", later).where("later is null or arr < later").drop("later")
 
 
+def boardable(rides: DataFrame, earliest: int) -> tuple[DataFrame, int]:
+    """The rides with `after`, the departure before (src, dst) that each follows, once for each slot of time in (after, dep]; and the width of a slot.
+
+    Whoever is at src at a time in (after, dep] takes that ride to dst and no other. A slot is as wide as the mean
+    gap between rides, so the table has about twice as many rows as there are rides.
+    """
+    before = F.lag("dep").over(Window.partitionBy("src", "dst").orderBy("dep"))
+    spans = saved(rides.withColumn("after", F.greatest(F.coalesce(before, F.lit(earliest - 1)), F.lit(earliest - 1))).where(F.col("dep") >= earliest), "rides")
+    mean = spans.agg(F.avg(F.col("dep") - F.col("after"))).first()[0]
+    width = max(1, math.ceil(mean or 1))
+    slots = F.sequence(F.floor((F.col("after") + 1) / width), F.floor(F.col("dep") / width))
+    return spans.withColumn("slot", F.explode(slots)), width
+
+
 def scan(queries: DataFrame, rides: DataFrame, transfers: DataFrame, rounds: int = 6) -> DataFrame:
     """(query_id, k, station, arr, kind, prev, prev_k, left): the labels improved in round k with their predecessors.
 
     queries(query_id, origin, dest, departure_sec). Round 0 is the origin and one walk; each further round takes
     one ride from labels of the round before, then one walk from where it arrived. Labels not earlier than
-    the destination's so far are not expanded.
+    the destination's so far are not expanded. A label meets one ride a destination, the next one.
     """
-    rides, walks = small(saved(rides, "rides")), small(saved(transfers, "walks"))
+    earliest = queries.agg(F.min("departure_sec")).first()[0]
+    slots, width = boardable(rides, earliest or 0)
+    slots, walks = small(saved(slots, "slots")), small(saved(transfers, "walks"))
     label = lambda df, k, kind: df.select("query_id", F.lit(k).alias("k"), "station", "arr", F.lit(kind).alias("kind"), "prev", "prev_k", "left")
 
     def walked(frontier: DataFrame, k: int) -> DataFrame:
         w = frontier.join(walks, frontier.station == walks.src)
         return label(w.select("query_id", F.col("dst").alias("station"), (F.col("arr") + F.col("min_sec")).alias("arr"), F.col("station").alias("prev"), F.lit(k).alias("prev_k"), F.col("arr").alias("left")), k, "WALK")
 
-    def best_of(df: DataFrame) -> DataFrame:
-        return df.groupBy("query_id", "station").agg(F.min(F.struct("arr", "kind", "k", "prev", "prev_k", "left")).alias("b")).select("query_id", "b.k", "station", "b.arr", "b.kind", "b.prev", "b.prev_k", "b.left")
+    def best_of(df: DataFrame, k: int) -> DataFrame:
+        """The label of least arrival, a ride before a walk, then of least station before; as one long, so that it is hashed and never sorted."""
+        order = F.shiftleft(F.col("arr").cast("long"), 32) + F.when(F.col("kind") == "WALK", 1 << 31).otherwise(0) + F.col("prev")
+        best = df.withColumn("order", order).groupBy("query_id", "station").agg(F.min("order").alias("o"), F.min_by("left", "order").alias("left"))
+        walk = F.col("o").bitwiseAND(1 << 31) != 0
+        kind, prev_k = F.when(walk, "WALK").otherwise("RIDE"), F.when(walk, k).otherwise(k - 1)
+        return best.select("query_id", F.lit(k).alias("k"), "station", F.shiftright("o", 32).cast("int").alias("arr"), kind.alias("kind"), F.col("o").bitwiseAND((1 << 31) - 1).cast("int").alias("prev"), prev_k.alias("prev_k"), "left")
 
     null = F.lit(None).cast("int")
     start = label(queries.select("query_id", F.col("origin").alias("station"), F.col("departure_sec").alias("arr"), null.alias("prev"), null.alias("prev_k"), null.alias("left")), 0, "START")
-    labels = saved(best_of(start.union(walked(start, 0))), "labels")
+    first = walked(start, 0).union(start).groupBy("query_id", "station").agg(F.min(F.struct("arr", "kind", "prev", "prev_k", "left")).alias("b"))
+    labels = saved(first.select("query_id", F.lit(0).alias("k"), "station", "b.*"), "labels")
     frontier, best = labels, labels.select("query_id", "station", F.col("arr").alias("known"))
     dest = queries.select("query_id", F.col("dest").alias("station"))
     for k in range(1, max(rounds, 1) + 1):
         bound = best.join(dest, ["query_id", "station"]).select("query_id", F.col("known").alias("bound"))
-        near = frontier.join(bound, "query_id", "left").where("bound is null or arr < bound")
-        ride = near.join(rides.withColumnRenamed("arr", "at"), (near.station == rides.src) & (rides.dep >= near.arr))
+        near = frontier.join(bound, "query_id", "left").where("bound is null or arr < bound").select("query_id", "station", "arr")
+        near = near.withColumn("slot", F.floor(F.col("arr") / width))
+        ride = near.join(slots.withColumnRenamed("arr", "at").withColumnRenamed("src", "station"), ["station", "slot"]).where("arr > after and arr <= dep")
         ride = label(ride.select("query_id", F.col("dst").alias("station"), F.col("at").alias("arr"), F.col("station").alias("prev"), F.lit(k - 1).alias("prev_k"), F.col("dep").alias("left")), k, "RIDE")
-        ride = best_of(ride)
+        ride = best_of(ride, k)
         ride = saved(ride.join(best, ["query_id", "station"], "left").where("known is null or arr < known").select(*labels.columns), "rides-taken")
-        new = best_of(ride.union(walked(ride, k)))
+        new = best_of(ride.union(walked(ride, k)), k)
         frontier = saved(new.join(best, ["query_id", "station"], "left").where("known is null or arr < known").select(*labels.columns), "frontier")
         if frontier.isEmpty():
             break
         # a station that a walk improved keeps its ride as well: walks start from rides
-        labels = saved(labels.union(frontier).union(ride.join(frontier.where("kind = 'WALK'").select("query_id", "station"), ["query_id", "station"], "left_semi").select(*labels.columns)), "labels")
-        best = saved(labels.groupBy("query_id", "station").agg(F.min("arr").alias("known")), "best")
+        labels = labels.union(ride).union(frontier.where("kind = 'WALK'"))
+        best = saved(best.union(frontier.select("query_id", "station", F.col("arr").alias("known"))).groupBy("query_id", "station").agg(F.min("known").alias("known")), "best")
     return labels
 
 
