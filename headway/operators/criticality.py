@@ -46,12 +46,13 @@ def window_join(cascades: DataFrame, predictions: DataFrame, window_ms: int = WI
 
 
 def interval_join(cascades: DataFrame, predictions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """All pairs of a station within the window, left outer. Both sides are also cut into time buckets, so that the join has equal keys and no hot station."""
+    """All pairs of a station within the window, left outer; repeated event ids stay apart. Both sides are also cut into time buckets, so that the join has equal keys and no hot station."""
     c = cascades.withColumn("_b", F.explode(F.array(*[F.floor(F.col("event_time_ms") / window_ms) + k for k in (-1, 0, 1)])))
     p = predictions.select(F.col("station").alias("_s"), F.col("event_id").alias("prediction_id"), F.col("event_time_ms").alias("_t"), "escalation", F.floor(F.col("event_time_ms") / window_ms).alias("_p"))
     pairs = c.join(p, (F.col("station") == F.col("_s")) & (F.col("_b") == F.col("_p")) & (F.abs(F.col("event_time_ms") - F.col("_t")) <= window_ms))
-    pairs = pairs.select("event_id", "prediction_id", "escalation", F.abs(F.col("event_time_ms") - F.col("_t")).alias("lag_ms"))
-    return cascades.join(pairs, "event_id", "left").withColumn("lag_ms", F.coalesce("lag_ms", F.lit(-1)))
+    pairs = pairs.select(*cascades.columns, "prediction_id", "escalation", F.abs(F.col("event_time_ms") - F.col("_t")).alias("lag_ms"))
+    alone = cascades.join(pairs.select(*SIDE).distinct(), SIDE, "left_anti").select(*cascades.columns)
+    return pairs.unionByName(alone.withColumn("lag_ms", F.lit(-1).cast("long")), allowMissingColumns=True)
 
 
 def score(rows: DataFrame, ranks: DataFrame, weights: tuple[float, float, float] = (W_DELAY, W_MISSED, W_ESCALATE), gain: float = BETA_GAIN, divisor: float = 60.0) -> DataFrame:
@@ -60,7 +61,7 @@ def score(rows: DataFrame, ranks: DataFrame, weights: tuple[float, float, float]
     hub = ranks.join(F.broadcast(top), F.lit(True)).select("station", (1 + gain * F.coalesce(F.try_divide(F.col("pagerank"), F.col("top")), F.lit(0.0))).alias("_beta"))
     real = lambda c: F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c)
     clamp = lambda c: F.least(F.greatest(real(c), F.lit(0.0)), F.lit(1.0))
-    out = rows.join(F.broadcast(hub), "station", "left")
+    out = rows.join(hub, "station", "left")
     out = out.withColumns({"t_impact": F.greatest(real(F.col("delay").cast("double")), F.lit(0.0)) / divisor, "p_miss": F.coalesce(F.col("missed").cast("double"), F.lit(0.0)), "i_escalate": clamp(F.col("escalation").cast("double")), "beta_hub": F.coalesce("_beta", F.lit(1.0))})
     out = out.withColumn("v_context", weights[0] * F.col("t_impact") + weights[1] * F.col("p_miss") + weights[2] * F.col("i_escalate"))
     return out.withColumn("total", F.col("beta_hub") * F.col("v_context")).drop("_beta")
@@ -69,7 +70,7 @@ def score(rows: DataFrame, ranks: DataFrame, weights: tuple[float, float, float]
 def criticality_events(scored: DataFrame, nodes: DataFrame, graph_version: str, decision_time_ms: int) -> DataFrame:
     """Events with provenance: both ids, lag, whether a prediction joined, the station's name."""
     parts = ["t_impact", "p_miss", "i_escalate", "v_context", "beta_hub", "total"]
-    named = scored.join(F.broadcast(nodes.select("station", F.col("name").alias("station_name"))), "station", "left")
+    named = scored.join(nodes.select("station", F.col("name").alias("station_name")), "station", "left")
     out = named.select(F.col("station").alias("station_id"), "station_name", F.struct(*parts).alias("score"), F.col("cascade_id").alias("cascade_event_id"), F.col("prediction_id").alias("prediction_event_id"), F.col("lag_ms").alias("join_lag_ms"), F.col("prediction_id").isNotNull().alias("prediction_joined"), F.lit(graph_version).alias("graph_version"), "event_time_ms", F.lit(decision_time_ms).cast("long").alias("decision_time_ms"))
     return out.withColumn("event_id", content_id("cascade_event_id", "prediction_event_id"))
 

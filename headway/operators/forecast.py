@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import saved
+
 HISTORY, HORIZON_S, FRAME_S, SCALE_S, WARM = 12, 1800, 60, 600.0, 3
 LATE_S, FLOOR_S, COLD, P90, P95 = 60.0, 30.0, 1.10, 1.25, 1.40
+MOST_FRAMES = 10_000_000
 
 
 def latest_observation(observations: DataFrame, n_stations: int | None = None) -> DataFrame:
@@ -19,13 +22,16 @@ def latest_observation(observations: DataFrame, n_stations: int | None = None) -
 def frames(observations: DataFrame, frame_seconds: int = FRAME_S, max_age_frames: int | None = None) -> DataFrame:
     """(station, frame, delay, fresh): every station's delay at the end of each frame, carried forward, 0 before its first reading.
 
-    observations(station, ts seconds, delay). A reading may expire after max_age_frames.
+    observations(station, ts seconds, delay). A reading may expire after max_age_frames. A span of more than
+    MOST_FRAMES frames, as of a reading from 1970, is an error.
     """
     of = observations.select("station", F.floor(F.col("ts") / frame_seconds).cast("long").alias("frame"), "ts", "delay")
     read = of.groupBy("station", "frame").agg(F.max_by("delay", F.struct("ts", "delay")).alias("read"))
     span = read.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).first()
     if span.lo is None:
         return read.select("station", "frame", F.col("read").alias("delay"), F.lit(False).alias("fresh"))
+    if span.hi - span.lo > MOST_FRAMES:
+        raise ValueError(f"readings span {span.hi - span.lo} frames: reject those with a wrong time first")
     grid = read.select("station").distinct().select("station", F.explode(F.sequence(F.lit(span.lo).cast("long"), F.lit(span.hi).cast("long"))).alias("frame"))
     past = Window.partitionBy("station").orderBy("frame")
     rows = grid.join(read, ["station", "frame"], "left")
@@ -97,10 +103,21 @@ def predict_residuals(model, rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def rank_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...] = (0.5, 0.95, 0.99), keys: tuple[str, ...] = ()) -> DataFrame:
-    """The values at index int(q (n - 1)) of the sorted sample, by a ranking window: no sample is gathered into an array."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.select(*keys, value, (F.row_number().over(order) - 1).alias("_i")).join(rows.groupBy(*keys).agg(F.count(value).alias("_n")), list(keys)) if keys else None
-    if ranked is None:
-        return rows.agg(*[F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"p{round(q * 100)}") for q in fractions])
-    pick = [F.max(F.when(F.col("_i") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(f"p{round(q * 100)}") for q in fractions]
-    return ranked.groupBy(*keys).agg(*pick)
+    """The values at index int(q (n - 1)) of the sorted sample of each key; nulls are no part of it.
+
+    Values are counted first and the counts dealt by range, so a hot key is spread over tasks: each adds up its own
+    counts, on top of one total for every range before it. No rows and no keys give one row of nulls.
+    """
+    named = rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
+    group = [*keys, "_all"]
+    counts = named.groupBy(*group, value).agg(F.count("*").alias("_n")).repartitionByRange(*group, value)
+    counts = saved(counts.withColumn("_part", F.spark_partition_id()), "counts")
+    totals = counts.groupBy(*group, "_part").agg(F.sum("_n").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy(*group)).alias("_size"))
+    own = F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy(value))
+    placed = counts.withColumn("_own", own).alias("c").join(totals.alias("t"), [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*group, "_part"]])
+    last, n, size = F.col("_own") + F.col("_before"), F.col("_n"), F.col("_size")
+    index = lambda q: F.floor(F.lit(q) * (size - 1))
+    pick = [F.max(F.when((index(q) < last) & (index(q) >= last - n), F.col(f"c.{value}"))).alias(f"p{round(q * 100)}") for q in fractions]
+    return placed.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys]).agg(*pick)

@@ -14,26 +14,28 @@ dwells AS (SELECT station, CAST(least(greatest(floor(avg(dep - arr) - min(dep -
 walks AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, 30 AS min_sec, 20 AS slack_sec FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
 nodes AS (SELECT DISTINCT station, n_name AS name FROM calls JOIN nation ON n_nationkey = station)"""
 EV = """ev AS (SELECT event_id, epoch_us(ts) // 1000 AS t, CAST(user_id % 25 AS INT) AS station, 'T' || user_id AS trip_id, event_type, value FROM events)"""
-SOURCES = """sources AS (SELECT 'S' || station AS source_id, station, CAST(floor(max(value) + 0.5) AS BIGINT) AS delay FROM ev WHERE value > 200 AND station IN (SELECT station FROM nodes) GROUP BY station)"""
+SOURCES = """sources AS (SELECT 'S' || event_id AS source_id, station, CAST(floor(value + 0.5) AS INT) AS delay FROM ev WHERE floor(value + 0.5) > 0 AND station IN (SELECT station FROM nodes))"""
 
 
 def _cascade() -> str:
+    """What absorbs least between any two stations, over 1, 2, 4 .. 128 hops; a residual is what a source's delay exceeds it by."""
     out = [f"WITH {CALLS}, {EV}, {SOURCES}", """ways AS (SELECT src, dst, min(absorb) AS absorb FROM (
       SELECT src, dst, run_slack_sec + coalesce(dwell_slack_sec, 0) AS absorb FROM edges LEFT JOIN dwells ON station = dst UNION ALL SELECT src, dst, slack_sec FROM walks) GROUP BY ALL)""",
-      "r0 AS (SELECT source_id, station, delay AS residual FROM sources)"]
-    for k in range(1, 7):
-        out.append(f"r{k} AS (SELECT source_id, station, max(residual) AS residual FROM (SELECT * FROM r{k - 1} UNION ALL SELECT source_id, dst, residual - absorb FROM r{k - 1} JOIN ways ON station = src WHERE residual - absorb > 0) GROUP BY ALL)")
+      "a0 AS MATERIALIZED (SELECT src, dst, min(absorb) AS absorb FROM (SELECT * FROM ways UNION ALL SELECT station, station, 0 FROM nodes) GROUP BY ALL)"]
+    for k in range(1, 8):
+        out.append(f"a{k} AS MATERIALIZED (SELECT x.src, y.dst, min(x.absorb + y.absorb) AS absorb FROM a{k - 1} x JOIN a{k - 1} y ON x.dst = y.src GROUP BY ALL)")
+    out.append("hit AS (SELECT source_id, dst AS station, CAST(delay - absorb AS INT) AS residual FROM sources JOIN a7 ON src = station WHERE delay > absorb)")
     return ", ".join(out)
 
 
 def _ranks(teleport: str) -> str:
-    out = [f"WITH {CALLS}", "links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM (SELECT DISTINCT src, dst FROM edges))", f"base AS ({teleport})", "r0 AS (SELECT station, t, t AS r FROM base)"]
-    for k in range(1, 11):
-        p = k - 1
-        out.append(f"""d{k} AS (SELECT coalesce(sum(r), 0) AS s FROM r{p} WHERE station NOT IN (SELECT src FROM links)),
-          g{k} AS (SELECT dst, sum(r / degree) AS got FROM links JOIN r{p} ON station = src GROUP BY dst),
-          r{k} AS (SELECT station, t, 0.15 * t + 0.85 * (coalesce(got, 0) + (SELECT s FROM d{k}) * t) AS r FROM base LEFT JOIN g{k} ON dst = station)""")
-    return ", ".join(out) + " SELECT station, round(r, 8) AS pagerank FROM r10"
+    """50 rounds; a station without links passes its rank on as the teleport does."""
+    return f"""WITH RECURSIVE {CALLS}, links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM (SELECT DISTINCT src, dst FROM edges)), base AS ({teleport}),
+      share AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / degree AS p FROM links UNION ALL SELECT a.station, b.station, b.t FROM base a, base b WHERE a.station NOT IN (SELECT src FROM links)),
+      plain AS MATERIALIZED (SELECT station, t FROM base),
+      r(k, station, r) AS (SELECT 0, station, t FROM plain UNION ALL
+        SELECT any_value(k) + 1, station, 0.15 * any_value(t) + 0.85 * sum(part) FROM (SELECT r.k, plain.station, plain.t, coalesce(r.r * share.p, 0) AS part FROM plain JOIN r ON true LEFT JOIN share ON share.src = r.station AND share.dst = plain.station WHERE r.k < 50) GROUP BY station)
+      SELECT station, round(r, 8) AS pagerank FROM r WHERE k = 50"""
 
 
 W = f"""WITH {CALLS}, pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(run_sec) AS t FROM edges WHERE src <> dst GROUP BY ALL),
@@ -46,6 +48,14 @@ scaled AS (SELECT "row", col, val * 1.0 - CASE WHEN "row" = col THEN 1.0 ELSE 0.
 
 SIDES = f"""{EV}, c AS (SELECT * FROM ev WHERE event_type IN ('click', 'view')), p AS (SELECT * FROM ev WHERE event_type IN ('purchase', 'signup'))"""
 
+# A cascade takes its station's last prediction before it, if near; else the first near prediction after it, up to the next cascade that waits.
+JOINED = f"""{SIDES}, now AS (SELECT c.station, c.event_id, c.t, c.value, c.event_type = 'click' AS missed, arg_max(struct_pack(id := p.event_id, t := p.t, esc := p.value / 500), p.event_id) AS lp FROM c LEFT JOIN p ON p.station = c.station AND p.event_id < c.event_id GROUP BY ALL),
+waits AS (SELECT *, lead(event_id) OVER (PARTITION BY station ORDER BY event_id) AS until FROM now WHERE NOT coalesce(abs(t - lp.t) <= 21600000, false)),
+met AS (SELECT w.event_id, arg_min(struct_pack(id := p.event_id, t := p.t, esc := p.value / 500), p.event_id) AS np FROM waits w JOIN p ON p.station = w.station AND p.event_id > w.event_id AND (until IS NULL OR p.event_id < until) AND abs(p.t - w.t) <= 21600000 GROUP BY w.event_id),
+joined AS (SELECT station, event_id, t, value, missed, lp.id AS pid, lp.esc AS esc, abs(t - lp.t) AS lag_ms FROM now WHERE abs(t - lp.t) <= 21600000
+  UNION ALL SELECT station, event_id, t, value, missed, np.id, np.esc, coalesce(abs(t - np.t), -1) FROM waits LEFT JOIN met USING (event_id)),
+scored AS (SELECT *, CAST(event_id AS VARCHAR) AS cascade_id, (1 + 1.0::DOUBLE / (station + 1) / (SELECT max(1.0::DOUBLE / (station + 1)) FROM nodes)) * (greatest(value, 0) / 60.0::DOUBLE + 2.0 * CAST(missed AS INT) + 3.0 * least(greatest(coalesce(esc, 0.0), 0.0), 1.0)) AS total FROM joined)"""
+
 HOURS = f"""{EV}, reads AS (SELECT station, (t // 1000) // 3600 AS frame, arg_max(value, ((t // 1000), value)) AS v FROM ev GROUP BY ALL),
 grid AS (SELECT s.station, f.frame FROM (SELECT DISTINCT station FROM reads) s, (SELECT unnest(generate_series((SELECT min(frame) FROM reads), (SELECT max(frame) FROM reads))) AS frame) f),
 fr AS (SELECT station, frame, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY station ORDER BY frame), 0.0) AS delay FROM grid LEFT JOIN reads USING (station, frame)),
@@ -64,12 +74,12 @@ def _journeys() -> str:
     out = [f"""WITH {CALLS}, rides AS (SELECT a.station AS src, b.station AS dst, a.dep, b.arr FROM hops a JOIN hops b ON a.trip_id = b.trip_id AND a.pos < b.pos WHERE a.station <> b.station GROUP BY ALL),
       q AS (SELECT 'Q' || c_custkey AS query_id, c_nationkey AS origin, (c_nationkey + 7) % 25 AS dest, CAST(c_custkey * 37 % 2400 AS INT) AS dep0 FROM customer),
       l0 AS (SELECT query_id, station, min(arr) AS arr FROM (SELECT query_id, origin AS station, dep0 AS arr FROM q UNION ALL SELECT query_id, dst, dep0 + min_sec FROM q JOIN walks ON src = origin) GROUP BY ALL)"""]
-    for k in range(1, 4):
+    for k in range(1, 7):
         p = k - 1
-        out.append(f"""m{k} AS (SELECT query_id, dst AS station, min(rides.arr) AS arr FROM l{p} JOIN rides ON src = station AND dep >= l{p}.arr GROUP BY ALL),
+        out.append(f"""m{k} AS MATERIALIZED (SELECT query_id, dst AS station, min(rides.arr) AS arr FROM l{p} JOIN rides ON src = station AND dep >= l{p}.arr GROUP BY ALL),
           i{k} AS (SELECT m.* FROM m{k} m LEFT JOIN l{p} o ON o.query_id = m.query_id AND o.station = m.station WHERE o.arr IS NULL OR m.arr < o.arr),
-          l{k} AS (SELECT query_id, station, min(arr) AS arr FROM (SELECT * FROM l{p} UNION ALL SELECT * FROM i{k} UNION ALL SELECT query_id, dst, arr + min_sec FROM i{k} JOIN walks ON src = station) GROUP BY ALL)""")
-    ends = " UNION ALL ".join(f"SELECT q.query_id, arr AS arrival, {max(k - 1, 0)} AS transfers, {k} AS k FROM l{k} JOIN q ON q.query_id = l{k}.query_id AND station = dest" for k in range(4))
+          l{k} AS MATERIALIZED (SELECT query_id, station, min(arr) AS arr FROM (SELECT * FROM l{p} UNION ALL SELECT * FROM i{k} UNION ALL SELECT query_id, dst, arr + min_sec FROM i{k} JOIN walks ON src = station) GROUP BY ALL)""")
+    ends = " UNION ALL ".join(f"SELECT q.query_id, arr AS arrival, {max(k - 1, 0)} AS transfers, {k} AS k FROM l{k} JOIN q ON q.query_id = l{k}.query_id AND station = dest" for k in range(7))
     out.append(f"ends AS (SELECT query_id, transfers, min(arrival) AS arrival FROM ({ends}) GROUP BY ALL)")
     return ", ".join(out) + " SELECT query_id, arrival, transfers FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id ORDER BY transfers ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ends) WHERE b IS NULL OR arrival < b"
 
@@ -91,8 +101,8 @@ ORACLES = {
     "signalling_events": f"WITH {EV} SELECT 'B' || station AS block_id, CASE event_type WHEN 'click' THEN 'OCCUPIED' WHEN 'view' THEN 'CLEAR' WHEN 'signup' THEN 'FAILED' ELSE 'UNSPECIFIED' END AS block_state, count(*) AS n, max(t) AS last_ms FROM ev GROUP BY ALL",
     "incident_events": f"WITH {EV} SELECT 'L' || station AS key, CASE event_type WHEN 'error' THEN 'INFRASTRUCTURE' ELSE 'EXTERNAL' END AS category, 'MAJOR' AS severity, count(*) AS n, 2 * count(*) AS stations FROM ev WHERE event_type IN ('error', 'purchase') GROUP BY ALL",
     "trip_partitions": f"WITH {EV} SELECT trip_id, 1 AS partitions, count(*) AS events FROM ev GROUP BY trip_id",
-    "cascade_residuals": f"{_cascade()} SELECT source_id, station, residual FROM r6",
-    "cascade_summary": f"{_cascade()} SELECT source_id, count(*) AS stations_hit, max(residual) AS peak_residual, CAST(sum(residual) AS BIGINT) AS total_residual FROM r6 GROUP BY source_id",
+    "cascade_residuals": f"{_cascade()} SELECT source_id, station, residual FROM hit",
+    "cascade_summary": f"{_cascade()} SELECT source_id, count(*) AS stations_hit, max(residual) AS peak_residual, CAST(sum(residual) AS BIGINT) AS total_residual FROM hit GROUP BY source_id",
     "pagerank": _ranks("SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t FROM nodes"),
     "pagerank_personalised": _ranks("SELECT station, (station % 3 + 0.5)::DOUBLE / (SELECT sum(station % 3 + 0.5)::DOUBLE FROM nodes) AS t FROM nodes"),
     "kernel_weights": f"{W} SELECT a, b, round(w, 8) AS w FROM weights",
@@ -100,13 +110,21 @@ ORACLES = {
     "adjacency": f"""{W}, own AS (SELECT * FROM sym UNION ALL SELECT station, station, 1.0 FROM nodes), od AS (SELECT r, sum(w) AS d FROM own GROUP BY r)
       SELECT o.r AS "row", o.c AS col, round(w / sqrt(x.d * y.d), 8) AS val FROM own o JOIN od x ON x.r = o.r JOIN od y ON y.r = o.c""",
     "scaled_laplacian": f'{W} SELECT "row", col, CASE WHEN round(val, 8) = 0 THEN 0.0 ELSE round(val, 8) END AS val FROM scaled',
+    "lambda_max": f"""{W.replace("WITH calls", "WITH RECURSIVE calls", 1)}, l AS MATERIALIZED (SELECT * FROM lap), n AS MATERIALIZED (SELECT station FROM nodes),
+      v(k, station, x) AS (SELECT 0, station, 1 / sqrt((SELECT count(*) FROM n)::DOUBLE) FROM n UNION ALL
+        SELECT k + 1, "row", y / sqrt(sum(y * y) OVER ()) FROM (SELECT any_value(k) AS k, "row", sum(val * x) AS y FROM v JOIN l ON col = station WHERE k < 99 GROUP BY "row"))
+      SELECT (SELECT count(*) FROM n) AS stations, round(least(greatest(sum(val * a.x * b.x), 1e-6), 2.0), 8) AS lambda_max FROM l JOIN v a ON a.station = "row" AND a.k = 99 JOIN v b ON b.station = col AND b.k = 99""",
     "diffusion": f"WITH {CALLS} SELECT src AS \"row\", dst AS col, round(1.0 / count(*) OVER (PARTITION BY src), 8) AS val FROM (SELECT DISTINCT src, dst FROM edges)",
     "cheb_features": f"""{W}, t0 AS (SELECT station, (station % 5)::DOUBLE AS x FROM nodes), t1 AS (SELECT "row" AS station, sum(val * x) AS x FROM scaled JOIN t0 ON station = col GROUP BY ALL),
       t2 AS (SELECT s.station, 2 * s.x - t0.x AS x FROM (SELECT "row" AS station, sum(val * x) AS x FROM scaled JOIN t1 ON station = col GROUP BY ALL) s JOIN t0 USING (station))
       SELECT station, 0 AS k, round(x, 6) AS x FROM t0 UNION ALL SELECT station, 1, round(x, 6) FROM t1 UNION ALL SELECT station, 2, round(x, 6) FROM t2""",
+    "criticality_join": f"WITH {CALLS}, {JOINED} SELECT station, CAST(event_id AS VARCHAR) AS cascade_id, CAST(pid AS VARCHAR) AS prediction_id, CAST(lag_ms AS BIGINT) AS lag_ms FROM joined",
+    "criticality_latest": f"WITH {CALLS}, {JOINED} SELECT station, arg_max(cascade_id, (t, cascade_id)) AS cascade_id, round(arg_max(total, (t, cascade_id)), 6) AS total FROM scored GROUP BY station",
+    "criticality_events": f"WITH {CALLS}, {JOINED} SELECT s.station AS station_id, name AS station_name, pid IS NOT NULL AS prediction_joined, count(*) AS n, round(sum(total), 4) AS total FROM scored s LEFT JOIN nodes USING (station) GROUP BY ALL",
+    "topk_decisions": f"WITH {CALLS}, {JOINED}, o AS (SELECT station, cascade_id, row_number() OVER (PARTITION BY station ORDER BY total DESC, cascade_id) AS i FROM scored) SELECT station, string_agg(cascade_id, ',' ORDER BY i) AS cascades FROM o WHERE i <= 3 GROUP BY station",
     "criticality_interval": f"""WITH {SIDES} SELECT c.station, count(p.event_id) AS pairs, count(*) - count(p.event_id) AS alone, CAST(sum(coalesce(abs(c.t - p.t), -1)) AS BIGINT) AS lag_ms
       FROM c LEFT JOIN p ON p.station = c.station AND abs(c.t - p.t) <= 21600000 GROUP BY c.station""",
-    "criticality_top": f"{_cascade()} SELECT station, round(max(residual)::DOUBLE, 3) AS total FROM r6 GROUP BY station ORDER BY total DESC, station LIMIT 10",
+    "criticality_top": f"{_cascade()} SELECT station, round(max(residual)::DOUBLE, 3) AS total FROM hit GROUP BY station ORDER BY total DESC, station LIMIT 10",
     "latest_observation": f"WITH {EV} SELECT station, arg_max(value, (t // 1000, value, trip_id)) AS delay, arg_max(trip_id, (t // 1000, value, trip_id)) AS trip_id FROM ev GROUP BY station",
     "frames_resampled": f"WITH {HOURS} SELECT station, frame, delay FROM fr",
     "rolling_history": f"WITH {HOURS} SELECT station, frame, seen, frames, round(total, 6) AS total FROM hist",

@@ -49,10 +49,12 @@ def _from_zip(spark: SparkSession, location: str, table: str) -> DataFrame:
         for frame in frames:
             for content in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.rsplit("/", 1)[-1] == f"{table}.txt":
-                            rows = csv.DictReader(io.TextIOWrapper(z.open(name), "utf-8-sig"), skipinitialspace=True)
-                            rows = [[(r.get(c) or "").strip() or None for c in columns] for r in ({(k or "").strip(): v for k, v in x.items()} for x in rows)]
-                            yield pd.DataFrame(rows, columns=columns)
+                    held = [name for name in z.namelist() if name.rsplit("/", 1)[-1] == f"{table}.txt"]
+                    if not held and table not in OPTIONAL:
+                        raise FileNotFoundError(f"{table}.txt is not in {location}")
+                    for name in held:
+                        rows = csv.DictReader(io.TextIOWrapper(z.open(name), "utf-8-sig"), skipinitialspace=True)
+                        rows = [[(r.get(c) or "").strip() or None for c in columns] for r in ({(k or "").strip(): v for k, v in x.items()} for x in rows)]
+                        yield pd.DataFrame(rows, columns=columns)
 
     return spark.read.format("binaryFile").load(location).select("content").mapInPandas(members, ", ".join(f"{c} string" for c in columns))

@@ -137,7 +137,10 @@ def realtime_frames(entities: DataFrame, source: str) -> DataFrame:
     return trips.unionByName(vehicles).withColumn("source_feed", F.lit(source))
 
 
-def write_routed(normalized: DataFrame, path: str, ingest_time_ms: int) -> None:
-    """Sinks of one batch: a table for each kind of accepted rows, and one of dead letters. Batch ids make retries overwrite themselves."""
-    accepted(normalized).write.mode("append").partitionBy("kind").parquet(f"{path}/events")
-    dead_letters(normalized, ingest_time_ms).write.mode("append").parquet(f"{path}/dead_letters")
+def write_routed(normalized: DataFrame, path: str, ingest_time_ms: int, batch: str) -> None:
+    """Sinks of one batch: a table for each kind of accepted rows, and one of dead letters.
+
+    Each batch has folders of its own, so a retry of the same batch overwrites what it wrote before.
+    """
+    accepted(normalized).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/events/batch={batch}")
+    dead_letters(normalized, ingest_time_ms).write.mode("overwrite").parquet(f"{path}/dead_letters/batch={batch}")
