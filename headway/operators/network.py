@@ -84,9 +84,9 @@ def merged_edges(all_edges: DataFrame) -> DataFrame:
 
 
 def transfers(feed: DataFrame, stops: DataFrame, seen: DataFrame, slack: int = TRANSFER_SLACK) -> DataFrame:
-    """(src, dst, min_sec, slack_sec) between visited stations in both directions; the last of duplicates in file order wins."""
+    """(src, dst, min_sec, slack_sec) between visited stations in both directions; the last of duplicates wins, by row_no where the feed has it, else in the order of its one file."""
     to = small(station_of_stop(stops).join(seen.select("station", F.col("stop_id").alias("station_stop")), "station_stop").select("stop_id", "station"))
-    rows = feed.withColumn("row_no", F.monotonically_increasing_id())
+    rows = feed if "row_no" in feed.columns else feed.withColumn("row_no", F.monotonically_increasing_id())
     rows = rows.join(to.select(F.col("stop_id").alias("from_stop_id"), F.col("station").alias("src")), "from_stop_id").join(to.select(F.col("stop_id").alias("to_stop_id"), F.col("station").alias("dst")), "to_stop_id").where("src != dst")
     minimum = F.greatest(F.coalesce(F.col("min_transfer_time").try_cast("int"), F.lit(TRANSFER_MIN)), F.lit(0))
     rows = rows.select("src", "dst", minimum.alias("min_sec"), "row_no")
@@ -117,7 +117,7 @@ def geometry(calls: DataFrame, shapes: DataFrame) -> DataFrame:
     """(src, dst, path) from the shapes that trips use: each shape is turned to its trip's direction and cut between stops.
 
     Stops are projected forward only, each to its nearest shape point after the last one's.
-    Pieces of fewer than two points are dropped; of several shapes for a pair the first by shape_id wins.
+    Pieces of fewer than two points are dropped; of several pieces for a pair the first by shape_id and place on it wins.
     """
     first = calls.where("shape_id is not null").groupBy("shape_id").agg(F.min("trip_id").alias("trip_id"))
     stops = calls.join(first, ["shape_id", "trip_id"]).groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("seq", "station", "lon", "lat"))).alias("stops"))
@@ -139,11 +139,11 @@ def geometry(calls: DataFrame, shapes: DataFrame) -> DataFrame:
                 for k in range(len(at) - 1):
                     piece = line[places[k] : places[k + 1] + 1]
                     if len(piece) > 1:
-                        rows.append((shape, calls_[k]["station"], calls_[k + 1]["station"], [{"lon": float(x), "lat": float(y)} for x, y in piece]))
-            yield pd.DataFrame(rows, columns=["shape_id", "src", "dst", "path"])
+                        rows.append((shape, k, calls_[k]["station"], calls_[k + 1]["station"], [{"lon": float(x), "lat": float(y)} for x, y in piece]))
+            yield pd.DataFrame(rows, columns=["shape_id", "place", "src", "dst", "path"])
 
-    pieces = stops.join(lines, "shape_id").mapInPandas(cut, "shape_id string, src int, dst int, path array<struct<lon:double,lat:double>>")
-    return pieces.groupBy("src", "dst").agg(F.min_by("path", "shape_id").alias("path"))
+    pieces = stops.join(lines, "shape_id").mapInPandas(cut, "shape_id string, place int, src int, dst int, path array<struct<lon:double,lat:double>>")
+    return pieces.groupBy("src", "dst").agg(F.min_by("path", F.struct("shape_id", "place")).alias("path"))
 
 
 def matrix_view(net_edges: DataFrame, seen: DataFrame, ranks: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:

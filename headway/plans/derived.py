@@ -6,7 +6,7 @@ is the station, times are whole days since 1992, and an order's priority is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RUN_DAYS, DWELL_DAYS, CAP = 180, 30, 600
@@ -41,6 +41,40 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station"), F.col("n_name").alias("name")), "station")
 
 
+def feed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The order tables as a timetable feed, all columns as text.
+
+    Suppliers are platforms of their nation's station, each tenth with a parent that does not exist; a priority is a
+    route and 5-LOW a bus; a day is a minute, some times are missing; each trip has a shape through its stations.
+    """
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    spot = lambda base, c: [(F.col(c) + base).cast("double").cast("string").alias("stop_lat"), (F.col(c) * 0.25).cast("double").cast("string").alias("stop_lon")]
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    lost = F.col("s_suppkey") % 10 == 0
+    platforms = supplier.select(text("S", "s_suppkey").alias("stop_id"), F.col("s_name").alias("stop_name"), *spot(100, "s_suppkey"), F.lit("0").alias("location_type"), F.when(lost, text("X", "s_nationkey")).otherwise(text("N", "s_nationkey")).alias("parent_station"))
+    stations = nation.select(text("N", "n_nationkey").alias("stop_id"), F.col("n_name").alias("stop_name"), *spot(40, "n_nationkey"), F.lit("1").alias("location_type"), F.lit(None).cast("string").alias("parent_station"))
+    orders = table(spark, sf_dir, "orders")
+    line = F.col("o_orderpriority")
+    routes = orders.select(line.alias("route_short_name")).distinct().select(F.concat(F.lit("R"), "route_short_name").alias("route_id"), "route_short_name", F.lit(None).cast("string").alias("route_long_name"), F.when(F.col("route_short_name") == "5-LOW", "3").otherwise("2").alias("route_type"))
+    trips = orders.select(F.concat(F.lit("R"), line).alias("route_id"), F.col("o_orderkey").cast("string").alias("trip_id"), text("H", "o_orderkey").alias("shape_id"))
+    rows = calls(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("trip_id").orderBy(*ORDER)))
+    n = F.col("l_linenumber")
+    clock = lambda t: F.format_string("%d:%02d:%02d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60)
+    stop_times = rows.select(
+        F.col("trip_id").cast("string").alias("trip_id"), F.when((n % 5 != 0) & (n % 7 != 0), clock(F.col("arr").cast("long") * 60)).alias("arrival_time"), F.when((n % 3 != 0) & (n % 7 != 0), clock(F.col("arr").cast("long") * 60 + n % 4 * 30)).alias("departure_time"),
+        text("S", "l_suppkey").alias("stop_id"), F.col("seq").cast("string").alias("stop_sequence"),
+    )
+    key, base = F.when(F.col("l_suppkey") % 10 == 0, F.col("l_suppkey")).otherwise(F.col("station")), F.when(F.col("l_suppkey") % 10 == 0, 100).otherwise(40)
+    shapes = rows.select(text("H", "trip_id").alias("shape_id"), (key + base).cast("string").alias("shape_pt_lat"), (key * 0.25).cast("string").alias("shape_pt_lon"), F.col("seq").cast("string").alias("shape_pt_sequence"))
+    walks = supplier.select(text("S", "s_suppkey").alias("from_stop_id"), F.concat(F.lit("N"), ((F.col("s_nationkey") + F.col("s_suppkey")) % 25).cast("string")).alias("to_stop_id"), F.when(F.col("s_suppkey") % 4 != 0, (F.col("s_suppkey") * 37 % 300).cast("string")).alias("min_transfer_time"), F.col("s_suppkey").alias("row_no"))
+    return {"stops": platforms.unionByName(stations), "routes": routes, "trips": trips, "stop_times": stop_times, "shapes": shapes, "transfers": walks}
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a typed position that is late by its value."""
+    return events(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "trip_id", F.col("station").alias("station_id"), F.col("value").alias("delay_seconds"), F.lit("v1").alias("graph_version"), "event_time_ms")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("event_time_ms"), (F.col("user_id") % 25).cast("int").alias("station"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("trip_id"), "event_type", "value")

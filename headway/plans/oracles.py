@@ -84,7 +84,35 @@ def _journeys() -> str:
     return ", ".join(out) + " SELECT query_id, arrival, transfers FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id ORDER BY transfers ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ends) WHERE b IS NULL OR arrival < b"
 
 
+FEED = f"""WITH days AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS arr FROM lineitem),
+base AS (SELECT CAST(l_orderkey AS VARCHAR) AS trip_id, o_orderpriority AS line, s_suppkey % 10 = 0 AS lost, s_suppkey, s_name, n_nationkey, n_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS seq,
+    CASE WHEN l_linenumber % 5 <> 0 AND l_linenumber % 7 <> 0 THEN arr * 60 END AS a0, CASE WHEN l_linenumber % 3 <> 0 AND l_linenumber % 7 <> 0 THEN arr * 60 + l_linenumber % 4 * 30 END AS d0
+  FROM days JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+known AS (SELECT *, last_value(coalesce(d0, a0) IGNORE NULLS) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM base),
+every AS (SELECT trip_id, line, CASE WHEN lost THEN 'S' || s_suppkey ELSE 'N' || n_nationkey END AS stop_id, CAST(seq AS INT) AS seq, CAST(coalesce(a0, d0, before, 0) AS INT) AS arr, CAST(coalesce(d0, a0, before, 0) AS INT) AS dep,
+    CASE WHEN lost THEN s_name ELSE n_name END AS name, CAST(CASE WHEN lost THEN s_suppkey + 100 ELSE n_nationkey + 40 END AS DOUBLE) AS lat, CASE WHEN lost THEN s_suppkey ELSE n_nationkey END * 0.25::DOUBLE AS lon FROM known),
+rail AS (SELECT * FROM every WHERE line <> '5-LOW'),
+seen AS (SELECT CAST(row_number() OVER (ORDER BY stop_id) - 1 AS INT) AS station, * FROM (SELECT stop_id, min(name) AS name, min(lat) AS lat, min(lon) AS lon, string_agg(DISTINCT line, ',' ORDER BY line) AS lines FROM rail GROUP BY stop_id))"""
+# Consecutive calls at one station are one run; the shape holds each call, so a piece starts with one point a call of its run.
+RUNS = """turns AS (SELECT trip_id, seq, station, lon, lat, CAST(coalesce(station <> lag(station) OVER w, true) AS INT) AS turn FROM rail JOIN seen USING (stop_id, lat, lon) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)),
+runs AS (SELECT trip_id, min(seq) AS first, any_value(station) AS station, CAST(any_value(lon) * 4 AS INT) || ':' || CAST(any_value(lat) AS INT) AS point, count(*) AS n
+  FROM (SELECT *, sum(turn) OVER (PARTITION BY trip_id ORDER BY seq) AS run FROM turns) GROUP BY trip_id, run),
+pieces AS (SELECT trip_id, first, station AS src, lead(station) OVER w AS dst, repeat(point || ',', n) || lead(point) OVER w AS points FROM runs WINDOW w AS (PARTITION BY trip_id ORDER BY first))"""
+
 ORACLES = {
+    "feed_calls": f"{FEED} SELECT * FROM rail",
+    "feed_stations": f"{FEED} SELECT station, stop_id, name, lat, lon, lines FROM seen",
+    "feed_edges": f"""{FEED}, places AS (SELECT stop_id, CAST(row_number() OVER (ORDER BY stop_id) - 1 AS INT) AS station FROM (SELECT DISTINCT stop_id FROM every)),
+      rides AS (SELECT line = '5-LOW' AS bus, station AS src, lead(station) OVER w AS dst, lead(arr) OVER w - dep AS run FROM every JOIN places USING (stop_id) WINDOW w AS (PARTITION BY trip_id ORDER BY seq)),
+      links AS (SELECT bus, src, dst, min(run) AS run_sec, CAST(least(greatest(floor(avg(run) - min(run) + 0.5), 0), 600) AS INT) AS run_slack_sec FROM rides WHERE run >= 0 AND run < 21600 AND dst IS NOT NULL GROUP BY ALL)
+      SELECT src, dst, run_sec, run_slack_sec FROM links QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY run_sec, run_slack_sec) = 1""",
+    "feed_transfers": f"""{FEED}, ends AS (SELECT s_suppkey AS row_no, CASE WHEN s_suppkey % 10 = 0 THEN 'S' || s_suppkey ELSE 'N' || s_nationkey END AS a, 'N' || (s_nationkey + s_suppkey) % 25 AS b, CASE WHEN s_suppkey % 4 = 0 THEN 120 ELSE s_suppkey * 37 % 300 END AS m FROM supplier),
+      way AS (SELECT x.station AS src, y.station AS dst, m, row_no FROM ends JOIN seen x ON x.stop_id = a JOIN seen y ON y.stop_id = b WHERE a <> b)
+      SELECT src, dst, CAST(arg_max(m, row_no) AS INT) AS min_sec, 120 AS slack_sec FROM (SELECT * FROM way UNION ALL SELECT dst, src, m, row_no FROM way) GROUP BY src, dst""",
+    "feed_geometry": f"{FEED}, {RUNS} SELECT src, dst, points FROM pieces WHERE dst IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY 'H' || trip_id, first) = 1",
+    "cascade_impact": f"{_cascade()} SELECT source_id, count(*) AS stations_hit, max(residual) AS peak_residual, CAST(sum(delay - residual) AS BIGINT) AS total_absorbed, count(*) / (SELECT count(*) FROM nodes)::DOUBLE AS network_share FROM hit JOIN sources USING (source_id) GROUP BY source_id",
+    "cascade_events": f"""{_cascade()} SELECT sha256(event_id || '|' || hit.station) AS event_id, CAST(event_id AS VARCHAR) AS origin_event_id, trip_id, hit.station AS station_id, residual::DOUBLE AS propagated_delay_seconds, (delay - residual)::DOUBLE AS absorbed_slack_seconds, 'v1' AS graph_version, t AS event_time_ms, 1706745600000 AS compute_time_ms
+      FROM hit JOIN sources USING (source_id) JOIN ev ON source_id = 'S' || event_id""",
     "network_edges": f"WITH {CALLS} SELECT src, dst, run_sec, run_slack_sec FROM edges",
     "network_dwell": f"WITH {CALLS} SELECT station, dwell_slack_sec FROM dwells",
     "station_rollup": f"WITH {CALLS} SELECT station, count(*) AS calls, string_agg(DISTINCT line, ',' ORDER BY line) AS lines FROM calls GROUP BY station",
@@ -104,6 +132,7 @@ ORACLES = {
     "cascade_residuals": f"{_cascade()} SELECT source_id, station, residual FROM hit",
     "cascade_summary": f"{_cascade()} SELECT source_id, count(*) AS stations_hit, max(residual) AS peak_residual, CAST(sum(residual) AS BIGINT) AS total_residual FROM hit GROUP BY source_id",
     "pagerank": _ranks("SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t FROM nodes"),
+    "top_hubs": _ranks("SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t FROM nodes") + " ORDER BY pagerank DESC, station LIMIT 10",
     "pagerank_personalised": _ranks("SELECT station, (station % 3 + 0.5)::DOUBLE / (SELECT sum(station % 3 + 0.5)::DOUBLE FROM nodes) AS t FROM nodes"),
     "kernel_weights": f"{W} SELECT a, b, round(w, 8) AS w FROM weights",
     "laplacian": f'{W} SELECT "row", col, CASE WHEN round(val, 8) = 0 THEN 0.0 ELSE round(val, 8) END AS val FROM lap',

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import saved, small
 from ..operators import boards, cascade, criticality, forecast, graph, journeys, network
 from ..sources import frames
 from . import derived as d
@@ -69,6 +70,48 @@ def stop_map(spark, sf_dir):
     return network.stop_map(s.select(F.col("s_name").alias("stop_id"), F.col("s_nationkey").alias("station")))
 
 
+def _timetable(spark, sf_dir, types=network.RAIL):
+    f = d.feed(spark, sf_dir)
+    return network.timetable(f["stops"], f["routes"], f["trips"], f["stop_times"], types)
+
+
+def _at_stations(spark, sf_dir, types=network.RAIL):
+    """(calls of the feed with their station's index, stations)."""
+    calls = saved(_timetable(spark, sf_dir, types), "calls")
+    seen = saved(network.stations(calls), "stations")
+    return calls.join(small(seen.select("stop_id", "station")), "stop_id"), seen
+
+
+def feed_calls(spark, sf_dir):
+    """The kept trips' calls at their stations, times filled."""
+    return _timetable(spark, sf_dir).select("trip_id", "line", "stop_id", "seq", "arr", "dep", "name", "lat", "lon")
+
+
+def feed_stations(spark, sf_dir):
+    """T8."""
+    return network.stations(_timetable(spark, sf_dir)).withColumn("lines", F.array_join("lines", ","))
+
+
+def feed_edges(spark, sf_dir):
+    """Edges of trains and of buses over one index, merged."""
+    calls, _ = _at_stations(spark, sf_dir, ("2", "3"))
+    bus = F.col("line") == "5-LOW"
+    return network.merged_edges(network.edges(calls.where(~bus)).union(network.edges(calls.where(bus))))
+
+
+def feed_transfers(spark, sf_dir):
+    """T7."""
+    f = d.feed(spark, sf_dir)
+    return network.transfers(f["transfers"], f["stops"], _at_stations(spark, sf_dir)[1])
+
+
+def feed_geometry(spark, sf_dir):
+    """The listed points, four times the longitude and the latitude, as text."""
+    listing = network.geometry_listing(network.geometry(_at_stations(spark, sf_dir)[0], d.feed(spark, sf_dir)["shapes"]))
+    point = lambda p: F.concat_ws(":", (p[0] * 4).cast("int"), p[1].cast("int"))
+    return listing.select("src", "dst", F.array_join(F.transform("points", point), ",").alias("points"))
+
+
 def normalize_positions(spark, sf_dir):
     rows = frames.accepted(frames.normalize_positions(d.raw_frames(spark, sf_dir), d.stop_ids(spark, sf_dir), d.NOW_MS))
     return rows.select("trip_id", "vehicle_id", "latitude", "longitude", "station_id", "delay_seconds", "event_time_ms")
@@ -119,10 +162,27 @@ def cascade_labels(spark, sf_dir):
     return cascade.propagate(d.sources(spark, sf_dir), _edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir))
 
 
+def cascade_impact(spark, sf_dir):
+    """G11 through its operator, less what ties leave free."""
+    found = cascade.cascade_summary(cascade_labels(spark, sf_dir), d.nodes(spark, sf_dir).count())
+    return found.select("source_id", "stations_hit", "peak_residual", "total_absorbed", "network_share")
+
+
+def cascade_events(spark, sf_dir):
+    """One event for each station that a late position affects, less what ties leave free."""
+    found = cascade.cascade_events(d.positions(spark, sf_dir), _edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir), d.NOW_MS)
+    return found.select("event_id", "origin_event_id", "trip_id", "station_id", "propagated_delay_seconds", "absorbed_slack_seconds", "graph_version", "event_time_ms", "compute_time_ms")
+
+
 def pagerank(spark, sf_dir):
     return graph.pagerank(_edges(spark, sf_dir), d.nodes(spark, sf_dir)).withColumn("pagerank", F.round("pagerank", 8))
 
 
+def top_hubs(spark, sf_dir):
+    """T15."""
+    return network.top_hubs(pagerank(spark, sf_dir))
+
+
 def pagerank_personalised(spark, sf_dir):
     overrides = d.nodes(spark, sf_dir).select(F.lit("station").alias("target"), F.col("station").cast("string").alias("id"), (F.col("station") % 3 + 0.5).cast("double").alias("weight"))
     nodes = d.nodes(spark, sf_dir)
@@ -283,8 +343,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         network_edges, network_dwell, station_rollup, patterns, pattern_index, network_stats, network_matrix, seriation, station_search, stop_map,
+        feed_calls, feed_stations, feed_edges, feed_transfers, feed_geometry,
         normalize_positions, dead_letters, signalling_events, incident_events, trip_partitions,
-        cascade_residuals, cascade_summary, cascade_labels, pagerank, pagerank_personalised, kernel_weights, laplacian, adjacency, scaled_laplacian, lambda_max, diffusion, cheb_features,
+        cascade_residuals, cascade_summary, cascade_labels, cascade_impact, cascade_events, pagerank, top_hubs, pagerank_personalised, kernel_weights, laplacian, adjacency, scaled_laplacian, lambda_max, diffusion, cheb_features,
         criticality_join, criticality_interval, criticality_latest, criticality_events, criticality_top, topk_decisions,
         latest_observation, frames_resampled, rolling_history, escalation, prediction_events, supervised_windows, forecast_losses, residual_forecast, delay_percentiles,
         journey_frontier, journey_paths, departure_board, display_messages,
