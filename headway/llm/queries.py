@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .html_text import extract_main_text
+from .language import identify_languages
 from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_join
 from .oracles import ORACLES  # noqa: F401
@@ -72,6 +73,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES = {
         op8_toxicity,
         op9_pii,
         op10_ngram_jaccard_join,
+        op13_language_id,
     )
 }
 
