@@ -14,6 +14,7 @@ from .ngram_join import ngram_jaccard_join
 from .oracles import ORACLES  # noqa: F401
 from .packing import pack
 from .pii import find_pii
+from .prefix_trie import conversation_trie
 from .sharding import shard
 from .tokens import token_counts
 from .toxicity import score_toxicity
@@ -78,6 +79,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ QUERIES = {
         op9_pii,
         op10_ngram_jaccard_join,
         op11_tokenizer_alignment,
+        op12_conversation_trie,
         op13_language_id,
     )
 }
