@@ -6,41 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import content_id
+from ..functions.scans import in_blocks, last_before
+from ..functions.tables import saved
 
 WINDOW_MS = 60_000
 W_DELAY, W_MISSED, W_ESCALATE, BETA_GAIN = 1.0, 2.0, 3.0, 1.0
 SIDE = ["station", "seq", "event_time_ms", "event_id"]
 
 
-def window_join(cascades: DataFrame, predictions: DataFrame, window_ms: int = WINDOW_MS, emit_unjoined: bool = True, on_replace: str = "emit_unjoined") -> DataFrame:
+def window_join(cascades: DataFrame, predictions: DataFrame, window_ms: int = WINDOW_MS, emit_unjoined: bool = True, on_replace: str = "emit_unjoined", parts: int | None = None) -> DataFrame:
     """(station, cascade_id, prediction_id, lag_ms, delay, missed, escalation, event_time_ms), events taken in order of seq.
 
     A cascade meets its station's last prediction if that is within the window; else it waits, in the
     place of one that waited before, for the first later prediction within the window. Cascades that meet none
-    have no prediction and lag -1. Two windows over the union of both sides; no loop.
+    have no prediction and lag -1. A station's events lie in as many blocks (parts in all) as they need; each block starts
+    from the last prediction and the waiting cascade of those before it.
     """
     null = lambda t: F.lit(None).cast(t)
     c = cascades.select(*SIDE, "delay", "missed", null("double").alias("escalation"), F.lit(True).alias("is_c"))
     p = predictions.select(*SIDE, null("double").alias("delay"), null("boolean").alias("missed"), "escalation", F.lit(False).alias("is_c"))
-    before = Window.partitionBy("station").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(~F.col("is_c"), F.struct("event_id", "event_time_ms", "escalation")), ignorenulls=True).over(before)
     near = lambda a, b: F.abs(a - b) <= window_ms
-    rows = c.union(p).withColumn("last", last)
+    order = ("seq", "is_c", "event_id")
+    rows = last_before(in_blocks(c.union(p), "station", *order, parts=parts), F.when(~F.col("is_c"), F.struct("event_id", "event_time_ms", "escalation")), "last", "station", *order)
     rows = rows.withColumn("joined", F.col("is_c") & F.coalesce(near(F.col("event_time_ms"), F.col("last.event_time_ms")), F.lit(False)))
-    waiting = F.last(F.when(F.col("is_c") & ~F.col("joined"), F.struct("event_id", "seq", "event_time_ms", "delay", "missed")), ignorenulls=True).over(before)
-    rows = rows.withColumn("waiting", waiting)
+    waits = F.col("is_c") & ~F.col("joined")
+    rows = saved(last_before(rows, F.when(waits, F.struct("event_id", "seq", "event_time_ms", "delay", "missed")), "waiting", "station", *order), "joined")
     at_once = rows.where("joined").select("station", F.col("event_id").alias("cascade_id"), F.col("last.event_id").alias("prediction_id"), F.abs(F.col("event_time_ms") - F.col("last.event_time_ms")).alias("lag_ms"), "delay", "missed", F.col("last.escalation").alias("escalation"), "event_time_ms")
-    first = Window.partitionBy("station", "waiting.seq").orderBy("seq")
-    meets = rows.where(~F.col("is_c") & near(F.col("event_time_ms"), F.col("waiting.event_time_ms"))).withColumn("n", F.row_number().over(first)).where("n = 1")
-    later = meets.select("station", F.col("waiting.event_id").alias("cascade_id"), F.col("event_id").alias("prediction_id"), F.abs(F.col("event_time_ms") - F.col("waiting.event_time_ms")).alias("lag_ms"), F.col("waiting.delay").alias("delay"), F.col("waiting.missed").alias("missed"), "escalation", F.col("waiting.event_time_ms").alias("event_time_ms"))
+    meets = rows.where(~F.col("is_c") & near(F.col("event_time_ms"), F.col("waiting.event_time_ms"))).groupBy("station", "waiting").agg(F.min_by(F.struct("event_id", "event_time_ms", "escalation"), F.struct("seq", "event_id")).alias("p"))
+    later = meets.select("station", F.col("waiting.event_id").alias("cascade_id"), F.col("p.event_id").alias("prediction_id"), F.abs(F.col("p.event_time_ms") - F.col("waiting.event_time_ms")).alias("lag_ms"), F.col("waiting.delay").alias("delay"), F.col("waiting.missed").alias("missed"), F.col("p.escalation").alias("escalation"), F.col("waiting.event_time_ms").alias("event_time_ms"))
     out = at_once.union(later)
     if not emit_unjoined:
         return out
-    alone = rows.where("is_c and not joined").join(later.select(F.col("cascade_id").alias("event_id"), "station"), ["station", "event_id"], "left_anti")
+    alone = rows.where(waits).join(meets.select("station", F.col("waiting.seq").alias("seq"), F.col("waiting.event_id").alias("event_id")), ["station", "seq", "event_id"], "left_anti")
     if on_replace == "drop":
-        following = F.lead("seq").over(Window.partitionBy("station").orderBy("seq"))
-        waits = rows.where("is_c and not joined").withColumn("following", following).where("following is null").select("station", "event_id")
-        alone = alone.join(waits, ["station", "event_id"], "left_semi")
+        still = rows.where(waits).groupBy("station").agg(F.max(F.struct("seq", "event_id")).alias("w"))
+        alone = alone.join(still.select("station", "w.*"), ["station", "seq", "event_id"], "left_semi")
     lost = alone.select("station", F.col("event_id").alias("cascade_id"), null("string").alias("prediction_id"), F.lit(-1).cast("long").alias("lag_ms"), "delay", "missed", null("double").alias("escalation"), "event_time_ms")
     return out.union(lost)
 

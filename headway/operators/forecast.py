@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import following, in_blocks, last_values, sum_up_to
 from ..functions.tables import saved
 
 HISTORY, HORIZON_S, FRAME_S, SCALE_S, WARM = 12, 1800, 60, 600.0, 3
 LATE_S, FLOOR_S, COLD, P90, P95 = 60.0, 30.0, 1.10, 1.25, 1.40
 MOST_FRAMES = 10_000_000
+LONG_GAP = 10_000
 
 
 def latest_observation(observations: DataFrame, n_stations: int | None = None) -> DataFrame:
@@ -19,32 +21,49 @@ def latest_observation(observations: DataFrame, n_stations: int | None = None) -
     return observations.groupBy("station").agg(F.max_by(F.struct("delay", "trip_id"), F.struct("ts", "delay", "trip_id")).alias("o")).select("station", "o.*")
 
 
-def frames(observations: DataFrame, frame_seconds: int = FRAME_S, max_age_frames: int | None = None) -> DataFrame:
+def time_bounds(observations: DataFrame, frame_seconds: int = FRAME_S, most: int = MOST_FRAMES) -> tuple[float, float] | None:
+    """The times within `most` frames of the median reading; None without readings."""
+    middle = observations.agg(F.percentile_approx("ts", 0.5).alias("m")).first().m
+    return None if middle is None else (middle - most * frame_seconds, middle + most * frame_seconds)
+
+
+def wrong_times(observations: DataFrame, frame_seconds: int = FRAME_S, most: int = MOST_FRAMES) -> DataFrame:
+    """Dead letters of the readings that frames leaves out: their columns and a reason. Their time is null or outside time_bounds."""
+    low, high = time_bounds(observations, frame_seconds, most) or (0.0, 0.0)
+    return observations.where(F.col("ts").isNull() | ~F.col("ts").between(low, high)).withColumn("reason", F.lit("wrong time"))
+
+
+def frames(observations: DataFrame, frame_seconds: int = FRAME_S, max_age_frames: int | None = None, most: int = MOST_FRAMES, parts: int | None = None) -> DataFrame:
     """(station, frame, delay, fresh): every station's delay at the end of each frame, carried forward, 0 before its first reading.
 
-    observations(station, ts seconds, delay). A reading may expire after max_age_frames. A span of more than
-    MOST_FRAMES frames, as of a reading from 1970, is an error.
+    observations(station, ts seconds, delay). A reading may expire after max_age_frames. Readings of a wrong time are no
+    part of it, see wrong_times. Each reading fills the frames up to its station's next one, so no station is one task.
     """
-    of = observations.select("station", F.floor(F.col("ts") / frame_seconds).cast("long").alias("frame"), "ts", "delay")
-    read = of.groupBy("station", "frame").agg(F.max_by("delay", F.struct("ts", "delay")).alias("read"))
+    bounds = time_bounds(observations, frame_seconds, most)
+    good = observations.where(F.col("ts").between(*bounds) if bounds else F.lit(False))
+    of = good.select("station", F.floor(F.col("ts") / frame_seconds).cast("long").alias("frame"), "ts", "delay")
+    read = in_blocks(of.groupBy("station", "frame").agg(F.max_by("delay", F.struct("ts", "delay")).alias("read")), "station", "frame", parts=parts)
     span = read.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi")).first()
     if span.lo is None:
         return read.select("station", "frame", F.col("read").alias("delay"), F.lit(False).alias("fresh"))
-    if span.hi - span.lo > MOST_FRAMES:
-        raise ValueError(f"readings span {span.hi - span.lo} frames: reject those with a wrong time first")
-    grid = read.select("station").distinct().select("station", F.explode(F.sequence(F.lit(span.lo).cast("long"), F.lit(span.hi).cast("long"))).alias("frame"))
-    past = Window.partitionBy("station").orderBy("frame")
-    rows = grid.join(read, ["station", "frame"], "left")
-    held, since = F.last("read", ignorenulls=True).over(past), F.last(F.when(F.col("read").isNotNull(), F.col("frame")), ignorenulls=True).over(past)
-    kept = held if max_age_frames is None else F.when(F.col("frame") - since <= max_age_frames, held)
-    return rows.select("station", "frame", F.coalesce(kept, F.lit(0.0)).alias("delay"), F.col("read").isNotNull().alias("fresh"))
+    first = read.groupBy("station").agg(F.min("frame").alias("until")).select("station", F.lit(span.lo).cast("long").alias("frame"), (F.col("until") - 1).alias("until"), F.lit(0.0).alias("read"), F.lit(False).alias("is_read")).where("until >= frame")
+    held = following(read, "frame", "next", "station", "frame").select("station", "frame", (F.coalesce("next", F.lit(span.hi + 1)) - 1).cast("long").alias("until"), "read", F.lit(True).alias("is_read"))
+    piece = F.explode(F.sequence("frame", "until", F.lit(LONG_GAP).cast("long")))
+    rows = held.unionByName(first).select("*", piece.alias("start"))
+    rows = rows.select("*", F.explode(F.sequence("start", F.least("until", F.col("start") + LONG_GAP - 1))).alias("at"))
+    fresh = F.col("is_read") & (F.col("at") == F.col("frame"))
+    value = F.col("read") if max_age_frames is None else F.when(F.col("at") - F.col("frame") <= max_age_frames, F.col("read"))
+    return rows.select("station", F.col("at").alias("frame"), F.coalesce(value, F.lit(0.0)).alias("delay"), fresh.alias("fresh"))
+
 
+def rolling_history(framed: DataFrame, history: int = HISTORY, parts: int | None = None) -> DataFrame:
+    """Adds history (the last frames' delays, oldest first) and seen (frames with a delay so far, at most history + 1).
 
-def rolling_history(framed: DataFrame, history: int = HISTORY) -> DataFrame:
-    """Adds history (the last frames' delays, oldest first) and seen (frames with a delay so far, at most history + 1)."""
-    past = Window.partitionBy("station").orderBy("frame")
-    seen = F.sum((F.col("delay") != 0).cast("int")).over(past)
-    return framed.withColumn("history", F.collect_list("delay").over(past.rowsBetween(1 - history, 0))).withColumn("seen", F.least(seen, F.lit(history + 1)).cast("int"))
+    A station's frames lie in as many blocks (parts in all) as they need; each starts from the last frames before it.
+    """
+    rows = sum_up_to(in_blocks(framed, "station", "frame", parts=parts), (F.col("delay") != 0).cast("int"), "seen", "station", "frame")
+    rows = last_values(rows, "delay", history, "history", "station", "frame")
+    return rows.select(*framed.columns, "history", F.least("seen", F.lit(history + 1)).cast("int").alias("seen"))
 
 
 def escalation(rows: DataFrame, residual: Column | None = None) -> DataFrame:
@@ -66,11 +85,11 @@ def prediction_events(forecasts: DataFrame, inference_time_ms: int, model_versio
     return out.withColumn("event_id", content_id("trip_id", "station_id", "event_time_ms"))
 
 
-def supervised_windows(framed: DataFrame, history: int = HISTORY, steps: int = HORIZON_S // FRAME_S) -> DataFrame:
-    """(station, frame, x, y): whole histories and how the delay changes over the horizon."""
-    order = Window.partitionBy("station").orderBy("frame")
-    rows = rolling_history(framed, history).withColumn("y", F.lead("delay", steps).over(order) - F.col("delay"))
-    return rows.where((F.size("history") == history) & F.col("y").isNotNull()).select("station", "frame", F.col("history").alias("x"), "y")
+def supervised_windows(framed: DataFrame, history: int = HISTORY, steps: int = HORIZON_S // FRAME_S, parts: int | None = None) -> DataFrame:
+    """(station, frame, x, y): whole histories and how the delay changes over the horizon, up to the frame `steps` later."""
+    rows = rolling_history(framed, history, parts).where(F.size("history") == history)
+    later = framed.select("station", (F.col("frame") - steps).alias("frame"), F.col("delay").alias("later"))
+    return rows.join(later, ["station", "frame"]).select("station", "frame", F.col("history").alias("x"), (F.col("later") - F.col("delay")).alias("y"))
 
 
 def split(rows: DataFrame, percent: int = 20, *keys: str) -> tuple[DataFrame, DataFrame]:

@@ -19,9 +19,11 @@ def test_rank_percentiles(spark):
 
 
 def test_frames_of_a_wrong_time(spark):
-    df = spark.createDataFrame([(1, 1_700_000_000, 5.0), (1, 0, 5.0)], "station int, ts long, delay double")
-    with pytest.raises(ValueError, match="wrong time"):
-        forecast.frames(df, 1)
+    """A reading of a wrong time becomes a dead letter and stops nothing."""
+    df = spark.createDataFrame([(1, 1_700_000_000, 5.0), (1, 1_700_000_002, 6.0), (1, 0, 5.0), (2, None, 1.0)], "station int, ts long, delay double")
+    assert sorted(map(tuple, forecast.frames(df, 1).collect())) == [(1, 1_700_000_000, 5.0, True), (1, 1_700_000_001, 5.0, False), (1, 1_700_000_002, 6.0, True)]
+    assert sorted((r.station, r.ts, r.reason) for r in forecast.wrong_times(df, 1).collect()) == [(1, 0, "wrong time"), (2, None, "wrong time")]
+    assert forecast.frames(df.limit(0)).collect() == forecast.wrong_times(df.limit(0)).collect() == []
 
 
 def test_interval_join_repeats(spark):
