@@ -101,15 +101,30 @@ class Aligner:
             return None
         return self.encode_a(" " + text), np.array(b, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that can stand alone, all in one go: tokens end where words do, so the ids are cut there."""
+        if not words:
+            return
+        text = [f" {w}".encode() for w in words]
+        a, b = self.encode_a(" " + " ".join(words)), self.b.encode(words, num_threads=1)
+        if b"".join([self.bytes_b[k] for k in chain.from_iterable(b)]) != b"".join(text):
+            self.words.update((w, self.tokens(w, ids)) for w, ids in zip(words, b, strict=True))
+            return
+        ends = self.sizes_a[np.frombuffer(a, "<u4")].cumsum().searchsorted(np.cumsum(list(map(len, text)))) + 1
+        flat = np.fromiter(chain.from_iterable(b), "<u4").tobytes()
+        first_a = first_b = 0
+        for w, last_a, n in zip(words, (4 * ends).tolist(), map(len, b), strict=True):
+            self.words[w] = (a[first_a:last_a], flat[first_b : first_b + 4 * n])
+            first_a, first_b = last_a, first_b + 4 * n
+
     def text_tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of each text in both vocabularies; None for texts without tokens."""
         split = [t.split(" ") if t and "▁" not in t else [] for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) - self.words.keys() if len(w) <= LONGEST_PIECE]
+        new = set(chain.from_iterable(split)) - self.words.keys()
         if len(self.words) + len(new) > MEMO:
             self.words.clear()
-            new = [w for w in set(chain.from_iterable(split)) if len(w) <= LONGEST_PIECE]
-        for w, b in zip(new, self.b.encode(new, num_threads=1), strict=True):
-            self.words[w] = None if not w or w[-1].isspace() else self.tokens(w, b)
+            new = set(chain.from_iterable(split))
+        self._learn([w for w in new if w and len(w) <= LONGEST_PIECE and not w[-1].isspace()])
         out = []
         for text, words in zip(texts, split, strict=True):
             found = None
@@ -207,7 +222,7 @@ def pair_counts(links_of_documents: DataFrame) -> DataFrame:
         if size:
             yield counted()
 
-    counts = links_of_documents.select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = saved(links_of_documents.select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "counts")
     a_id = F.shiftright("pair", SHIFT)
     most = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))
     return counts.join(most, a_id == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
