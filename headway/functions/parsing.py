@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Field aliases in the order they are tried.
@@ -44,15 +46,48 @@ ENUMS = {
 SECONDS_BELOW = 100_000_000_000
 
 
-def field(path: str, v: str = "v") -> Column:
-    """Text of a scalar field of the variant column v; NULL if absent, blank, or an object or array."""
-    text = F.trim(F.expr(f"try_variant_get({v}, '$.{path}', 'string')"))
-    return F.when((text != "") & ~text.rlike(r"^[\[{]"), text)
+def computed_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that the optimiser does not compute again for each use: a generator puts them out."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def parsed(frames: DataFrame) -> DataFrame:
+    """Adds v, the body as a variant (NULL if it is no JSON); texts, the usable scalars by name; placed, those within
+    a place as `place.name`; and numbers, the station fields that are JSON numbers.
+
+    A body is read once, however many of its fields are used.
+    """
+    fields = lambda c: F.coalesce(F.try_variant_get(c, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rows = computed_once(frames, v=F.expr("try_parse_json(body)"))
+    rows = computed_once(rows, _top=fields(F.col("v")))
+    within = lambda p: F.transform_keys(usable(fields(F.try_element_at("_top", F.lit(p)))), lambda k, _: F.concat(F.lit(p + "."), k))
+    number = F.map_filter("_top", lambda k, x: k.isin(ALIASES["station"]) & F.schema_of_variant(x).rlike("BIGINT|DECIMAL|DOUBLE"))
+    return computed_once(rows, texts=usable(F.col("_top")), placed=F.map_concat(*map(within, PLACES)), numbers=F.map_keys(number)).drop("_top")
+
+
+def usable(fields: Column) -> Column:
+    """The texts of a map's scalars, trimmed; blank ones, objects and arrays are left out."""
+    texts = F.transform_values(fields, lambda _, x: F.trim(F.try_variant_get(x, "$", "string")))
+    return F.map_filter(texts, lambda _, t: (t != "") & ~t.startswith("{") & ~t.startswith("["))
+
+
+def field(name: str | Column) -> Column:
+    """Text of a scalar field of a parsed frame; NULL if absent, blank, or an object or array."""
+    return F.try_element_at("texts", F.lit(name))
 
 
-def first_of(name: str, prefix: str = "", v: str = "v") -> Column:
+def first_good(names: list[str], read: Callable[[Column], Column], of: str = "texts") -> Column:
+    """The first value that read makes of a usable field of these names and that is not NULL.
+
+    One short expression over the names, not one for each: the generated code stays small.
+    """
+    there = F.filter(F.array(*map(F.lit, names)), lambda a: F.map_contains_key(of, a))
+    return F.try_element_at(F.array_compact(F.transform(there, read)), F.lit(1))
+
+
+def first_of(name: str) -> Column:
     """The first alias of a field with a usable value."""
-    return F.coalesce(*[field(prefix + a, v) for a in ALIASES[name]])
+    return first_good(ALIASES[name], field)
 
 
 def seconds_of(text: Column) -> Column:
@@ -63,8 +98,8 @@ def seconds_of(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.when(text.rlike(shape) & text.rlike(r"\d"), F.when(F.regexp_extract(text, shape, 1) == "-", -total).otherwise(total)))
 
 
-def delay_seconds(v: str = "v") -> Column:
-    return F.coalesce(*[seconds_of(field(a, v)) for a in ALIASES["delay"]], F.lit(0.0))
+def delay_seconds() -> Column:
+    return F.coalesce(first_good(ALIASES["delay"], lambda a: seconds_of(field(a))), F.lit(0.0))
 
 
 def epoch_ms(text: Column) -> Column:
@@ -73,8 +108,16 @@ def epoch_ms(text: Column) -> Column:
     return F.coalesce(F.when(number < SECONDS_BELOW, number * 1000).otherwise(number).cast("long"), F.unix_millis(F.try_to_timestamp(text)))
 
 
-def event_time_ms(ingest_time_ms: Column, name: str = "event_time", v: str = "v") -> Column:
-    return F.coalesce(*[epoch_ms(field(a, v)) for a in ALIASES[name]], ingest_time_ms)
+def event_time_ms(ingest_time_ms: Column, name: str = "event_time") -> Column:
+    return F.coalesce(first_time_ms(name), ingest_time_ms)
+
+
+def first_time_ms(name: str) -> Column:
+    return first_good(ALIASES[name], lambda a: epoch_ms(field(a)))
+
+
+def first_number(name: str) -> Column:
+    return first_good(ALIASES[name], lambda a: field(a).try_cast("double"))
 
 
 def enum_of(name: str, text: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -23,6 +25,30 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is."""
-    return df.hint("broadcast") if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most so many bytes (texts by their length, other values by eight), else as it is."""
+    return df.hint("broadcast") if size_of(df, limit) <= limit else df
+
+
+def size_of(df: DataFrame, limit: int) -> int:
+    """The bytes of df's rows; more than limit if there are more rows than limit could hold."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if "<" in kind else F.lit(0) for c, kind in df.dtypes), F.lit(8 * len(df.columns)))
+    return df.select(size.alias("s")).limit(limit // (8 * len(df.columns)) + 1).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first().s
+
+
+def lookup(table: DataFrame, key: str, value: str, limit: int = BROADCAST_BYTES) -> Callable[[Column], Column] | None:
+    """An expression that gives the value of a key of a small table, NULL for others; None if the table is over the limit.
+
+    The table is one value, short maps by the keys' hashes, so that rows are neither joined nor shuffled however many keys they have.
+    """
+    if size_of(table, limit) > limit:
+        return None
+    buckets = max(1, table.count())
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    each = table.where(F.col(key).isNotNull()).groupBy(place(F.col(key)).alias("_place")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_entries"))
+    whole = each.agg(F.map_from_entries(F.collect_list(F.struct("_place", "_entries"))).alias("_m"))
+    kind = dict(table.dtypes)
+    filled = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.try_element_at(F.col("_m"), k))
+    filled = whole.select(filled.cast(f"array<map<{kind[key]},{kind[value]}>>").alias("_m"))
+    values = filled.scalar()
+    return lambda c: F.try_element_at(F.get(values, place(c)), c)

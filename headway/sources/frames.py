@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import ALIASES, PLACES, content_id, delay_seconds, enum_of, epoch_ms, event_time_ms, field, first_of
-from ..functions.tables import small
+from ..functions.parsing import ALIASES, PLACES, computed_once, content_id, delay_seconds, enum_of, event_time_ms, field, first_good, first_number, first_of, first_time_ms, parsed
+from ..functions.tables import lookup
 
 KINDS = ("POSITION", "SIGNALLING", "INCIDENT")
 
@@ -25,27 +25,41 @@ def unnested(frames: DataFrame) -> DataFrame:
 
 
 def resolve_stations(frames: DataFrame, stop_map: DataFrame, name: str = "station") -> DataFrame:
-    """Adds `<name>_id`: the first alias that resolves. A JSON number is the index; text is looked up whole,
+    """Adds `<name>_id` to parsed frames: the first alias that resolves. A JSON number is the index; text is looked up whole,
     then by what follows its last colon, then taken as an index if all digits.
 
-    stop_map(stop_id, station) is broadcast while it is small, so no frame is shuffled.
+    stop_map(stop_id, station) is one value that each frame looks into, and only joined if it is too large for that.
     """
-    stops = small(stop_map.groupBy("stop_id").agg(F.min("station").alias("station")))
-    ids = []
-    for k, alias in enumerate(ALIASES[name]):
-        text = field(alias)
+    stops = stop_map.groupBy("stop_id").agg(F.min("station").alias("station"))
+    frames, station_of, ids = computed_once(frames, _named=_named(name)), lookup(stops, "stop_id", "station"), []
+    for k in range(len(ALIASES[name])):
+        found = F.get("_named", k)
+        if station_of:
+            whole, part = station_of(found["text"]), station_of(found["tail"])
+        else:
+            for c in ("text", "tail"):
+                frames = frames.join(stops.select(F.col("stop_id").alias("_s"), F.col("station").alias(f"_{c}{k}")), found[c] == F.col("_s"), "left").drop("_s")
+            whole, part = F.col(f"_text{k}"), F.col(f"_tail{k}")
+        ids.append(F.coalesce(found["number"], whole, part, found["digits"]))
+    return frames.withColumn(f"{name}_id", F.coalesce(*ids)).drop("_named", *[f"_{c}{k}" for c in ("text", "tail") for k in range(len(ids))])
+
+
+def _named(name: str) -> Column:
+    """The usable station fields in order: as an index if it is a number, else as text, by its last part, and as digits."""
+
+    def read(alias: Column) -> Column:
+        text, number = field(alias), F.array_contains("numbers", alias)
         tail = F.substring_index(text, ":", -1)
-        frames = frames.join(stops.select(F.col("stop_id").alias("_s"), F.col("station").alias(f"_w{k}")), text == F.col("_s"), "left").drop("_s")
-        frames = frames.join(stops.select(F.col("stop_id").alias("_s"), F.col("station").alias(f"_t{k}")), F.when(tail != "", tail) == F.col("_s"), "left").drop("_s")
-        number = F.expr(f"schema_of_variant(try_variant_get(v, '$.{alias}', 'variant'))").rlike("BIGINT|DECIMAL|DOUBLE")
+        index = F.when(number, F.floor(text.try_cast("double") + 0.5).cast("int"))
         digits = F.when(text.rlike(r"^\d{1,9}$"), text.try_cast("int"))
-        ids.append(F.when(number, F.floor(text.try_cast("double") + 0.5).cast("int")).otherwise(F.coalesce(f"_w{k}", f"_t{k}", digits)))
-    return frames.withColumn(f"{name}_id", F.coalesce(*ids)).drop(*[f"_{c}{k}" for c in "wt" for k in range(len(ids))])
+        return F.struct(index.alias("number"), F.when(~number, text).alias("text"), F.when(~number & (tail != "") & (tail != text), tail).alias("tail"), F.when(~number, digits).alias("digits"))
+
+    return F.transform(F.filter(F.array(*map(F.lit, ALIASES[name])), lambda a: F.map_contains_key("texts", a)), read)
 
 
 def _place(name: str) -> Column:
-    inside = [field(f"{p}.{a}").try_cast("double") for p in PLACES for a in ALIASES[name]]
-    return F.coalesce(*inside, *[field(a).try_cast("double") for a in ALIASES[name]])
+    inside = first_good([f"{p}.{a}" for p in PLACES for a in ALIASES[name]], lambda a: F.try_element_at("placed", a).try_cast("double"), "placed")
+    return F.coalesce(inside, first_number(name))
 
 
 def _common(ingest: Column) -> list[Column]:
@@ -55,13 +69,12 @@ def _common(ingest: Column) -> list[Column]:
 def normalize_positions(frames: DataFrame, stop_map: DataFrame, ingest_time_ms: int) -> DataFrame:
     """Position events and a reason column; reason is NULL for accepted rows. An unresolved station stays NULL."""
     ingest = F.lit(ingest_time_ms).cast("long")
-    rows = resolve_stations(frames.withColumn("v", F.expr("try_parse_json(body)")), stop_map)
+    rows = resolve_stations(parsed(frames), stop_map)
     out = rows.select(
         "kind", "body", "v",
         first_of("trip_id").alias("trip_id"), first_of("vehicle_id").alias("vehicle_id"), first_of("line_id").alias("line_id"),
         _place("latitude").alias("latitude"), _place("longitude").alias("longitude"),
-        F.coalesce(*[field(a).try_cast("double") for a in ALIASES["bearing"]]).alias("bearing"),
-        F.coalesce(*[field(a).try_cast("double") for a in ALIASES["speed_kmh"]]).alias("speed_kmh"),
+        first_number("bearing").alias("bearing"), first_number("speed_kmh").alias("speed_kmh"),
         "station_id", F.floor(first_of("next_stop").try_cast("double") + 0.5).cast("int").alias("next_stop_id"),
         delay_seconds().alias("delay_seconds"), F.coalesce(first_of("source_feed"), F.lit("UNKNOWN")).alias("source_feed"), *_common(ingest),
     )
@@ -71,7 +84,7 @@ def normalize_positions(frames: DataFrame, stop_map: DataFrame, ingest_time_ms:
 
 def normalize_signalling(frames: DataFrame, stop_map: DataFrame, ingest_time_ms: int) -> DataFrame:
     ingest = F.lit(ingest_time_ms).cast("long")
-    rows = resolve_stations(frames.withColumn("v", F.expr("try_parse_json(body)")), stop_map)
+    rows = resolve_stations(parsed(frames), stop_map)
     out = rows.select(
         "kind", "body", "v", first_of("trip_id").alias("trip_id"), first_of("block_id").alias("block_id"), "station_id",
         enum_of("block_state", first_of("block_state")).alias("block_state"), enum_of("interlocking", first_of("interlocking")).alias("interlocking_status"),
@@ -89,8 +102,8 @@ def _listed(name: str) -> Column:
 
 def normalize_incidents(frames: DataFrame, ingest_time_ms: int) -> DataFrame:
     ingest = F.lit(ingest_time_ms).cast("long")
-    rows = frames.withColumn("v", F.expr("try_parse_json(body)"))
-    clearance = F.coalesce(*[epoch_ms(field(a)) for a in ALIASES["clearance"]])
+    rows = parsed(frames)
+    clearance = first_time_ms("clearance")
     out = rows.select(
         "kind", "body", "v", first_of("trip_id").alias("trip_id"),
         enum_of("category", first_of("category")).alias("category"), enum_of("severity", first_of("severity")).alias("severity"),
