@@ -16,75 +16,81 @@ def absorbing_edges(edges: DataFrame, dwell: DataFrame, transfers: DataFrame) ->
     return run.union(walk).groupBy("src", "dst", "running").agg(F.min("absorb").alias("absorb"))
 
 
-def _kinds(sources: DataFrame) -> DataFrame:
-    """sources with the same station and delay as one source, saved."""
-    return saved(sources.select("station", "delay").distinct().withColumn("source_id", F.concat_ws("@", "station", "delay")), "kinds")
+def _origins(sources: DataFrame) -> DataFrame:
+    """(origin, delay): each station that sources start at, with their largest delay; saved."""
+    return saved(sources.groupBy(F.col("station").alias("origin")).agg(F.max("delay").cast("long").alias("delay")), "origins")
 
 
 def _each(sources: DataFrame, found: DataFrame) -> DataFrame:
-    """What was found for each of _kinds, for every source."""
-    return sources.withColumn("kind", F.concat_ws("@", "station", "delay")).select("source_id", "kind").join(found.withColumnRenamed("source_id", "kind"), "kind").drop("kind")
+    """What was found from each origin, for every source: the stations at which something is left of its delay."""
+    each = sources.withColumnRenamed("station", "origin").join(small(found), "origin").where("delay > absorbed")
+    rest = [c for c in found.columns if c not in ("origin", "station", "absorbed")]
+    return each.select("source_id", "station", (F.col("delay") - F.col("absorbed")).cast("long").alias("residual"), "absorbed", *rest)
 
 
 def residuals(sources: DataFrame, ways: DataFrame, max_hops: int = 128) -> DataFrame:
     """(source_id, station, residual): the largest residual delay at each station reached; a source_id has one row of sources.
 
-    Sources with the same station and delay are spread once and joined back.
+    How much is absorbed on the way to a station depends on where a delay starts, not on how large it is. So every
+    station where sources start is spread once, as far as the largest delay there gets, and joined back.
     """
     sources = sources.where("delay > 0")
-    return _each(sources, _spread(_kinds(sources), ways, max_hops))
+    return _each(sources, _spread(_origins(sources), ways, max_hops)).drop("absorbed")
 
 
-def _spread(sources: DataFrame, ways: DataFrame, max_hops: int) -> DataFrame:
-    """(source_id, station, residual) of each source of _kinds.
+def _spread(origins: DataFrame, ways: DataFrame, max_hops: int) -> DataFrame:
+    """(origin, station, absorbed): the least that is absorbed between the two, where it is less than the origin's delay.
 
-    All sources advance together, one join a round. Only rows that improved in the last round are
+    All origins advance together, one join a round. Only rows that improved in the last round are
     expanded; each round is written to shared storage; it stops when nothing improves.
     """
     ways = small(saved(ways.groupBy("src", "dst").agg(F.min("absorb").alias("absorb")), "ways"))
-    best = saved(sources.where("delay > 0").groupBy("source_id", "station").agg(F.max("delay").cast("long").alias("residual")), "best")
+    best = saved(origins.select("origin", F.col("origin").alias("station"), F.lit(0).cast("long").alias("absorbed"), "delay"), "best")
     frontier = best
     for _ in range(max_hops):
-        step = frontier.join(ways, frontier.station == ways.src).select("source_id", F.col("dst").alias("station"), (F.col("residual") - F.col("absorb")).alias("residual")).where("residual > 0")
-        step = step.groupBy("source_id", "station").agg(F.max("residual").alias("new"))
-        frontier = saved(step.join(best, ["source_id", "station"], "left").where("residual is null or new > residual").select("source_id", "station", F.col("new").alias("residual")), "frontier")
+        step = frontier.join(ways, frontier.station == ways.src).select("origin", F.col("dst").alias("station"), (F.col("absorbed") + F.col("absorb")).alias("absorbed"), "delay").where("absorbed < delay")
+        step = step.groupBy("origin", "station").agg(F.min("absorbed").alias("new"), F.first("delay").alias("delay"))
+        frontier = saved(step.join(best.select("origin", "station", "absorbed"), ["origin", "station"], "left").where("absorbed is null or new < absorbed").select("origin", "station", F.col("new").alias("absorbed"), "delay"), "frontier")
         if frontier.isEmpty():
             break
-        best = saved(best.union(frontier).groupBy("source_id", "station").agg(F.max("residual").alias("residual")), "best")
-    return best
-
-
-def labelled(best: DataFrame, sources: DataFrame, ways: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Adds hop and missed: each station's predecessor is the tight one of largest (residual, rank, running before walking, station);
-    missed if it was reached by a transfer. Stations that only have equal-residual predecessors are labelled outward, round by round."""
-    start = sources.where("delay > 0").groupBy("source_id").agg(F.max("delay").cast("long").alias("delay"), F.max_by("station", "delay").alias("origin"))
-    ranked = best.join(small(ranks), "station", "left").select("source_id", F.col("station").alias("u"), F.col("residual").alias("ru"), F.coalesce("pagerank", F.lit(0.0)).alias("rank"))
-    tight = ranked.join(small(ways), ranked.u == ways.src).join(best.select("source_id", F.col("station").alias("dst"), F.col("residual").alias("rv")), ["source_id", "dst"]).where("ru - absorb = rv")
-    tight = tight.select("source_id", F.col("dst").alias("v"), "u", F.struct("ru", "rank", "running", "u").alias("order"), "running", (F.col("ru") > F.col("rv")).alias("strict"))
-    strict = tight.where("strict").groupBy("source_id", "v").agg(F.max_by(F.struct("u", "order", "running"), "order").alias("p")).select("source_id", "v", "p.*")
-    loose = tight.where("not strict").join(strict.select("source_id", "v"), ["source_id", "v"], "left_anti").select("source_id", "v", "u", "order", "running")
+        best = saved(best.union(frontier).groupBy("origin", "station").agg(F.min("absorbed").alias("absorbed"), F.first("delay").alias("delay")), "best")
+    return best.drop("delay")
+
+
+def labelled(best: DataFrame, ways: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Adds hop and missed to (origin, station, absorbed), by a law that leaves nothing open.
+
+    A station may be reached from its tight predecessors, those whose absorbed delay and the way's make up its own. One
+    that has lost less comes before one that has lost as much: of those it is the first by (absorbed, rank, running
+    before walking, station). A station that only has predecessors that lost as much is reached by the fewest hops,
+    and of these from the first in the same order. hop is the predecessor's and one, missed if the way is a walk.
+    """
+    ranked = best.join(small(ranks), "station", "left").select("origin", F.col("station").alias("u"), F.col("absorbed").alias("au"), F.coalesce("pagerank", F.lit(0.0)).alias("rank"))
+    tight = ranked.join(small(ways), ranked.u == ways.src).join(best.select("origin", F.col("station").alias("dst"), F.col("absorbed").alias("av")), ["origin", "dst"]).where("au + absorb = av and dst != origin")
+    tight = tight.select("origin", F.col("dst").alias("v"), "u", F.struct((-F.col("au")).alias("lost"), "rank", "running", "u").alias("order"), "running", (F.col("au") < F.col("av")).alias("strict"))
+    strict = tight.where("strict").groupBy("origin", "v").agg(F.max_by(F.struct("u", "order", "running"), "order").alias("p")).select("origin", "v", "p.*")
+    loose = tight.where("not strict").join(strict.select("origin", "v"), ["origin", "v"], "left_anti").select("origin", "v", "u", "order", "running")
     into = saved(strict.union(loose), "predecessors")
-    done = saved(best.join(start, "source_id").where("station = origin").select("source_id", "station", F.lit(0).alias("hop"), F.lit(False).alias("missed")), "done")
+    done = saved(best.where("station = origin").select("origin", "station", F.lit(0).alias("hop"), F.lit(False).alias("missed")), "done")
     fresh = done
     while not fresh.isEmpty():
-        came = fresh.select("source_id", F.col("station").alias("u"), "hop")
-        new = into.join(came, ["source_id", "u"]).groupBy("source_id", F.col("v").alias("station")).agg(F.max_by(F.struct((F.col("hop") + 1).alias("hop"), (~F.col("running")).alias("missed")), "order").alias("l"))
-        fresh = saved(new.join(done, ["source_id", "station"], "left_anti").select("source_id", "station", "l.*"), "fresh")
+        came = fresh.select("origin", F.col("station").alias("u"), "hop")
+        new = into.join(came, ["origin", "u"]).groupBy("origin", F.col("v").alias("station")).agg(F.max_by(F.struct((F.col("hop") + 1).alias("hop"), (~F.col("running")).alias("missed")), "order").alias("l"))
+        fresh = saved(new.join(done, ["origin", "station"], "left_anti").select("origin", "station", "l.*"), "fresh")
         done = saved(done.union(fresh), "done")
-    return best.join(done, ["source_id", "station"]).join(start.select("source_id", "delay"), "source_id").select("source_id", "station", "residual", (F.col("delay") - F.col("residual")).alias("absorbed"), "missed", "hop")
+    return best.join(done, ["origin", "station"]).select("origin", "station", "absorbed", "missed", "hop")
 
 
 def propagate(sources: DataFrame, edges: DataFrame, dwell: DataFrame, transfers: DataFrame, ranks: DataFrame | None = None, max_hops: int = 128) -> DataFrame:
     """(source_id, station, residual, absorbed, missed, hop) for sources(source_id, station, delay) with a positive delay at a known station.
 
-    Sources with the same station and delay are spread once and joined back.
+    Every station where sources start is spread and labelled once and joined back, see residuals.
     """
     ways = saved(absorbing_edges(edges, dwell, transfers), "ways")
     known = ways.select(F.col("src").alias("station")).union(ways.select("dst")).distinct()
     sources = sources.join(small(known), "station", "left_semi").where("delay > 0")
-    kinds = _kinds(sources)
     ranks = ranks if ranks is not None else known.select("station", F.lit(0.0).alias("pagerank"))
-    return _each(sources, labelled(_spread(kinds, ways, max_hops), kinds, ways, ranks))
+    return _each(sources, saved(labelled(_spread(_origins(sources), ways, max_hops), ways, ranks), "labels"))
 
 
 def cascade_summary(cascades: DataFrame, n_stations: int) -> DataFrame:

@@ -87,8 +87,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kind, body): position frames in three dialects by event_id, errors as broken text."""
-    e = events(spark, sf_dir)
+    """(kind, body): position frames in three dialects by event_id, errors as broken text, dealt by trip as the partitions of a topic."""
+    e = events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "trip_id")
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     whole = F.floor("value").cast("long").cast("string")
     id_, trip, station = F.col("event_id").cast("string"), F.col("trip_id"), F.col("station").cast("string")

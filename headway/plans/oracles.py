@@ -28,6 +28,22 @@ def _cascade() -> str:
     return ", ".join(out)
 
 
+def _labels() -> str:
+    """_cascade with hop and missed. What is absorbed to a station, and so its predecessors, depend on the origin alone.
+
+    A predecessor that lost less counts before those that lost as much; the hops are counted out from the origin."""
+    return _cascade().replace("WITH ", "WITH RECURSIVE ", 1) + """, legs AS (SELECT src, dst, running, min(absorb) AS absorb FROM (
+      SELECT src, dst, true AS running, run_slack_sec + coalesce(dwell_slack_sec, 0) AS absorb FROM edges LEFT JOIN dwells ON station = dst UNION ALL SELECT src, dst, false, slack_sec FROM walks) GROUP BY ALL),
+    tight AS (SELECT x.src AS o, l.dst AS v, l.src AS u, running, x.absorb AS au, y.absorb AS av FROM a7 x JOIN legs l ON l.src = x.dst JOIN a7 y ON y.src = x.src AND y.dst = l.dst WHERE x.absorb + l.absorb = y.absorb AND l.dst <> x.src),
+    one AS (SELECT o, v, arg_max(struct_pack(u := u, running := running), struct_pack(a := -au, b := running, c := u)) AS p FROM tight WHERE au < av GROUP BY o, v),
+    into_ AS MATERIALIZED (SELECT o, v, p.u AS u, p.running AS running FROM one UNION ALL SELECT o, v, u, running FROM tight t WHERE au = av AND NOT EXISTS (SELECT 1 FROM one WHERE one.o = t.o AND one.v = t.v)),
+    walk AS (SELECT DISTINCT src AS o, src AS s, 0 AS hop FROM a7 UNION SELECT w.o, v, hop + 1 FROM walk w JOIN into_ i ON i.o = w.o AND i.u = w.s WHERE hop < 40),
+    hops_ AS (SELECT o, s, min(hop) AS hop FROM walk GROUP BY o, s),
+    missed_ AS (SELECT i.o, i.v, arg_max(NOT running, struct_pack(b := running, c := i.u)) AS missed FROM into_ i JOIN hops_ x ON x.o = i.o AND x.s = i.u JOIN hops_ y ON y.o = i.o AND y.s = i.v WHERE x.hop + 1 = y.hop GROUP BY i.o, i.v),
+    label AS (SELECT source_id, sources.station AS origin, hit.station, residual, delay - residual AS absorbed, coalesce(missed, false) AS missed, hop
+      FROM hit JOIN sources USING (source_id) JOIN hops_ h ON h.o = sources.station AND h.s = hit.station LEFT JOIN missed_ m ON m.o = sources.station AND m.v = hit.station)"""
+
+
 def _ranks(teleport: str) -> str:
     """50 rounds; a station without links passes its rank on as the teleport does."""
     return f"""WITH RECURSIVE {CALLS}, links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM (SELECT DISTINCT src, dst FROM edges)), base AS ({teleport}),
@@ -110,9 +126,10 @@ ORACLES = {
       way AS (SELECT x.station AS src, y.station AS dst, m, row_no FROM ends JOIN seen x ON x.stop_id = a JOIN seen y ON y.stop_id = b WHERE a <> b)
       SELECT src, dst, CAST(arg_max(m, row_no) AS INT) AS min_sec, 120 AS slack_sec FROM (SELECT * FROM way UNION ALL SELECT dst, src, m, row_no FROM way) GROUP BY src, dst""",
     "feed_geometry": f"{FEED}, {RUNS} SELECT src, dst, points FROM pieces WHERE dst IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY 'H' || trip_id, first) = 1",
-    "cascade_impact": f"{_cascade()} SELECT source_id, count(*) AS stations_hit, max(residual) AS peak_residual, CAST(sum(delay - residual) AS BIGINT) AS total_absorbed, count(*) / (SELECT count(*) FROM nodes)::DOUBLE AS network_share FROM hit JOIN sources USING (source_id) GROUP BY source_id",
-    "cascade_events": f"""{_cascade()} SELECT sha256(event_id || '|' || hit.station) AS event_id, CAST(event_id AS VARCHAR) AS origin_event_id, trip_id, hit.station AS station_id, residual::DOUBLE AS propagated_delay_seconds, (delay - residual)::DOUBLE AS absorbed_slack_seconds, 'v1' AS graph_version, t AS event_time_ms, 1706745600000 AS compute_time_ms
-      FROM hit JOIN sources USING (source_id) JOIN ev ON source_id = 'S' || event_id""",
+    "cascade_impact": f"{_labels()} SELECT source_id, count(*) AS stations_hit, max(hop) AS max_hop, max(residual) AS peak_residual, CAST(sum(absorbed) AS BIGINT) AS total_absorbed, CAST(sum(CAST(missed AS INT)) AS BIGINT) AS missed, count(*) / (SELECT count(*) FROM nodes)::DOUBLE AS network_share FROM label GROUP BY source_id",
+    "cascade_labels": f"{_labels()} SELECT source_id, station, residual, absorbed, missed, hop FROM label",
+    "cascade_events": f"""{_labels()} SELECT sha256(event_id || '|' || label.station) AS event_id, CAST(event_id AS VARCHAR) AS origin_event_id, trip_id, label.station AS station_id, residual::DOUBLE AS propagated_delay_seconds, absorbed::DOUBLE AS absorbed_slack_seconds, missed AS missed_connection, hop, 'v1' AS graph_version, t AS event_time_ms, 1706745600000 AS compute_time_ms
+      FROM label JOIN ev ON source_id = 'S' || event_id""",
     "network_edges": f"WITH {CALLS} SELECT src, dst, run_sec, run_slack_sec FROM edges",
     "network_dwell": f"WITH {CALLS} SELECT station, dwell_slack_sec FROM dwells",
     "station_rollup": f"WITH {CALLS} SELECT station, count(*) AS calls, string_agg(DISTINCT line, ',' ORDER BY line) AS lines FROM calls GROUP BY station",
@@ -153,7 +170,7 @@ ORACLES = {
     "topk_decisions": f"WITH {CALLS}, {JOINED}, o AS (SELECT station, cascade_id, row_number() OVER (PARTITION BY station ORDER BY total DESC, cascade_id) AS i FROM scored) SELECT station, string_agg(cascade_id, ',' ORDER BY i) AS cascades FROM o WHERE i <= 3 GROUP BY station",
     "criticality_interval": f"""WITH {SIDES} SELECT c.station, count(p.event_id) AS pairs, count(*) - count(p.event_id) AS alone, CAST(sum(coalesce(abs(c.t - p.t), -1)) AS BIGINT) AS lag_ms
       FROM c LEFT JOIN p ON p.station = c.station AND abs(c.t - p.t) <= 21600000 GROUP BY c.station""",
-    "criticality_top": f"{_cascade()} SELECT station, round(max(residual)::DOUBLE, 3) AS total FROM hit GROUP BY station ORDER BY total DESC, station LIMIT 10",
+    "criticality_top": f"{_labels()} SELECT station, round((1 + 1.0::DOUBLE / (station + 1) / (SELECT max(1.0::DOUBLE / (station + 1)) FROM nodes)) * (max(residual)::DOUBLE + 2 * max(CAST(missed AS INT)) + 3 * avg(CAST(missed AS INT))), 3) AS total FROM label GROUP BY station ORDER BY total DESC, station LIMIT 10",
     "latest_observation": f"WITH {EV} SELECT station, arg_max(value, (t // 1000, value, trip_id)) AS delay, arg_max(trip_id, (t // 1000, value, trip_id)) AS trip_id FROM ev GROUP BY station",
     "frames_resampled": f"WITH {HOURS} SELECT station, frame, delay FROM fr",
     "rolling_history": f"WITH {HOURS} SELECT station, frame, seen, frames, round(total, 6) AS total FROM hist",

@@ -163,15 +163,13 @@ def cascade_labels(spark, sf_dir):
 
 
 def cascade_impact(spark, sf_dir):
-    """G11 through its operator, less what ties leave free."""
-    found = cascade.cascade_summary(cascade_labels(spark, sf_dir), d.nodes(spark, sf_dir).count())
-    return found.select("source_id", "stations_hit", "peak_residual", "total_absorbed", "network_share")
+    """G11."""
+    return cascade.cascade_summary(cascade_labels(spark, sf_dir), d.nodes(spark, sf_dir).count())
 
 
 def cascade_events(spark, sf_dir):
-    """One event for each station that a late position affects, less what ties leave free."""
-    found = cascade.cascade_events(d.positions(spark, sf_dir), _edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir), d.NOW_MS)
-    return found.select("event_id", "origin_event_id", "trip_id", "station_id", "propagated_delay_seconds", "absorbed_slack_seconds", "graph_version", "event_time_ms", "compute_time_ms")
+    """One event for each station that a late position affects."""
+    return cascade.cascade_events(d.positions(spark, sf_dir), _edges(spark, sf_dir), _dwell(spark, sf_dir), d.transfers(spark, sf_dir), d.NOW_MS)
 
 
 def pagerank(spark, sf_dir):
@@ -255,10 +253,11 @@ def criticality_events(spark, sf_dir):
 
 
 def criticality_top(spark, sf_dir):
-    """The minimum slice: network, cascade, score, top-k. Delays are in days here, so they are not divided by 60."""
-    hit = _cascade(spark, sf_dir).groupBy("station").agg(F.max("residual").alias("delay")).withColumns({"missed": F.lit(False), "escalation": F.lit(0.0)})
-    ranks = d.nodes(spark, sf_dir).select("station", F.lit(1.0).alias("pagerank"))
-    return criticality.top_stations(criticality.score(hit, ranks, gain=0.0, divisor=1.0), 10).select("station", "total")
+    """The minimum slice: network, cascade, score, top-k. A station's escalation is the share of its hits that are missed connections; delays are in days here, so they are not divided by 60."""
+    missed = F.col("missed").cast("int")
+    hit = cascade_labels(spark, sf_dir).groupBy("station").agg(F.max("residual").alias("delay"), (F.max(missed) == 1).alias("missed"), F.avg(missed).alias("escalation"))
+    ranks = d.nodes(spark, sf_dir).select("station", (1.0 / (F.col("station") + 1)).alias("pagerank"))
+    return criticality.top_stations(criticality.score(hit, ranks, divisor=1.0), 10).select("station", "total")
 
 
 def topk_decisions(spark, sf_dir):
