@@ -87,20 +87,6 @@ def interval_join_stream(cascades: DataFrame, predictions: DataFrame, window_ms:
     return c.join(p, on, "leftOuter").select(F.col("c.station").alias("station"), F.col("c.event_id").alias("cascade_id"), F.col("p.event_id").alias("prediction_id"), F.col("c.event_time").alias("event_time"))
 
 
-def latest_scores_stream(scores: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table with the last score of each station: every batch merges into a new version of it."""
-    from ..operators.criticality import latest_scores
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        latest_scores(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def frame_counts(observations: DataFrame, frame_seconds: int = 60, late: str = "2 minutes") -> DataFrame:
     """Readings and last delay a station and tumbling frame, final when the watermark passes."""
     return observations.withWatermark("event_time", late).groupBy("station", F.window("event_time", f"{frame_seconds} seconds")).agg(F.count("*").alias("readings"), F.max_by("delay", "event_time").alias("delay"))
