@@ -31,11 +31,11 @@ GUARD = {"email": "@", "phone": "+"}
 # Wider patterns for spans that the base ones miss, of any length.
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,40}[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     "card": r"[0-9](?<![0-9][0-9])[0-9]{3}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])",
-    "phone": r"(?<![0-9.+/-])\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9]|[.-][0-9])",
+    "phone": r"(?<![0-9.+/-])(?:(?:[01][\x20.-])?\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}|0[0-9]{2,4}[\x20/-][0-9]{6,8})(?![0-9]|[.-][0-9])",
 }
-WIDE_GUARD = {"email": r"[\[(]at[\])]|@\x20|\x20@", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
+WIDE_GUARD = {"email": r"[\[(]at[\])]|@\x20|\x20@", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
 
 # Words that announce personal data, in English, German, French and Spanish.
 GAZETTEER = {
@@ -116,6 +116,11 @@ def _scan(values: str, op: str) -> str:
     return _let("v", values, _let("cs", chunks, f"flatten(zip_with(cs, {running(totals, '0')}, (c, f) -> {running('c', 'f')}))"))
 
 
+def _base_guard(text: str, kind: str) -> str:
+    """A cheap test that a text without a base match mostly fails."""
+    return f"contains({text}, '{GUARD[kind]}')" if kind in GUARD else f"{text} rlike '[0-9]'"
+
+
 def _placed(text: str, kind: str, pattern: str, base: bool) -> str:
     """The matches of a pattern in code points with votes and features, and the text with those of a base pattern masked.
 
@@ -138,14 +143,24 @@ def _placed(text: str, kind: str, pattern: str, base: bool) -> str:
     pairs = f"transform({pairs}, m -> struct(m.g as g, m.m as m, m.after as after, {ok} as ok))"
     nothing = f"struct(cast(array() as array<{SPAN}>) as spans, {text} as text)"
     matched = f"if(size(found) > 0, {_let('ps', pairs, f'struct(cast({spans} as array<{SPAN}>) as spans, {masked} as text)')}, {nothing})"
-    guard = (f"contains({text}, '{GUARD[kind]}')" if kind in GUARD else f"{text} rlike '[0-9]'") if base else f"{text} rlike {_text(WIDE_GUARD[kind])}"
+    guard = _base_guard(text, kind) if base else f"{text} rlike {_text(WIDE_GUARD[kind])}"
     return f"if({guard}, {_let('found', f'regexp_extract_all({text}, {_text(pattern)}, 0)', matched)}, {nothing})"
 
 
+def _masked(text: str, kind: str) -> str:
+    """The text with the base spans of a kind masked, of the same length."""
+    marks = f"transform(found, m -> if(coalesce({_valid(kind, 'm')}, false), repeat('{MASK}', char_length(m)), m))"
+    filled = f"array_join(zip_with(split({text}, {_text(BASE[kind])}, -1), {marks}, (g, m) -> concat(g, coalesce(m, ''))), '')"
+    return f"if({_base_guard(text, kind)}, {_let('found', f'regexp_extract_all({text}, {_text(BASE[kind])}, 0)', f'if(size(found) > 0, {filled}, {text})')}, {text})"
+
+
 def candidates(text: str, kind: str) -> Column:
-    """The base spans of a kind and those of the wider pattern in the text between them, by start; text is SQL."""
-    wide = _placed("b.text", kind, WIDE[kind], False)
-    return F.expr(_let("t", text, _let("b", _placed("t", kind, BASE[kind], True), f"array_sort(concat(b.spans, {wide}.spans))")))
+    """The base spans of a kind and those of the wider pattern in what the base spans of all kinds leave of the text, by start; text is SQL."""
+    wide = _placed("w", kind, WIDE[kind], False)
+    for k, other in enumerate(o for o in KINDS if o != kind):
+        wide = _let(f"w{k}" if k else "w", _masked(f"w{k + 1}" if k < len(KINDS) - 2 else "b.text", other), wide)
+    wide = f"if(b.text rlike {_text(WIDE_GUARD[kind])}, {wide}.spans, cast(array() as array<{SPAN}>))"
+    return F.expr(_let("t", text, _let("b", _placed("t", kind, BASE[kind], True), f"array_sort(concat(b.spans, {wide}))")))
 
 
 def span_columns(columns: list[str]) -> dict[str, str]:

@@ -115,3 +115,19 @@ def test_redact(spark):
     got = redact(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert got.columns == ["doc_id", "text", "lang"]
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "é <EMAIL>, <IP> x"), (2, "none"), (3, None), (4, "<EMAIL>")]
+
+
+def test_no_span_of_one_kind_within_a_base_span_of_another(spark):
+    """Wider patterns run on what the base spans of all kinds leave."""
+    texts = ["pay 4111 1111 1111 1111 now", "mail 238-555-6608@a.org or 1:2:3:4:5:6:7:8", "+1 (826) 555-4081, then 10.20.30.40", "4015623723127985 and a@b.c"] + TEXTS
+    for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans)]
+        base = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.base)}
+        assert not [(x, y) for x in spans if x not in base for y in base if x[1] < y[2] and y[1] < x[2]], texts[r.doc_id]
+        assert r.base == brute(texts[r.doc_id])
+
+
+def test_wider_forms(spark):
+    texts = ["please call 1-800-555-0199 today", "Telefon 0151 23456789 bitte", "host fe80::1:2ab is up", "std::vector and a::b, 12:30:45"]
+    got = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(list(enumerate(texts * 20)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(4)] == [["phone:12:26"], ["phone:8:21"], ["ip:5:16"], []]
