@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import saved
+from ..functions.tables import saved, small
+
+STEPS, ENTRIES = 16, 2_000_000
 
 
 def teleport(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -22,34 +24,99 @@ def teleport(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
     return raw.select("station", value.alias("teleport"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = None, iterations: int = 50, damping: float = 0.85) -> DataFrame:
-    """(station, pagerank) by power iteration from the teleport vector; equal shares over distinct edges, dangling mass along the teleport vector.
+def powers(matrix: DataFrame, most: int = STEPS, entries: int = ENTRIES) -> tuple[DataFrame, int]:
+    """(row, col, step, val) of matrix(row, col, val) and its powers up to the number that is returned, saved.
+
+    The powers double with each join, and end where they would have more than so many entries: a small network gets
+    many, so that one join takes a vector many steps on; a large sparse one only itself.
+    """
+    stack, last = saved(matrix.select("row", "col", F.lit(1).alias("step"), "val"), "powers"), 1
+    size = stack.count()
+    while last < most:
+        top = stack.where(F.col("step") == last).select(F.col("row").alias("mid"), F.col("col").alias("to"), F.col("val").alias("by"))
+        ways = stack.where(F.col("step") == last).groupBy("col").agg(F.count("*").alias("n")).join(stack.groupBy(F.col("row").alias("col")).agg(F.count("*").alias("m")), "col")
+        size += ways.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+        if size > entries:
+            break
+        more = top.join(stack.withColumnRenamed("row", "to").withColumnRenamed("col", "end"), "to").groupBy("mid", "end", (F.col("step") + last).alias("step")).agg(F.sum(F.col("by") * F.col("val")).alias("val"))
+        stack = saved(stack.union(more.select(F.col("mid").alias("row"), F.col("end").alias("col"), "step", "val")), "powers")
+        last *= 2
+    return stack, last
+
+
+def steps_from(stack: DataFrame, vector: DataFrame, steps: int) -> DataFrame:
+    """(keys, station, step, x) of a vector(keys, station, x) and of what it becomes after 1 to steps products, for a stack of powers with as many."""
+    keys = [c for c in vector.columns if c not in ("station", "x")]
+    ahead = stack.where(F.col("step") <= steps).join(vector.withColumnRenamed("station", "col"), "col")
+    ahead = ahead.groupBy(*keys, F.col("row").alias("station"), "step").agg(F.sum(F.col("val") * F.col("x")).alias("x"))
+    return vector.withColumn("step", F.lit(0)).select(*ahead.columns).union(ahead)
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, personal: DataFrame | None = None, iterations: int = 50, damping: float = 0.85, start: DataFrame | None = None) -> DataFrame:
+    """(station, pagerank) by power iteration from start(station, pagerank), or from the teleport vector; equal shares over distinct edges, dangling mass along the teleport vector.
 
-    Each round is one join on the source and one partial sum; rounds are written to shared storage every fifth time.
+    A round adds the damped shares of the round before to a multiple of the teleport vector, the multiple such that all
+    ranks sum to one. So the rounds are sums of what the teleport vector and the start become along the links alone: these
+    are taken several steps a join (see powers), and only their sums, a number a round, reach the driver.
+    """
+    links = saved(edges.select("src", "dst").distinct(), "links")
+    share = links.join(links.groupBy("src").agg(F.count("*").alias("degree")), "src")
+    stack, most = powers(share.select(F.col("dst").alias("row"), F.col("src").alias("col"), (F.lit(damping) / F.col("degree")).alias("val")))
+    if personal is None:
+        nodes = saved(nodes.select("station"), "nodes")
+        personal = nodes.withColumn("teleport", F.lit(1.0 / max(nodes.count(), 1)))
+    base = saved(personal, "teleport")
+    now = base.select(F.lit(0).alias("of"), "station", F.col("teleport").alias("x"))
+    if start is not None:
+        own = base.select("station").join(start, "station", "left").select("station", F.coalesce("pagerank", F.lit(0.0)).alias("x"))
+        total = own.agg(F.sum("x")).first()[0] or 1.0
+        now = now.union(own.select(F.lit(1), "station", F.col("x") / F.lit(total)))
+    every, done = None, 0
+    while done < max(iterations, 1):
+        ahead = min(most, max(iterations, 1) - done)
+        block = saved(steps_from(stack, now, ahead), "ranks")
+        now = block.where(F.col("step") == ahead).drop("step")
+        part = block.where((F.col("step") < ahead) | F.lit(done + ahead >= iterations)).withColumn("step", F.col("step") + done)
+        every, done = part if every is None else every.union(part), done + ahead
+    sums: dict[tuple[int, int], float] = {(r.of, r.step): r.s for r in every.groupBy("of", "step").agg(F.sum("x").alias("s")).collect()}
+    begun = 1 if start is not None else 0
+    added: list[float] = []
+    for t in range(1, iterations + 1):
+        rest = sums.get((begun, t), 0.0) + sum(added[t - 1 - k] * sums.get((0, k), 0.0) for k in range(1, t))
+        added.append((1.0 - rest) / (sums.get((0, 0)) or 1.0))
+    weights = {(0, k): added[iterations - 1 - k] for k in range(iterations)}
+    weights[begun, iterations] = weights.get((begun, iterations), 0.0) + 1.0
+    weight = F.element_at(F.create_map(*[F.lit(x) for (of, k), w in weights.items() for x in (of * (iterations + 1) + k, float(w))]), F.col("of") * (iterations + 1) + F.col("step"))
+    return every.groupBy("station").agg(F.sum(F.coalesce(weight, F.lit(0.0)) * F.col("x")).alias("pagerank"))
+
+
+def active_overrides(log: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(overrides in force, rejected directives) of a log of directives(seq, action, target, id, weight).
+
+    The log is the state: `set` gives a line or station a weight, `clear` takes back all before it, and the last directive
+    of each target counts. A directive is rejected, and then changes nothing, if its action or target is unknown, if it
+    names no known line or station, or if its weight is negative or missing; it is listed with the reason.
     """
-    links = edges.select("src", "dst").distinct()
-    out = links.groupBy("src").agg(F.count("*").alias("degree"))
-    links = saved(links.join(out, "src"), "links")
-    base = personal if personal is not None else nodes.select("station", (F.lit(1.0) / F.lit(float(max(nodes.count(), 1)))).alias("teleport"))
-    base = saved(base.join(out.select(F.col("src").alias("station"), "degree"), "station", "left"), "nodes")
-    ranks = base.select("station", "degree", "teleport", F.col("teleport").alias("pagerank"))
-    for k in range(iterations):
-        dangling = ranks.where("degree is null").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("s")).first().s
-        shares = links.join(ranks.select(F.col("station").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("station")).agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
-        value = F.lit(1 - damping) * F.col("teleport") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(dangling) * F.col("teleport"))
-        ranks = base.join(shares, "station", "left").select("station", "degree", "teleport", value.alias("pagerank"))
-        if k % 5 == 4:
-            ranks = saved(ranks, "ranks")
-    return ranks.select("station", "pagerank")
-
-
-def rerank(edges: DataFrame, nodes: DataFrame, directives: DataFrame, iterations: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(ranks, rejected directives): directives must name a known line or station and a weight of 0 or more."""
     lines = nodes.select(F.explode("lines").alias("id")).distinct().withColumn("target", F.lit("line"))
     known = lines.unionByName(nodes.select(F.col("station").cast("string").alias("id"), F.lit("station").alias("target"))).withColumn("known", F.lit(True))
-    checked = directives.join(known, ["target", "id"], "left")
-    good = F.coalesce(F.col("known") & (F.col("weight") >= 0), F.lit(False))
-    return pagerank(edges, nodes, teleport(nodes, checked.where(good & (F.col("weight") != 1))), iterations), checked.where(~good).drop("known")
+    checked = log.join(small(known), ["target", "id"], "left")
+    is_set, is_clear = F.col("action") == "set", F.col("action") == "clear"
+    reason = F.when(F.coalesce(is_clear, F.lit(False)), None).when(~F.coalesce(is_set, F.lit(False)), "unknown action").when(~F.coalesce(F.col("target").isin("line", "station"), F.lit(False)), "unknown target").when(F.col("known").isNull(), "unknown id").when(F.coalesce(F.col("weight") < 0, F.lit(True)), "no weight")
+    checked = checked.withColumn("reason", reason)
+    cleared = checked.where(is_clear).agg(F.coalesce(F.max("seq"), F.lit(-(1 << 62))).alias("cleared"))
+    good = checked.where(is_set & F.col("reason").isNull()).join(F.broadcast(cleared), F.col("seq") > F.col("cleared"))
+    force = good.groupBy("target", "id").agg(F.max_by("weight", "seq").alias("weight"), F.max("seq").alias("seq"))
+    return force, checked.where("reason is not null").select("seq", "action", "target", "id", "weight", "reason")
+
+
+def rerank(edges: DataFrame, nodes: DataFrame, directives: DataFrame, iterations: int = 50, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(ranks, rejected directives): directives must name a known line or station and a weight of 0 or more.
+
+    A log with seq and action (see active_overrides) gives the ranks under the overrides in force; start are the ranks to go on from.
+    """
+    log = directives if "seq" in directives.columns else directives.withColumns({"seq": F.monotonically_increasing_id(), "action": F.lit("set")})
+    force, rejected = active_overrides(log, nodes)
+    return pagerank(edges, nodes, teleport(nodes, force.where("weight != 1")), iterations, start=start), rejected
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -97,18 +164,27 @@ def times_vector(matrix: DataFrame, vector: DataFrame, keys: tuple[str, ...] = (
 
 
 def lambda_max(lap: DataFrame, nodes: DataFrame, steps: int = 100) -> float:
-    """The largest eigenvalue by power iteration from the uniform vector: the Rayleigh quotient, within [1e-6, 2]; 2 if the vector vanishes."""
-    lap, n = saved(lap, "laplacian"), max(nodes.count(), 1)
-    x, value = nodes.select("station", F.lit(n**-0.5).alias("x")), 2.0
-    for k in range(steps):
-        y = saved(times_vector(lap, x), "vector")
-        s = y.join(x.withColumnRenamed("x", "x0"), "station").agg(F.sum(F.col("x") * F.col("x0")).alias("q"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")).first()
-        if s.norm is None or s.norm < 1e-12:
-            return 2.0
-        last, value = value, s.q
-        x = y.select("station", (F.col("x") / F.lit(s.norm)).alias("x"))
-        if k and abs(last - value) < 1e-12:
-            break
+    """The largest eigenvalue by power iteration from the uniform vector: the Rayleigh quotient, within [1e-6, 2]; 2 if the vector vanishes.
+
+    Several steps a join (see powers); the stop test, on a quotient and a norm a step, follows each join.
+    """
+    stack, most = powers(lap)
+    x, value, done = nodes.select("station", F.lit(max(nodes.count(), 1) ** -0.5).alias("x")), 2.0, 0
+    while done < steps:
+        ahead = min(most, steps - done)
+        block = saved(steps_from(stack, x, ahead), "vector")
+        after = block.select("station", (F.col("step") - 1).alias("step"), F.col("x").alias("y"))
+        products = block.join(after, ["station", "step"], "left").groupBy("step").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+        found = {r.step: r for r in products.collect()}
+        for k in range(ahead):
+            here, following = found.get(k), found.get(k + 1)
+            if not here or not following or not here.xx or (following.xx / here.xx) ** 0.5 < 1e-12:
+                return 2.0
+            last, value = value, here.xy / here.xx
+            if done + k and abs(last - value) < 1e-12:
+                return min(max(value, 1e-6), 2.0)
+        x = block.where(F.col("step") == ahead).select("station", (F.col("x") / F.lit(found[ahead].xx ** 0.5)).alias("x"))
+        done += ahead
     return min(max(value, 1e-6), 2.0)
 
 

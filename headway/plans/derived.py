@@ -86,6 +86,16 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.select(F.concat(F.lit("S"), F.col("event_id").cast("string")).alias("source_id"), "station", "delay")
 
 
+def directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, action, target, id, weight): every event as a directive on its station or a line, some of them not valid; one in 5,000 clears all."""
+    e = events(spark, sf_dir)
+    k = F.col("event_id")
+    action = F.when(k % 5000 == 0, "clear").when(k % 97 == 0, "drop").otherwise("set")
+    target = F.when(k % 89 == 0, "zone").when(k % 2 == 0, "station").otherwise("line")
+    name = F.when(k % 2 == 0, (F.col("station") + F.when(k % 83 == 0, 100).otherwise(0)).cast("string")).when(k % 4 == 1, "1-URGENT").when(k % 4 == 3, "5-LOW")
+    return e.select(k.alias("seq"), action.alias("action"), target.alias("target"), name.alias("id"), F.when(k % 79 == 0, -1.0).otherwise((k % 7) / 4.0).alias("weight"))
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, body): position frames in three dialects by event_id, errors as broken text, dealt by trip as the partitions of a topic."""
     e = events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "trip_id")

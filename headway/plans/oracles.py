@@ -54,6 +54,26 @@ def _ranks(teleport: str) -> str:
       SELECT station, round(r, 8) AS pagerank FROM r WHERE k = 50"""
 
 
+LOG = f"""{EV}, log AS (SELECT event_id AS seq, CASE WHEN event_id % 5000 = 0 THEN 'clear' WHEN event_id % 97 = 0 THEN 'drop' ELSE 'set' END AS action,
+    CASE WHEN event_id % 89 = 0 THEN 'zone' WHEN event_id % 2 = 0 THEN 'station' ELSE 'line' END AS target,
+    CASE WHEN event_id % 2 = 0 THEN CAST(station + CASE WHEN event_id % 83 = 0 THEN 100 ELSE 0 END AS VARCHAR) WHEN event_id % 4 = 1 THEN '1-URGENT' ELSE '5-LOW' END AS id,
+    CASE WHEN event_id % 79 = 0 THEN -1.0::DOUBLE ELSE (event_id % 7)::DOUBLE / 4 END AS weight FROM ev),
+  named AS (SELECT DISTINCT 'line' AS target, line AS id FROM calls UNION SELECT 'station', CAST(station AS VARCHAR) FROM nodes),
+  judged AS (SELECT log.*, CASE WHEN action = 'clear' THEN NULL WHEN action <> 'set' THEN 'unknown action' WHEN target NOT IN ('line', 'station') THEN 'unknown target' WHEN (target, id) NOT IN (SELECT (target, id) FROM named) THEN 'unknown id' WHEN weight < 0 THEN 'no weight' END AS reason FROM log),
+  force AS (SELECT target, id, arg_max(weight, seq) AS weight, max(seq) AS seq FROM judged WHERE action = 'set' AND reason IS NULL AND seq > coalesce((SELECT max(seq) FROM judged WHERE action = 'clear'), -1) GROUP BY target, id)"""
+
+# Ranks under overrides go on from those without any: 50 rounds each.
+RERANK = f"""WITH RECURSIVE {CALLS}, {LOG}, links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM (SELECT DISTINCT src, dst FROM edges)),
+  raw AS (SELECT n.station, greatest(coalesce(any_value(o.weight), 1.0) * avg(coalesce(l.weight, 1.0)), 0.0) AS w FROM nodes n JOIN (SELECT DISTINCT station, line FROM calls) c USING (station)
+    LEFT JOIN force o ON o.target = 'station' AND o.id = CAST(n.station AS VARCHAR) LEFT JOIN force l ON l.target = 'line' AND l.id = c.line GROUP BY n.station),
+  both_ AS MATERIALIZED (SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t0, w / (SELECT sum(w) FROM raw) AS t FROM raw),
+  share AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / degree AS p, NULL::DOUBLE AS dummy FROM links),
+  dead AS MATERIALIZED (SELECT station FROM both_ WHERE station NOT IN (SELECT src FROM links)),
+  r(k, station, r) AS (SELECT 0, station, t0 FROM both_ UNION ALL
+    SELECT any_value(k) + 1, station, 0.15 * any_value(t) + 0.85 * sum(part) FROM (SELECT r.k, b.station, CASE WHEN r.k < 50 THEN b.t0 ELSE b.t END AS t, coalesce(r.r * share.p, 0) + CASE WHEN r.station IN (SELECT station FROM dead) THEN r.r * CASE WHEN r.k < 50 THEN b.t0 ELSE b.t END ELSE 0 END AS part
+      FROM both_ b JOIN r ON true LEFT JOIN share ON share.src = r.station AND share.dst = b.station WHERE r.k < 100) GROUP BY station)
+  SELECT station, round(r, 8) AS pagerank FROM r WHERE k = 100"""
+
 W = f"""WITH {CALLS}, pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(run_sec) AS t FROM edges WHERE src <> dst GROUP BY ALL),
 weights AS (SELECT a, b, exp(-(t * t) / 400.0) AS w FROM pairs WHERE exp(-(t * t) / 400.0) > 0),
 sym AS (SELECT a AS r, b AS c, w FROM weights UNION ALL SELECT b, a, w FROM weights),
@@ -148,6 +168,9 @@ ORACLES = {
     "trip_partitions": f"WITH {EV} SELECT trip_id, 1 AS partitions, count(*) AS events FROM ev GROUP BY trip_id",
     "cascade_residuals": f"{_cascade()} SELECT source_id, station, residual FROM hit",
     "cascade_summary": f"{_cascade()} SELECT source_id, count(*) AS stations_hit, max(residual) AS peak_residual, CAST(sum(residual) AS BIGINT) AS total_residual FROM hit GROUP BY source_id",
+    "hub_overrides": f"WITH {CALLS}, {LOG} SELECT target, id, weight, seq FROM force",
+    "rejected_directives": f"WITH {CALLS}, {LOG} SELECT seq, action, target, id, weight, reason FROM judged WHERE reason IS NOT NULL",
+    "hub_rerank": RERANK,
     "pagerank": _ranks("SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t FROM nodes"),
     "top_hubs": _ranks("SELECT station, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS t FROM nodes") + " ORDER BY pagerank DESC, station LIMIT 10",
     "pagerank_personalised": _ranks("SELECT station, (station % 3 + 0.5)::DOUBLE / (SELECT sum(station % 3 + 0.5)::DOUBLE FROM nodes) AS t FROM nodes"),

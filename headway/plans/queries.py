@@ -187,6 +187,23 @@ def pagerank_personalised(spark, sf_dir):
     return graph.pagerank(_edges(spark, sf_dir), nodes, graph.teleport(nodes, overrides)).withColumn("pagerank", F.round("pagerank", 8))
 
 
+def hub_overrides(spark, sf_dir):
+    """The overrides in force after every event's directive."""
+    return graph.active_overrides(d.directives(spark, sf_dir), d.nodes(spark, sf_dir))[0]
+
+
+def rejected_directives(spark, sf_dir):
+    """The directives that change nothing, and why."""
+    return graph.active_overrides(d.directives(spark, sf_dir), d.nodes(spark, sf_dir))[1]
+
+
+def hub_rerank(spark, sf_dir):
+    """Ranks under the overrides in force, going on from the ranks without any."""
+    edges, nodes = saved(_edges(spark, sf_dir), "edges"), saved(d.nodes(spark, sf_dir), "nodes")
+    ranks, _ = graph.rerank(edges, nodes, d.directives(spark, sf_dir), start=saved(graph.pagerank(edges, nodes), "ranks"))
+    return ranks.withColumn("pagerank", F.round("pagerank", 8))
+
+
 def _weights(spark, sf_dir):
     return graph.kernel_weights(graph.undirected(_edges(spark, sf_dir)), sigma=20.0)
 
@@ -344,7 +361,7 @@ QUERIES = {
         network_edges, network_dwell, station_rollup, patterns, pattern_index, network_stats, network_matrix, seriation, station_search, stop_map,
         feed_calls, feed_stations, feed_edges, feed_transfers, feed_geometry,
         normalize_positions, dead_letters, signalling_events, incident_events, trip_partitions,
-        cascade_residuals, cascade_summary, cascade_labels, cascade_impact, cascade_events, pagerank, top_hubs, pagerank_personalised, kernel_weights, laplacian, adjacency, scaled_laplacian, lambda_max, diffusion, cheb_features,
+        cascade_residuals, cascade_summary, cascade_labels, cascade_impact, cascade_events, pagerank, top_hubs, pagerank_personalised, hub_overrides, rejected_directives, hub_rerank, kernel_weights, laplacian, adjacency, scaled_laplacian, lambda_max, diffusion, cheb_features,
         criticality_join, criticality_interval, criticality_latest, criticality_events, criticality_top, topk_decisions,
         latest_observation, frames_resampled, rolling_history, escalation, prediction_events, supervised_windows, forecast_losses, residual_forecast, delay_percentiles,
         journey_frontier, journey_paths, departure_board, display_messages,

@@ -214,3 +214,36 @@ def test_feed(spark, tmp_path):
     message = boards.display_messages(board, seen, "2024-01-15").orderBy("message_id").first()
     assert (message.subject, message.body, message.valid_to_ms) == ("piv/idf/0/a", "08:00", 1705302000000)
     assert network.display_station(spark.createDataFrame([("piv/idf/12/A",), ("x",)], "subject string")).orderBy("station").first().station == -1
+
+
+def test_ranks_by_powers_equal_plain_rounds(spark, monkeypatch):
+    """However many steps a join takes, and from whatever start, the ranks are those of plain rounds."""
+    import random
+
+    rng = random.Random(2)
+    n, links = 30, sorted({(rng.randrange(25), rng.randrange(30)) for _ in range(70)})
+    edges = spark.createDataFrame(links, "src int, dst int")
+    nodes = spark.createDataFrame([(k,) for k in range(n)], "station int")
+    tele, begin = [(k % 4 + 1) / sum(j % 4 + 1 for j in range(n)) for k in range(n)], [(k % 3) / sum(j % 3 for j in range(n)) for k in range(n)]
+    personal = spark.createDataFrame(list(enumerate(tele)), "station int, teleport double")
+    start = spark.createDataFrame(list(enumerate(begin)), "station int, pagerank double")
+    out = {k: [d for s, d in links if s == k] for k in range(n)}
+
+    def plain(x, rounds):
+        for _ in range(rounds):
+            dead = sum(x[k] for k in range(n) if not out[k])
+            x = [0.15 * tele[k] + 0.85 * (sum(x[s] / len(out[s]) for s, d in links if d == k) + dead * tele[k]) for k in range(n)]
+        return x
+
+    for entries, rounds, first in ((2_000_000, 21, None), (0, 3, None), (2_000_000, 21, start), (2_000_000, 1, start)):
+        monkeypatch.setattr(graph.powers, "__defaults__", (graph.STEPS, entries))
+        got = {r.station: r.pagerank for r in graph.pagerank(edges, nodes, personal, rounds, start=first).collect()}
+        assert got == pytest.approx(dict(enumerate(plain(begin if first else tele, rounds))), abs=1e-12)
+
+
+def test_directives_as_a_log(spark):
+    nodes = spark.createDataFrame([(1, ["A"]), (2, ["A", "B"])], "station int, lines array<string>")
+    log = [(1, "set", "line", "A", 3.0), (2, "set", "station", "2", 5.0), (3, "clear", None, None, None), (4, "set", "line", "A", 2.0), (5, "set", "line", "A", 0.5), (6, "set", "line", "A", -1.0), (7, "set", "station", "9", 1.0), (8, None, "line", "B", 1.0), (9, "set", "zone", "B", 1.0), (10, "set", "station", "1", None)]
+    force, rejected = graph.active_overrides(spark.createDataFrame(log, "seq long, action string, target string, id string, weight double"), nodes)
+    assert rows(force) == [("line", "A", 0.5, 5)]
+    assert {r.seq: r.reason for r in rejected.collect()} == {6: "no weight", 7: "unknown id", 8: "unknown action", 9: "unknown target", 10: "no weight"}
