@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scans import following, in_blocks, last_values, sum_up_to
 from ..functions.tables import saved
+from .graph import chebyshev_terms
 
 HISTORY, HORIZON_S, FRAME_S, SCALE_S, WARM = 12, 1800, 60, 600.0, 3
 LATE_S, FLOOR_S, COLD, P90, P95 = 60.0, 30.0, 1.10, 1.25, 1.40
@@ -105,20 +107,47 @@ def losses(rows: DataFrame, tau: float = 0.9, mix: float = 0.7, scale: float = S
     return rows.agg(mse.alias("mse"), F.avg(F.abs(e) * scale).alias("mae_seconds"), pinball.alias("pinball"), (mix * mse + (1 - mix) * pinball).alias("loss"))
 
 
-def fit_residuals(training: DataFrame, features: list[str]):
-    """A linear model of y / SCALE_S over numeric feature columns, fitted by Spark's own solver."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def model_features(framed: DataFrame, scaled: DataFrame, order: int = 3, history: int = HISTORY, parts: int | None = None) -> tuple[DataFrame, list[str]]:
+    """framed with seen and the features of the forecaster, in units of SCALE_S, and their names.
 
-    table = VectorAssembler(inputCols=features, outputCol="features").transform(training.withColumn("label", F.col("y") / SCALE_S))
-    return LinearRegression(regParam=1e-3).fit(table)
+    h0, h1, ..: the delays of the last frames, null where there are fewer. g1, g2, ..: the Chebyshev terms of all
+    stations' delays of the frame over the network, scaled(row, col, val) being its scaled Laplacian.
+    """
+    rows = rolling_history(framed, history, parts)
+    for k, term in enumerate(chebyshev_terms(scaled, framed.select("frame", "station", F.col("delay").alias("x")), order)):
+        if k:
+            rows = rows.join(term.withColumnRenamed("x", f"g{k}"), ["frame", "station"], "left")
+    whole = F.size("history") == history
+    rows = rows.withColumns({f"h{k}": F.when(whole, F.col("history")[k] / SCALE_S) for k in range(history)} | {f"g{k}": F.coalesce(f"g{k}", F.lit(0.0)) / SCALE_S for k in range(1, order)})
+    return rows.drop("history"), [f"h{k}" for k in range(history)] + [f"g{k}" for k in range(1, order)]
 
 
-def predict_residuals(model, rows: DataFrame, features: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def fit_residuals(training: DataFrame, features: list[str], ridge: float = 1e-3) -> DataFrame:
+    """(feature, weight): the ridge regression of y / SCALE_S on numeric feature columns and `bias`, the model as a table.
 
-    out = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(rows))
-    return out.withColumn("prediction", F.col("prediction") * SCALE_S).drop("features")
+    One aggregation gives the mean products of all columns; the equations, as many as there are features, are solved
+    where they arrive. Rows with a null are left out; no rows give weights of 0.
+    """
+    columns = {**{c: F.col(c) for c in features}, "bias": F.lit(1.0), "y": F.col("y") / SCALE_S}
+    names = list(columns)
+    rows = training.dropna(subset=[*features, "y"])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    means = rows.agg(*[F.avg(columns[names[i]] * columns[names[j]]).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    n = len(features) + 1
+    products = np.zeros((n + 1, n + 1))
+    for i, j in pairs:
+        products[i, j] = products[j, i] = means[f"p{i}_{j}"] or 0.0
+    weights = np.linalg.solve(products[:n, :n] + np.diag([ridge] * (n - 1) + [0.0 if products[n - 1, n - 1] else 1.0]), products[:n, n])
+    return training.sparkSession.createDataFrame(list(zip([*features, "bias"], weights.tolist(), strict=True)), "feature string, weight double")
+
+
+def predict_residuals(model: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds prediction, in seconds; null where a feature is. A model has a row for each feature."""
+    weights = {r.feature: r.weight for r in model.collect()}
+    value = F.lit(weights.pop("bias", 0.0))
+    for name, w in weights.items():
+        value = value + F.col(name) * F.lit(w)
+    return rows.withColumn("prediction", value * SCALE_S)
 
 
 def rank_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...] = (0.5, 0.95, 0.99), keys: tuple[str, ...] = ()) -> DataFrame:

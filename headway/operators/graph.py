@@ -193,8 +193,8 @@ def scaled_laplacian(lap: DataFrame, largest: float) -> DataFrame:
     return lap.select("row", "col", (F.col("val") * F.lit(2.0 / largest) - F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0)).alias("val"))
 
 
-def chebyshev(scaled: DataFrame, signal: DataFrame, order: int = 3, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
-    """(keys, station, k, x) for k < order: T0 = x, T1 = L x, Tk = 2 L T(k-1) - T(k-2), for every frame at once."""
+def chebyshev_terms(scaled: DataFrame, signal: DataFrame, order: int = 3, keys: tuple[str, ...] = ("frame",)) -> list[DataFrame]:
+    """The first Chebyshev terms of each signal(keys, station, x): T0 = x, T1 = L x, Tk = 2 L T(k-1) - T(k-2), for every frame at once."""
     terms = [signal.select(*keys, "station", "x")]
     for k in range(1, order):
         y = times_vector(scaled, terms[-1], keys)
@@ -203,6 +203,12 @@ def chebyshev(scaled: DataFrame, signal: DataFrame, order: int = 3, keys: tuple[
         else:
             y = signal.select(*keys, "station").join(y, [*keys, "station"], "left").select(*keys, "station", F.coalesce("x", F.lit(0.0)).alias("x"))
         terms.append(saved(y, "chebyshev"))
+    return terms
+
+
+def chebyshev(scaled: DataFrame, signal: DataFrame, order: int = 3, keys: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """(keys, station, k, x) of chebyshev_terms, k < order."""
+    terms = chebyshev_terms(scaled, signal, order, keys)
     out = terms[0].withColumn("k", F.lit(0))
     for k, t in enumerate(terms[1:], 1):
         out = out.union(t.withColumn("k", F.lit(k)))

@@ -99,6 +99,18 @@ hist AS (SELECT station, frame, delay, CAST(least(sum(CASE WHEN delay <> 0 THEN
   CAST(count(*) OVER h AS INT) AS frames, sum(delay) OVER h AS total, lead(delay, 3) OVER (PARTITION BY station ORDER BY frame) - delay AS y
   FROM fr WINDOW h AS (PARTITION BY station ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
 
+# The regression's normal equations, 12 delays, two terms over the network and one, by elimination a column at a time.
+MODEL = f"""{W.replace("WITH ", "WITH RECURSIVE ", 1)}, {HOURS}, terms1 AS MATERIALIZED (SELECT frame, "row" AS station, sum(val * delay) AS x FROM scaled JOIN fr ON fr.station = col GROUP BY ALL),
+terms2 AS (SELECT fr.frame, fr.station, 2 * coalesce(s.x, 0) - fr.delay AS x FROM fr LEFT JOIN (SELECT frame, "row" AS station, sum(val * x) AS x FROM scaled JOIN terms1 ON terms1.station = col GROUP BY ALL) s USING (station, frame)),
+feats AS MATERIALIZED (SELECT h.station, h.frame, delay, y, seen, frames, list_concat(list_transform(past, lambda v: v / 600), [coalesce(a.x, 0) / 600, coalesce(b.x, 0) / 600, 1.0]) AS x
+  FROM (SELECT *, list(delay) OVER (PARTITION BY station ORDER BY frame ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS past FROM hist) h LEFT JOIN terms1 a USING (station, frame) LEFT JOIN terms2 b USING (station, frame)),
+tr AS MATERIALIZED (SELECT x, y / 600 AS t FROM feats WHERE frames = 12 AND y IS NOT NULL AND (frame + station) % 5 <> 0),
+cells AS (SELECT i, j, avg(x[i] * x[j]) AS a FROM tr, range(1, 16) u(i), range(1, 16) v(j) GROUP BY i, j), rhs AS (SELECT i, avg(x[i] * t) AS b FROM tr, range(1, 16) u(i) GROUP BY i),
+eq AS (SELECT i, list_append(list(a + CASE WHEN i = j AND i < 15 THEN 0.001 ELSE 0 END ORDER BY j), any_value(b)) AS r FROM cells JOIN rhs USING (i) GROUP BY i),
+elim(k, m) AS (SELECT 1, (SELECT list(r ORDER BY i) FROM eq) UNION ALL SELECT k + 1, list_transform(m, lambda r, i: list_transform(range(1, 17), lambda c: CASE WHEN i = k THEN r[c] / r[k] ELSE r[c] - r[k] / m[k][k] * m[k][c] END)) FROM elim WHERE k <= 15),
+weights_ AS (SELECT list_transform(m, lambda r: r[16]) AS w FROM elim WHERE k = 16),
+modelled AS (SELECT feats.*, CASE WHEN frames = 12 THEN list_dot_product(x, w) * 600 END AS prediction FROM feats, weights_)"""
+
 TRIPS = f"""{CALLS}, trips AS (SELECT trip_id, line, list(station ORDER BY pos) AS stops, count(*) AS n_stops, min(CASE WHEN pos = 0 THEN dep END) AS dep0 FROM hops GROUP BY trip_id, line HAVING count(*) > 1)"""
 
 BOARD = f"""{TRIPS}, ends AS (SELECT trip_id, arg_max(station, pos) AS terminus, max(pos) AS last FROM hops WHERE n > 1 GROUP BY trip_id),
@@ -202,6 +214,10 @@ ORACLES = {
     "supervised_windows": f"WITH {HOURS} SELECT station, frame, round(delay, 6) AS now, round(y, 6) AS y FROM hist WHERE frames = 12 AND y IS NOT NULL",
     "forecast_losses": f"""WITH {HOURS}, e AS (SELECT (y - delay * 0.1) / 600 AS e FROM hist WHERE frames = 12 AND y IS NOT NULL)
       SELECT round(avg(e * e), 6) AS mse, round(avg(abs(e) * 600), 6) AS mae_seconds, round(avg(greatest(0.9 * e, -0.1 * e)), 6) AS pinball, round(0.7 * avg(e * e) + 0.3 * avg(greatest(0.9 * e, -0.1 * e)), 6) AS loss FROM e""",
+    "residual_forecast": f"""{MODEL}, e AS (SELECT (y - prediction) / 600 AS e FROM modelled WHERE y IS NOT NULL AND prediction IS NOT NULL AND (frame + station) % 5 = 0)
+      SELECT round(avg(e * e), 6) AS mse, round(avg(abs(e) * 600), 6) AS mae_seconds, round(avg(greatest(0.9 * e, -0.1 * e)), 6) AS pinball, round(0.7 * avg(e * e) + 0.3 * avg(greatest(0.9 * e, -0.1 * e)), 6) AS loss FROM e""",
+    "escalation_model": f"""{MODEL}, f AS (SELECT station, frame, delay, seen < 3 OR prediction IS NULL AS cold, CASE WHEN seen < 3 OR prediction IS NULL THEN delay * 1.1 ELSE greatest(delay + prediction, 0) END AS f FROM modelled WHERE delay >= 60)
+      SELECT station, frame, cold AS fallback_used, round(f, 4) AS forecast, round(least(greatest((f - delay) / greatest(delay, 30.0), 0), 1), 6) AS escalation_ratio FROM f""",
     "delay_percentiles": f"""WITH {EV}, s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev)
       SELECT event_type, max(CASE WHEN i = floor(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN i = floor(0.95 * (n - 1)) THEN value END) AS p95, max(CASE WHEN i = floor(0.99 * (n - 1)) THEN value END) AS p99 FROM s GROUP BY event_type""",
     "journey_frontier": _journeys(),

@@ -247,3 +247,21 @@ def test_directives_as_a_log(spark):
     force, rejected = graph.active_overrides(spark.createDataFrame(log, "seq long, action string, target string, id string, weight double"), nodes)
     assert rows(force) == [("line", "A", 0.5, 5)]
     assert {r.seq: r.reason for r in rejected.collect()} == {6: "no weight", 7: "unknown id", 8: "unknown action", 9: "unknown target", 10: "no weight"}
+
+
+def test_regression_by_sums(spark):
+    """The model is that of all rows at once; rows with a null and no rows at all are defined."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = 600 * (x @ [0.5, -1.0, 2.0] + 0.25) + rng.normal(size=200)
+    data = [(*map(float, r), float(t)) for r, t in zip(x, y)] + [(None, 1.0, 1.0, 5.0), (1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(data, "a double, b double, c double, y double").repartition(3)
+    model = forecast.fit_residuals(df, ["a", "b", "c"])
+    full = np.column_stack([x, np.ones(200)])
+    want = np.linalg.solve(full.T @ full / 200 + np.diag([1e-3] * 3 + [0]), full.T @ (y / 600) / 200)
+    assert [r.weight for r in model.collect()] == pytest.approx(want.tolist())
+    got = forecast.predict_residuals(model, df).collect()
+    assert got[0].prediction == pytest.approx(600 * (np.array(got[0][:3]) @ want[:3] + want[3])) and sum(r.prediction is None for r in got) == 1
+    assert {r.weight for r in forecast.fit_residuals(df.limit(0), ["a"]).collect()} == {0.0}
