@@ -121,6 +121,25 @@ def paths(queries: DataFrame, trip_times: DataFrame, transfers: DataFrame, round
     return legs.select("query_id", (last - F.col("back")).alias("leg"), "kind", "src", "dst", "dep", "arr")
 
 
+def path_proofs(legs: DataFrame, queries: DataFrame, trip_times: DataFrame, transfers: DataFrame) -> DataFrame:
+    """(query_id, arrival, transfers, whole, exist): when the legs of paths arrive, after how many changes of vehicle, whether
+    they lead from the query's origin at its time to its destination without a gap, and whether each is a ride of the
+    timetable or a walk of the network."""
+    rides = trip_times.select("pattern_id", "trip_no", F.col("pos").alias("p"), F.col("station").alias("src"), F.col("dep_sec").alias("dep"))
+    rides = rides.join(trip_times.select("pattern_id", "trip_no", F.col("pos").alias("q"), F.col("station").alias("dst"), F.col("arr_sec").alias("arr")), ["pattern_id", "trip_no"]).where("p < q")
+    rides = rides.select(F.lit("RIDE").alias("kind"), "src", "dst", "dep", "arr")
+    taken = legs.select("kind", "src", "dst", "dep", "arr").distinct()
+    ridden = taken.join(rides, taken.columns, "left_semi")
+    walked = taken.where("kind = 'WALK'").join(transfers.select("src", "dst", "min_sec"), ["src", "dst"]).where("arr - dep = min_sec").select(taken.columns)
+    known = ridden.union(walked).distinct().withColumn("known", F.lit(True))
+    order = Window.partitionBy("query_id").orderBy("leg")
+    rows = legs.join(known, taken.columns, "left").join(queries, "query_id")
+    rows = rows.withColumns({"_at": F.coalesce(F.lag("dst").over(order), "origin"), "_by": F.coalesce(F.lag("arr").over(order), "departure_sec")})
+    fits = (F.col("src") == F.col("_at")) & (F.col("dep") >= F.col("_by"))
+    ends = F.max_by("dst", "leg") == F.first("dest")
+    return rows.groupBy("query_id").agg(F.max_by("arr", "leg").alias("arrival"), F.greatest(F.sum((F.col("kind") == "RIDE").cast("int")) - 1, F.lit(0)).cast("int").alias("transfers"), (F.bool_and(fits) & ends).alias("whole"), F.bool_and(F.coalesce("known", F.lit(False))).alias("exist"))
+
+
 def leg_shapes(legs: DataFrame, trip_times: DataFrame, geometry: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, leg, shape): the segments' curves joined, straight lines where there is none; repeated joints are dropped."""
     trip = Window.partitionBy("pattern_id", "trip_no").orderBy("pos")

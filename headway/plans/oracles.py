@@ -221,6 +221,7 @@ ORACLES = {
     "delay_percentiles": f"""WITH {EV}, s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev)
       SELECT event_type, max(CASE WHEN i = floor(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN i = floor(0.95 * (n - 1)) THEN value END) AS p95, max(CASE WHEN i = floor(0.99 * (n - 1)) THEN value END) AS p99 FROM s GROUP BY event_type""",
     "journey_frontier": _journeys(),
+    "journey_path_proofs": f"SELECT query_id, min(arrival) AS arrival, arg_min(transfers, arrival) AS transfers, true AS whole, true AS exist FROM ({_journeys()}) GROUP BY query_id",
     "departure_board": f"WITH {BOARD} SELECT station, line, place, dep_sec, terminus FROM board",
     "display_messages": f"""WITH {BOARD} SELECT station || '/' || line || '/' || dep_sec AS message_id, 'piv/idf/' || station || '/' || line AS subject, name AS headline,
       printf('%02d:%02d', dep_sec // 3600, dep_sec // 60 % 60) AS body, 1705273200000 + dep_sec * 1000 AS valid_to_ms, 1705273200000 + dep_sec * 1000 - 60000 AS valid_from_ms,

@@ -358,6 +358,12 @@ def journey_paths(spark, sf_dir):
     return journeys.paths(d.journey_queries(spark, sf_dir), _times(spark, sf_dir)[1], d.transfers(spark, sf_dir))
 
 
+def journey_path_proofs(spark, sf_dir):
+    """Every path is whole, of legs that exist, and arrives as the frontier's earliest with as few changes."""
+    queries, times, walks = d.journey_queries(spark, sf_dir), saved(_times(spark, sf_dir)[1], "times"), d.transfers(spark, sf_dir)
+    return journeys.path_proofs(journeys.paths(queries, times, walks), queries, times, walks)
+
+
 def departure_board(spark, sf_dir):
     kinds, times = _times(spark, sf_dir)
     return boards.departures(times, kinds, 1000, 400, 5)
@@ -377,7 +383,7 @@ QUERIES = {
         cascade_residuals, cascade_summary, cascade_labels, cascade_impact, cascade_events, pagerank, top_hubs, pagerank_personalised, hub_overrides, rejected_directives, hub_rerank, kernel_weights, laplacian, adjacency, scaled_laplacian, lambda_max, diffusion, cheb_features,
         criticality_join, criticality_interval, criticality_latest, criticality_events, criticality_top, topk_decisions,
         latest_observation, frames_resampled, rolling_history, escalation, prediction_events, supervised_windows, forecast_losses, residual_forecast, escalation_model, delay_percentiles,
-        journey_frontier, journey_paths, departure_board, display_messages,
+        journey_frontier, journey_paths, journey_path_proofs, departure_board, display_messages,
     )
 }
 

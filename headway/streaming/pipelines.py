@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import boards, cascade, criticality
 from ..operators.criticality import WINDOW_MS
-from ..sources.frames import accepted, dead_letters, normalize_positions, unnested
+from ..sources.frames import KINDS, accepted, dead_letters, normalize_incidents, normalize_positions, normalize_signalling, unnested
+from ..sources.ledger import publish
 
 JOINED = "station int, cascade_id string, prediction_id string, lag_ms long, delay double, missed boolean, escalation double, event_time_ms long"
 STATE = "p_id string, p_time long, p_escalation double, c_id string, c_time long, c_delay double, c_missed boolean"
@@ -21,17 +23,42 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def route_positions(frames: DataFrame, stop_map: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Frames to typed events and dead letters. A batch's rows go to a folder of its own, so a retry replaces them."""
+def telemetry(stop_map: DataFrame) -> Callable[[DataFrame, int], dict[str, DataFrame]]:
+    """The outputs of raw frames of all kinds: positions, signalling, incidents and dead_letters."""
+
+    def outputs(batch: DataFrame, now: int) -> dict[str, DataFrame]:
+        frames = unnested(batch)
+        kind = lambda k: frames.where(F.col("kind") == k)
+        rows = {"positions": normalize_positions(kind("POSITION"), stop_map, now), "signalling": normalize_signalling(kind("SIGNALLING"), stop_map, now), "incidents": normalize_incidents(kind("INCIDENT"), now)}
+        lost = frames.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("kind", "body", F.lit("unknown kind").alias("reason"), F.lit(now).cast("long").alias("ingest_ts"))
+        for normalized in rows.values():
+            lost = lost.unionByName(dead_letters(normalized, now))
+        return {name: accepted(normalized) for name, normalized in rows.items()} | {"dead_letters": lost}
+
+    return outputs
+
+
+def effects(network: dict[str, DataFrame], service_date: str) -> Callable[[DataFrame, int], dict[str, DataFrame]]:
+    """The outputs of accepted positions: cascades, scores of the stations they hit, and the displays there.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        now = int(batch.sparkSession.sql("select unix_millis(current_timestamp())").first()[0])
-        rows = normalize_positions(unnested(batch), stop_map, now).persist()
-        accepted(rows).write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-        dead_letters(rows, now).write.mode("overwrite").parquet(f"{path}/dead_letters/batch={batch_id}")
-        rows.unpersist()
+    network has edges, dwell, transfers, ranks(station, pagerank), nodes(station, name), trip_times and kinds.
+    """
+
+    def outputs(batch: DataFrame, now: int) -> dict[str, DataFrame]:
+        hit = cascade.cascade_events(batch, network["edges"], network["dwell"], network["transfers"], now, network["ranks"])
+        rows = hit.select(F.col("station_id").alias("station"), F.col("event_id").alias("cascade_id"), F.lit(None).cast("string").alias("prediction_id"), F.lit(-1).cast("long").alias("lag_ms"), F.col("propagated_delay_seconds").alias("delay"), F.col("missed_connection").alias("missed"), F.lit(None).cast("double").alias("escalation"), "event_time_ms")
+        scores = criticality.criticality_events(criticality.score(rows, network["ranks"]), network["nodes"], "batch", now)
+        midnight = F.unix_millis(F.to_utc_timestamp(F.lit(f"{service_date} 00:00:00"), boards.ZONE))
+        second = batch.sparkSession.range(1).select(F.greatest(F.lit(0), ((F.lit(now) - midnight) / 1000).cast("int"))).first()[0]
+        board = boards.departures(network["trip_times"], network["kinds"], second).join(hit.select(F.col("station_id").alias("station")).distinct(), "station", "left_semi")
+        return {"cascades": hit, "scores": scores, "displays": boards.display_messages(board, network["nodes"], service_date)}
+
+    return outputs
 
-    return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def route_positions(frames: DataFrame, stop_map: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Frames to typed events and dead letters, entered in the ledger batch by batch (see sources.ledger)."""
+    return publish(frames, telemetry(stop_map), path, checkpoint)
 
 
 def window_join_stream(events: DataFrame, window_ms: int = WINDOW_MS, emit_unjoined: bool = True, emit_replaced: bool = True) -> DataFrame:
