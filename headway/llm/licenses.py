@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 
 
 # Known licence sentences, normalised (lower case, runs of other characters than letters and digits as one space).
+# A star is a slot, as for a holder's or a project's name: one to eight words.
 SENTENCES = {
     "mit-name": "released under the mit license",
     "mit-name-2": "licensed under the mit license",
     "mit-name-3": "this project is licensed under the mit license",
+    "mit-name-4": "distributed under the terms of the mit license",
+    "mit-name-5": "released under the mit license by *",
+    "mit-name-6": "* is released under the mit license",
     "mit-head": "mit license",
     "mit-head-2": "the mit license",
     "mit-head-3": "the mit license mit",
@@ -44,6 +48,8 @@ SENTENCES = {
     "gpl3-name": "this work is licensed under the gnu general public license version 3",
     "gpl2-head": "gnu general public license version 2 june 1991",
     "gpl3-head": "gnu general public license version 3 29 june 2007",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "gpl2-only-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -60,7 +66,7 @@ SENTENCES = {
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "mpl-head": "mozilla public license version 2 0",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -87,10 +93,10 @@ SENTENCES = {
 
 # The ordered rules, licence to sequences of sentence identifiers.
 RULES = {
-    "MIT": [["mit-name"], ["mit-name-2"], ["mit-name-3"], ["mit-grant", "mit-notice"], ["mit-head", "mit-grant"], ["mit-head-2", "mit-grant"], ["mit-head-3", "mit-grant"], ["mit-grant", "mit-notice", "as-is"], ["mit-grant", "mit-notice", "as-is", "mit-liable"]],
+    "MIT": [["mit-name"], ["mit-name-2"], ["mit-name-3"], ["mit-name-4"], ["mit-name-5"], ["mit-name-6"], ["mit-grant", "mit-notice"], ["mit-head", "mit-grant"], ["mit-head-2", "mit-grant"], ["mit-head-3", "mit-grant"], ["mit-grant", "mit-notice", "as-is"], ["mit-grant", "mit-notice", "as-is", "mit-liable"]],
     "ISC": [["isc-grant"], ["isc-grant-2"], ["isc-grant", "isc-as-is"], ["isc-grant-2", "isc-as-is"], ["isc-head", "isc-grant", "isc-as-is"]],
     "Apache-2.0": [["apache-name"], ["apache-name-2"], ["apache-name-3"], ["apache-use", "apache-copy"], ["apache-name-2", "apache-use", "apache-copy", "apache-url", "apache-unless", "apache-see"], ["apache-head"], ["apache-head", "apache-terms"], ["apache-head", "apache-url", "apache-terms"]],
-    "GPL-2.0": [["gpl2-name"], ["gpl2-head"], ["gpl2-free"], ["gpl2-free", "gpl-hope"]],
+    "GPL-2.0": [["gpl2-name"], ["gpl2-head"], ["gpl2-free"], ["gpl2-free", "gpl-hope"], ["gpl2-only"], ["gpl2-only", "gpl-hope"], ["gpl2-only-2"], ["gpl2-only-2", "gpl-hope"]],
     "GPL-3.0": [["gpl3-name"], ["gpl3-head"], ["gpl-free"], ["gpl-free", "gpl-hope"]],
     "LGPL-2.1": [["lgpl2-head"], ["lgpl2-free"], ["lgpl2-free", "lgpl-hope"]],
     "LGPL-3.0": [["lgpl3-head"], ["lgpl3-free"], ["lgpl3-free", "lgpl-hope"]],
@@ -114,7 +120,10 @@ for _name, _rules in RULES.items():
         SENTENCES[f"spdx-{_name}{_suffix}".lower()] = re.sub("[^a-z0-9]+", " ", f"spdx license identifier {_name}{_suffix}".lower())
         _rules.append([f"spdx-{_name}{_suffix}".lower()])
 
-BREAK = r"[.!?;](?=\s|$)|\n+"
+SLOT_WORDS = 8
+# Markup around a sentence ends it, as a line does.
+TAG = r"</?[A-Za-z][^<>\n]{0,200}>"
+BREAK = rf"[.!?;](?=\s|$)|\n+|{TAG}"
 # A known sentence may also end or begin at a colon that no small letter follows; it does not count as a place.
 COLON = r":(?=\s+[^\s\p{Ll}]|\s*$)"
 # Every known sentence has one of these; texts without are not cut.
@@ -127,13 +136,25 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
+def words_pattern(words: str, gap: str, word: str) -> str:
+    """A known sentence as a pattern, with gap between its words and one to eight words in a slot."""
+    slot = f"{word}(?:{gap}{word}){{0,{SLOT_WORDS - 1}}}"
+    return gap.join(slot if w == "*" else w for w in words.split(" "))
+
+
 def _known_pattern() -> str:
     """A known sentence from a break to a break, the longest first; between its words there may be breaks, as texts are wrapped."""
     place = rf"{OPEN}\d+{CLOSE}"
-    ways = "|".join(words.replace(" ", f"(?: |{place})") for words in sorted(SENTENCES.values(), key=len, reverse=True))
+    ways = "|".join(words_pattern(words, f"(?: |{place})", f"[^ {OPEN}{CLOSE}]++") for words in sorted(SENTENCES.values(), key=len, reverse=True))
     return f"{place}(?:{ways})(?={OPEN}|$)"
 
 
+def sentence_of(words: Column) -> Column:
+    """The identifier of a sentence with a slot that the words are; NULL if they are none."""
+    slotted = [F.when(words.rlike(f"^{words_pattern(known, ' ', '[^ ]++')}$"), F.lit(k)) for k, known in SENTENCES.items() if "*" in known]
+    return F.coalesce(*slotted)
+
+
 def ranked_rules() -> dict[str, str]:
     """The rules as texts <identifier><identifier>..., those of most sentences first, each with its licence."""
     every = [(len(rule), name, "".join(f"<{s}>" for s in rule)) for name, rules in RULES.items() for rule in rules]
@@ -155,7 +176,8 @@ def known_sentences(documents: DataFrame) -> DataFrame:
     place = F.regexp_extract("m", rf"^{OPEN}(\d+){CLOSE}", 1).cast("int")
     words = F.trim(F.regexp_replace("m", rf"{OPEN}\d+{CLOSE}", " "))
     found = found.select("doc_id", "text_key", place.alias("place"), words.alias("words"))
-    return found.join(F.broadcast(table), "words").select("doc_id", "text_key", "place", "sentence")
+    named = found.join(F.broadcast(table), "words", "left")
+    return named.select("doc_id", "text_key", "place", F.coalesce("sentence", sentence_of(F.col("words"))).alias("sentence"))
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:

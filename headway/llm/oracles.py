@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import SENTENCES, ranked_rules
+from .licenses import SENTENCES, SLOT_WORDS, TAG, ranked_rules
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS = rf"list_filter(string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -36,9 +36,10 @@ SELECT v.vec_id, coalesce(k, 0) AS n_links, c AS component_id, v.vec_id = c AS k
 def _licenses() -> str:
     """Known sentences by place in the joined words of a text: one runs from the start of a piece to the end of a piece."""
     known = ", ".join(f"({i}, '{k}', '{v}', {len(v)})" for i, (k, v) in enumerate(SENTENCES.items()))
+    slots = ", ".join(f"({i}, '{v.partition('*')[0]}', '{v.partition('*')[2]}')" for i, v in enumerate(SENTENCES.values()) if "*" in v)
     rules = ", ".join(f"('{rule}', '{name}')" for rule, name in ranked_rules().items())
-    return rf"""WITH RECURSIVE known(id, sentence, words, n) AS (VALUES {known}), rules(rule, licence) AS (VALUES {rules}),
-parts AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;])(\s|$)', chr(1) || '\2', 'g'), '\x01|\n+') AS p FROM documents WHERE text IS NOT NULL),
+    return rf"""WITH RECURSIVE known(id, sentence, words, n) AS (VALUES {known}), rules(rule, licence) AS (VALUES {rules}), slots(id, head, tail) AS (VALUES {slots}),
+parts AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;])(\s|$)', chr(1) || '\2', 'g'), '\x01|\n+|{TAG}') AS p FROM documents WHERE text IS NOT NULL),
 cut AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS place FROM parts),
 colons AS (SELECT doc_id, place, string_split_regex(regexp_replace(raw, ':(\s+[^\s\p{{Ll}}]|\s*$)', chr(1) || '\1', 'g'), '\x01') AS q FROM cut),
 each AS (SELECT doc_id, place, unnest(q) AS raw, generate_subscripts(q, 1) AS sub FROM colons),
@@ -46,7 +47,12 @@ words AS (SELECT doc_id, place, sub, trim(regexp_replace(lower(raw), '[^\p{{L}}\
 pieces AS (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY place, sub) AS stop FROM words WHERE w <> ''),
 joined AS (SELECT doc_id, string_agg(w, ' ' ORDER BY place, sub) AS t FROM pieces GROUP BY doc_id),
 met AS MATERIALIZED (SELECT p.doc_id, CAST(p.stop - length(p.w) AS BIGINT) AS start, k.n, k.id, CAST(p.place AS BIGINT) AS place FROM pieces p JOIN joined j USING (doc_id) JOIN known k ON substr(j.t, CAST(p.stop - length(p.w) AS BIGINT), k.n) = k.words
-  WHERE EXISTS (SELECT 1 FROM pieces e WHERE e.doc_id = p.doc_id AND e.stop = p.stop - length(p.w) + k.n)),
+  WHERE EXISTS (SELECT 1 FROM pieces e WHERE e.doc_id = p.doc_id AND e.stop = p.stop - length(p.w) + k.n)
+  UNION ALL SELECT doc_id, start, n, id, place FROM (SELECT p.doc_id, CAST(p.stop - length(p.w) AS BIGINT) AS start, CAST(e.stop - p.stop + length(p.w) AS BIGINT) AS n, s.id, CAST(p.place AS BIGINT) AS place, s.head, s.tail,
+      substr(j.t, CAST(p.stop - length(p.w) AS BIGINT), CAST(e.stop - p.stop + length(p.w) AS BIGINT)) AS m
+    FROM joined j JOIN slots s ON contains(j.t, s.tail) JOIN pieces e ON e.doc_id = j.doc_id AND (s.tail = '' OR substr(j.t, CAST(e.stop - length(s.tail) AS BIGINT), length(s.tail)) = s.tail)
+      JOIN pieces p ON p.doc_id = j.doc_id AND p.stop <= e.stop AND substr(j.t, CAST(p.stop - length(p.w) AS BIGINT), length(s.head)) = s.head)
+    WHERE length(m) > length(head) + length(tail) AND starts_with(m, head) AND ends_with(m, tail) AND len(string_split(substr(m, length(head) + 1, length(m) - length(head) - length(tail)), ' ')) <= {SLOT_WORDS}),
 scan(doc_id, start, n, id, place) AS (SELECT * FROM (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start, n DESC) = 1)
   UNION ALL SELECT * FROM (SELECT m.* FROM scan s JOIN met m ON m.doc_id = s.doc_id AND m.start >= s.start + s.n QUALIFY row_number() OVER (PARTITION BY m.doc_id ORDER BY m.start, m.n DESC) = 1)),
 per AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY start) AS s, count(*) AS n, min(place) AS a, max(place) AS b FROM scan JOIN known USING (id) GROUP BY doc_id),

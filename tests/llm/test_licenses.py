@@ -111,3 +111,17 @@ def test_wrapped_texts(spark):
         4: "mit-head mit-grant mit-notice as-is", 5: "all-rights", 6: "mpl-form", 7: "mit-name-3", 8: "mit-head", 9: "all-rights bsd-grant",
     }
     assert [got[k].licenses for k in range(10)] == ["MIT", "BSD", "GPL-3.0", "MIT", "MIT", "", "MPL-2.0", "MIT", "", "BSD"]
+
+
+def test_slots_and_markup(spark):
+    """A holder or project of any name, up to eight words; tags around a sentence; licences that are granted in one version only."""
+    clause = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd3 = lambda holder: "\n".join([GRANT, *KEEP, textwrap.fill("3. " + clause.format(holder), 60), DISCLAIMER])
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License {}as published by the Free Software Foundation{}."
+    texts = {
+        1: (bsd3("the University"), "BSD-3-Clause"), 2: (bsd3("Foo Bar, Inc."), "BSD-3-Clause"), 3: (bsd3(" ".join("abcdefghi")), "BSD-2-Clause"),
+        4: ("<div><p>Licensed under the MIT license</p></div>", "MIT"), 5: ("Released under the MIT license by Foo Inc.\nOther", "MIT"), 6: ("Our\ntool is released under the MIT license.", "MIT"),
+        7: ("Distributed under the terms of the MIT License.", "MIT"), 8: (gpl2.format("version 2 ", ""), "GPL-2.0"), 9: (gpl2.format("", "; version 2 of the License"), "GPL-2.0"), 10: ("a < b licensed under the mit license > c", None),
+    }
+    found = scan_licenses(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string"))
+    assert {r.doc_id: r.licenses for r in found.collect()} == {k: name for k, (_, name) in texts.items() if name}
