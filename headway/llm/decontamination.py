@@ -2,9 +2,9 @@
 
 A window is `size` consecutive item words (an item with fewer words is one window), and stands for
 the set of its word shingles. A document that contains a window contains all its shingles, so one
-shingle is prefix enough: the one that is rarest over all documents, counted first. Only prefix
-shingles are joined with the documents' places. Where one occurs, the window can start at one place
-only; the place must leave the window room in the document, and then the words there are compared.
+shingle is prefix enough: the one that is rarest over all documents. One pass over the documents finds the
+places of all shingles that items have; these are counted, and only those of prefixes are kept. Where one occurs,
+the window can start at one place only; it must leave the window room in the document, and then the words there are compared.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import small
 from .columns import free_names
 from .storage import saved
 
 SHINGLE = 3
-BROADCAST_ROWS = 1_000_000
+ROW = ["doc", "unnamed", "text_key"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -32,11 +33,6 @@ def _shingles(words: Column, k: int) -> Column:
     return F.arrays_zip(*[(words if j == 0 else F.slice(words, j + 1, F.greatest(F.size(words) - j, F.lit(0)))).alias(f"w{j}") for j in range(k)])
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(item_id, window: array of words) of every window of every item with words."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -52,31 +48,31 @@ def _places(docs: DataFrame, k: int) -> DataFrame:
     return place.where(F.col(names[-1]).isNotNull()).withColumn("key", F.xxhash64(*names))
 
 
-def _rarity(docs: DataFrame, shingles: DataFrame, k: int, n: int) -> DataFrame:
-    """(key, n): how often each shingle of k words of the items occurs in the documents; those that never occur are left out."""
+def _met(docs: DataFrame, shingles: DataFrame, k: int) -> DataFrame:
+    """(doc, unnamed, text_key, n_words, pos, key, k) wherever a document has a shingle of k words that an item has, up to collisions of hashes.
+
+    Only the items' keys are sent to the documents, where they are small; else the places are joined by key, and
+    a key with many places is split like any skewed one.
+    """
     wanted = shingles.where(F.size("shingle_words") == k).select("key").distinct()
-    return _places(docs.select("words"), k).select("key").join(_bounded(wanted, n), "key").groupBy("key").agg(F.count("*").alias("n"))
+    return _places(docs, k).select(*ROW, "n_words", "pos", "key").join(small(wanted), "key").withColumn("k", F.lit(k))
 
 
-def _hits(docs: DataFrame, prefixes: DataFrame, k: int, n: int) -> DataFrame:
-    """(doc, unnamed, text_key, name, start, length) wherever a document holds a whole window whose prefix has k words.
+def _hits(documents: DataFrame, met: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, unnamed, text_key, name, start, length) wherever a document(.., text) holds a whole window.
 
-    Prefixes within the bound are broadcast and the words compared at once; beyond it only places travel, and the
-    documents' words are joined to what is left of them.
+    A window's prefix is its shingle with the fewest places. Of the places, those of prefixes are left; each allows the
+    window one start, where there must be room. Only the texts with such a start are cut into words again, and compared.
     """
-    row = ["doc", "unnamed", "text_key"]
-    wanted = prefixes.where(F.size("shingle_words") == k).select("key", "name", "offset", "length", *[F.col("shingle_words")[j].alias(f"v{j}") for j in range(k)])
-    room = (F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))
+    rarity = met.groupBy("k", "key").agg(F.count("*").alias("n"))
+    rare = parts.withColumn("k", F.size("shingle_words")).join(rarity, ["k", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    prefixes = rare.groupBy("name").agg(F.min_by(F.struct("k", "key", "offset", "length", "n"), F.struct("n", "key", "offset")).alias("p"))
+    prefixes = saved(prefixes.select("name", "p.*").where("n > 0").drop("n"), "prefixes")
+    at = met.join(small(prefixes), ["k", "key"]).withColumn("start", F.col("pos") - F.col("offset"))
+    at = saved(at.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))).select(*ROW, "name", "start", "length").distinct(), "starts")
+    texts = documents.join(small(at.select(*ROW).distinct()), ROW, "left_semi").select(*ROW, words_of(F.col("text")).alias("words"))
     whole = F.array_join(F.slice("words", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), " ") == F.col("name")
-    bounded = n <= BROADCAST_ROWS
-    places = _places(docs, k) if bounded else _places(docs, k).drop("words")
-    same = places.key == wanted.key
-    for j in range(k):
-        same &= places[f"w{j}"] == wanted[f"v{j}"]
-    met = places.join(_bounded(wanted, n), same).withColumn("start", F.col("pos") - F.col("offset")).where(room)
-    if not bounded:
-        met = met.select(*row, "name", "start", "length").join(docs.select(*row, "words"), row)
-    return met.where(whole).select(*row, "name", "start", "length")
+    return at.join(texts, ROW).where(whole).select(*ROW, "name", "start", "length").distinct()
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
@@ -95,36 +91,27 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     parts = parts.select("name", "length", F.col("part.offset").cast("long").alias("offset"), F.col("part.words").alias("shingle_words"))
     keys = F.when(F.size("shingle_words") == 1, F.xxhash64(F.col("shingle_words")[0])).when(F.size("shingle_words") == 2, F.xxhash64(F.col("shingle_words")[0], F.col("shingle_words")[1])).otherwise(F.xxhash64(*[F.get("shingle_words", F.lit(j)) for j in range(SHINGLE)]))
     parts = saved(parts.withColumn("key", keys), "parts")
-    sizes = {r.k: r.n for r in parts.groupBy(F.size("shingle_words").alias("k")).agg(F.count("*").alias("n")).collect()}
+    sizes = sorted(r.k for r in parts.select(F.size("shingle_words").alias("k")).distinct().collect())
 
-    row = ["doc", "unnamed", "text_key"]
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").cast("long").isNull().alias("unnamed"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")]
     docs = documents.select(*key, words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     rows = docs.select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id"), "text_key", "n_words")
-    rarity = hits = None
-    for k, n in sorted(sizes.items()):
-        counted = _rarity(docs, parts, k, n).withColumn("k", F.lit(k))
-        rarity = counted if rarity is None else rarity.union(counted)
-    if rarity is not None:
-        rarity = saved(rarity, "rarity").select("k", "key", F.col("n").alias("n"))
-        rare = parts.withColumn("k", F.size("shingle_words")).join(rarity, ["k", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        prefixes = rare.groupBy("name").agg(F.min_by(F.struct("key", "shingle_words", "offset", "length", "n"), F.struct("n", "key", "offset")).alias("p"))
-        prefixes = saved(prefixes.select("name", "p.*").where("n > 0").drop("n"), "prefixes")
-        left = {r.k: r.n for r in prefixes.groupBy(F.size("shingle_words").alias("k")).agg(F.count("*").alias("n")).collect()}
-        for k, n in sorted(left.items()):
-            found = _hits(docs, prefixes, k, n)
-            hits = found if hits is None else hits.union(found)
+    met = None
+    for k in sizes:
+        found = _met(docs, parts, k)
+        met = found if met is None else met.unionByName(found)
     none = documents.sparkSession.createDataFrame([], "doc long, unnamed boolean, text_key long, name string, start long, length long")
-    hits = saved(none if hits is None else hits.distinct(), "hits")
+    hits = none if met is None else _hits(documents.select(*key, "text"), saved(met, "met"), parts)
+    hits = saved(hits, "hits")
 
-    spans = hits.select(*row, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-    before = F.max("end").over(Window.partitionBy(*row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select(*ROW, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    before = F.max("end").over(Window.partitionBy(*ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("new", F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0).cast("long"))), F.lit(0)))
-    covered = covered.groupBy(*row).agg(F.sum("new").alias("n_hit"))
+    covered = covered.groupBy(*ROW).agg(F.sum("new").alias("n_hit"))
     names = windows.select("name", "item_id").distinct()
-    items = hits.select(*row, "name").distinct().join(names, "name").select(*row, "item_id").distinct()
-    items = items.groupBy(*row).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    found = covered.join(items, row, "left").withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc"))).drop("doc", "unnamed")
+    items = hits.select(*ROW, "name").distinct().join(names, "name").select(*ROW, "item_id").distinct()
+    items = items.groupBy(*ROW).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    found = covered.join(items, ROW, "left").withColumn("doc_id", F.when(~F.col("unnamed"), F.col("doc"))).drop("doc", "unnamed")
     out = rows.alias("r").join(found.alias("f"), (F.col("r.text_key") == F.col("f.text_key")) & F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
     none = F.array().cast("array<string>")
     hit = F.coalesce("f.n_hit", F.lit(0)).cast("long")
@@ -143,4 +130,4 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, size: int = 10)
     a, b = free_names(["hit doc_id", "hit text_key"], documents.columns)
     hit = hit.toDF(a, b)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"`{a}`")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(f"`{b}`"))
-    return documents.join(_bounded(hit, hit.count()), same, "left_anti")
+    return documents.join(small(hit), same, "left_anti")

@@ -33,7 +33,7 @@ def brute(docs, items, size=10):
 
 @pytest.mark.parametrize("bound", [1_000_000, 0])
 def test_against_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(decontamination, "small", (lambda df: df) if bound == 0 else decontamination.small)
     rng = random.Random(8)
     vocabulary = ["the", "of", "Été", "É", "zu", "9a"] + [f"v{k}" for k in range(25)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 9, 10, 11, 25])))) for k in range(25)] + [(100, None), (101, "..."), (102, "a a a a a a a a a a a a"), (None, "unnamed " * 10), (7, "the of the of the of the of the of zu")]
