@@ -4,25 +4,51 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 16 << 20
 _OWN: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one where unset) and read back: cuts the lineage of a loop."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a new temporary one where it is unset (local runs and tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         app = spark.sparkContext.applicationId
         folder = _OWN.setdefault(app, _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="spark-headway-"))
-    path = f"{folder.rstrip('/')}/headway/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to; see scratch for when it goes."""
+    path = f"{shared_folder(spark)}/headway/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage of a loop, and outlives any executor."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what saved wrote within the block when the block ends: for jobs that end in it, such as a stream's batch."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import saved, small
+from ..functions.tables import fresh_path, saved, small
 from ..operators import boards, cascade, criticality, forecast, graph, journeys, network
-from ..sources import frames
+from ..sources import feed, frames
 from . import derived as d
 
 HOUR = 3600
@@ -70,8 +70,16 @@ def stop_map(spark, sf_dir):
     return network.stop_map(s.select(F.col("s_name").alias("stop_id"), F.col("s_nationkey").alias("station")))
 
 
+def _feed(spark, sf_dir):
+    """The feed's tables, written as CSV files and read from them."""
+    tables, folder = d.feed(spark, sf_dir), fresh_path(spark, "feed")
+    walks = tables.pop("transfers")  # its order is a column of its own here
+    feed.write_folder(tables, folder)
+    return {name: feed.read_table(spark, folder, name) for name in tables} | {"transfers": walks}
+
+
 def _timetable(spark, sf_dir, types=network.RAIL):
-    f = d.feed(spark, sf_dir)
+    f = _feed(spark, sf_dir)
     return network.timetable(f["stops"], f["routes"], f["trips"], f["stop_times"], types)
 
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .zipped import ZippedFeed
+
 COLUMNS = {
     "stops": ["stop_id", "stop_name", "stop_lat", "stop_lon", "location_type", "parent_station"],
     "routes": ["route_id", "route_short_name", "route_long_name", "route_type"],
@@ -42,19 +38,14 @@ def read_table(spark: SparkSession, location: str, table: str) -> DataFrame:
 
 
 def _from_zip(spark: SparkSession, location: str, table: str) -> DataFrame:
-    """A member of a zip file, at its top or in a folder; one task a zip file."""
-    columns = COLUMNS[table]
-
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    held = [name for name in z.namelist() if name.rsplit("/", 1)[-1] == f"{table}.txt"]
-                    if not held and table not in OPTIONAL:
-                        raise FileNotFoundError(f"{table}.txt is not in {location}")
-                    for name in held:
-                        rows = csv.DictReader(io.TextIOWrapper(z.open(name), "utf-8-sig"), skipinitialspace=True)
-                        rows = [[(r.get(c) or "").strip() or None for c in columns] for r in ({(k or "").strip(): v for k, v in x.items()} for x in rows)]
-                        yield pd.DataFrame(rows, columns=columns)
-
-    return spark.read.format("binaryFile").load(location).select("content").mapInPandas(members, ", ".join(f"{c} string" for c in columns))
+    """A member of a zip file, at its top or in a folder; a task a member, see sources.zipped."""
+    spark.dataSource.register(ZippedFeed)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"path": location, "table": table, "columns": ",".join(COLUMNS[table]), "optional": str(table in OPTIONAL).lower()}
+    return spark.read.format("zipped_feed").options(**options).load()
+
+
+def write_folder(tables: dict[str, DataFrame], location: str) -> None:
+    """Writes tables as a feed folder that read_table reads."""
+    for name, rows in tables.items():
+        rows.select([c for c in COLUMNS[name] if c in rows.columns]).write.csv(f"{location}/{name}.txt", header=True, escape='"')

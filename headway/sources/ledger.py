@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..functions.tables import scratch
+
 LEDGER = "_ledger"
 
 
@@ -40,7 +42,8 @@ def publish(stream: DataFrame, outputs: Callable[[DataFrame, int], dict[str, Dat
         now = int(batch.sparkSession.sql("select unix_millis(current_timestamp())").first()[0])
         batch = batch.persist()
         try:
-            write_batch(outputs(batch, now), path, batch_id)
+            with scratch(batch.sparkSession):
+                write_batch(outputs(batch, now), path, batch_id)
         finally:
             batch.unpersist()
 

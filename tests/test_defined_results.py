@@ -50,3 +50,28 @@ def test_zip_without_a_member(spark, tmp_path):
     assert feed.read_table(spark, path, "stops").count() == 1 and feed.read_table(spark, path, "shapes").count() == 0
     with pytest.raises(Exception, match="trips.txt is not in"):
         feed.read_table(spark, path, "trips").collect()
+
+
+def test_a_large_member_is_read_in_batches(spark, tmp_path):
+    """Columns in another order, blank and missing values, quotes, and a filter that the source applies itself."""
+    path = str(tmp_path / "feed.zip")
+    lines = ["stop_name, stop_id,zone\r\n", '"A, ""b""",S0,1\r\n', ",S1\r\n"] + [f"N{k},S{k}\r\n" for k in range(2, 45_000)]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("in/side/stops.txt", "\ufeff" + "".join(lines))
+    stops = feed.read_table(spark, path, "stops")
+    assert stops.count() == 45_000 and stops.columns == feed.COLUMNS["stops"]
+    few = stops.where("stop_id in ('S0', 'S1', 'S44999')")
+    assert sorted((r.stop_id, r.stop_name, r.parent_station) for r in few.collect()) == [("S0", 'A, "b"', None), ("S1", None, None), ("S44999", "N44999", None)]
+
+
+def test_scratch_goes_with_its_block(spark):
+    from headway.functions.tables import saved, scratch
+
+    kept = saved(spark.range(3))
+    with scratch(spark):
+        inner = saved(spark.range(4))
+        assert inner.count() == 4
+        path = inner.inputFiles()[0]
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(path).count()
