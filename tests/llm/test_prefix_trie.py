@@ -103,3 +103,22 @@ def test_lists_of_random_order_are_ranked(spark):
 def test_the_whole_table(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     assert found(conversation_trie(table)) == brute([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("partitions", [5, 23])
+def test_what_blocks_hand_on(spark, partitions):
+    """The same over many blocks, so that conversations, families and counts run on from one to the next."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(partitions)
+        rows = [(c, k, "user", rng.choice(["a", "b"]) if k > 1 else "a") for c in range(40) for k in range(rng.randint(1, 6))] + [(41, k, "user", "long" if k % 3 else "a") for k in range(400)] + [(k, 0, "user", "other") for k in range(42, 300)]
+        assert found(conversation_trie(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), block=64)) == brute(rows)
+        if partitions == 5:
+            table = spark.read.parquet(f"{SF}/conversations.parquet")
+            assert found(conversation_trie(table)) == brute([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
