@@ -40,6 +40,7 @@ OTHER = "o"
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 PREFIXES = (4, 5, 6)
+TOGETHER = 256
 
 
 ARCS = ["threat", "target", "negation", "report"]
@@ -288,6 +289,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, sample: int = 3000) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexer = Lexer(terms)
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at).to_pylist(), lexer, model) < 0.5))
+            for part in (batch.slice(k, TOGETHER) for k in range(0, batch.num_rows, TOGETHER)):  # few texts at a time as Python strings
+                yield part.filter(pa.array(_scores(part.column(at).to_pylist(), lexer, model) < 0.5))
 
     return documents.mapInArrow(run, documents.schema)
