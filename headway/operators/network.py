@@ -94,12 +94,17 @@ def transfers(feed: DataFrame, stops: DataFrame, seen: DataFrame, slack: int = T
     return rows.groupBy("src", "dst").agg(F.max_by("min_sec", "row_no").alias("min_sec")).withColumn("slack_sec", F.lit(slack))
 
 
-def patterns(calls: DataFrame, order: tuple[str, ...] = ("seq",)) -> tuple[DataFrame, DataFrame]:
-    """(patterns, trip_times): trips of one line with the same stations in the same order form a pattern; its trips are numbered by first departure."""
+def trip_stops(calls: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """(trip_id, line, stops) of trips of two calls or more, stops being (pos, station, arr, dep) in order."""
     number = F.row_number().over(Window.partitionBy("trip_id").orderBy(*order)) - 1
     placed = calls.select("trip_id", "line", number.alias("pos"), "station", "arr", "dep")
     stops = F.array_sort(F.collect_list(F.struct("pos", "station", "arr", "dep")))
-    trips = placed.groupBy("trip_id", "line").agg(stops.alias("stops")).where(F.size("stops") > 1)
+    return placed.groupBy("trip_id", "line").agg(stops.alias("stops")).where(F.size("stops") > 1)
+
+
+def patterns(calls: DataFrame, order: tuple[str, ...] = ("seq",)) -> tuple[DataFrame, DataFrame]:
+    """(patterns, trip_times): trips of one line with the same stations in the same order form a pattern; its trips are numbered by first departure."""
+    trips = trip_stops(calls, order)
     key = F.sha2(F.concat_ws(",", F.col("line"), F.transform("stops", lambda s: s["station"].cast("string"))), 256)
     trips = trips.select("trip_id", "line", key.alias("pattern_id"), "stops", F.col("stops")[0]["dep"].alias("dep0"))
     trips = trips.withColumn("trip_no", F.row_number().over(Window.partitionBy("pattern_id").orderBy("dep0", "trip_id")) - 1)
