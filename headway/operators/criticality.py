@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import content_id
-from ..functions.scans import in_blocks, last_before
+from ..functions.scans import in_blocks, last_before, sum_up_to
 from ..functions.tables import saved
 
 WINDOW_MS = 60_000
@@ -55,6 +55,33 @@ def interval_join(cascades: DataFrame, predictions: DataFrame, window_ms: int =
     return pairs.unionByName(alone.withColumn("lag_ms", F.lit(-1).cast("long")), allowMissingColumns=True)
 
 
+def interval_totals(cascades: DataFrame, predictions: DataFrame, window_ms: int = WINDOW_MS, parts: int | None = None) -> DataFrame:
+    """(station, event_time_ms, cascades, pairs, lag_ms): for each time of a station's cascades, their number, and how many
+    predictions interval_join pairs each of them with, and the sum of the lags; no pair is made.
+
+    Predictions are counted and their times added up along time (segmented scans, parts blocks in all); a cascade takes
+    the differences between its window's ends. Work grows with the events, not with the pairs.
+    """
+    start = predictions.agg(F.min("event_time_ms")).first()[0] or 0
+    t = (F.col("event_time_ms") - F.lit(start)).cast("decimal(20,0)")
+    at = cascades.groupBy("station", "event_time_ms").agg(F.count("*").alias("cascades"))
+    seen = predictions.where("station is not null and event_time_ms is not null").groupBy("station", F.col("event_time_ms").alias("at")).agg(F.count("*").alias("n"), F.sum(t).alias("total"))
+    none = [F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(30,0)").alias("total")]
+    # a window begins after all before it, and its middle and end follow what happens at their time
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("end"), (F.col("event_time_ms") + shift).alias("at")) for k, shift in enumerate((-window_ms - 1, 0, window_ms))]))
+    asked = at.where("station is not null and event_time_ms is not null").select("station", "event_time_ms", "cascades", ends.alias("e")).select("station", F.col("e.at").alias("at"), F.col("e.end").alias("end"), "event_time_ms", "cascades", *none)
+    known = seen.select("station", "at", F.lit(-1).alias("end"), F.lit(None).cast("long").alias("event_time_ms"), F.lit(None).cast("long").alias("cascades"), "n", F.col("total").cast("decimal(30,0)").alias("total"))
+    order = ("at", "end", "event_time_ms")
+    rows = in_blocks(asked.unionByName(known), "station", *order, parts=parts)
+    rows = sum_up_to(sum_up_to(rows, F.col("n"), "upto", "station", *order), F.col("total"), "added", "station", *order).where("end >= 0")
+    pick = lambda c, k: F.max(F.when(F.col("end") == k, F.col(c)))
+    each = rows.groupBy("station", "event_time_ms").agg(F.max("cascades").alias("cascades"), *[pick(c, k).alias(f"{c}{k}") for c in ("upto", "added") for k in range(3)])
+    lag = t * (2 * F.col("upto1") - F.col("upto0") - F.col("upto2")) - (2 * F.col("added1") - F.col("added0") - F.col("added2"))
+    found = each.select("station", "event_time_ms", "cascades", (F.col("upto2") - F.col("upto0")).alias("pairs"), lag.cast("long").alias("lag_ms"))
+    lost = at.where("station is null or event_time_ms is null").select("*", F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("lag_ms"))
+    return found.union(lost)
+
+
 def score(rows: DataFrame, ranks: DataFrame, weights: tuple[float, float, float] = (W_DELAY, W_MISSED, W_ESCALATE), gain: float = BETA_GAIN, divisor: float = 60.0) -> DataFrame:
     """Adds t_impact, p_miss, i_escalate, v_context, beta_hub and total to rows(station, delay, missed, escalation)."""
     top = ranks.agg(F.max("pagerank").alias("top"))
