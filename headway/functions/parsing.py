@@ -128,10 +128,10 @@ def enum_of(name: str, text: Column) -> Column:
 
 def clock_seconds(text: Column) -> Column:
     """H:MM[:SS] as second of day, past 24 h too; NULL if malformed."""
-    parts = F.split(F.trim(text), ":")
-    number = lambda k: F.try_element_at(parts, F.lit(k)).try_cast("int")
-    whole = number(1) * 3600 + number(2) * 60 + F.when(F.size(parts) > 2, number(3)).otherwise(F.lit(0))
-    return F.when(F.size(parts).between(2, 3), whole)
+    number = lambda parts, k: F.try_element_at(parts, F.lit(k)).try_cast("int")
+    whole = lambda parts: number(parts, 1) * 3600 + number(parts, 2) * 60 + F.when(F.size(parts) > 2, number(parts, 3)).otherwise(F.lit(0))
+    # a lambda's argument is split once, however often it is used
+    return F.get(F.transform(F.array(F.split(F.trim(text), ":")), lambda parts: F.when(F.size(parts).between(2, 3), whole(parts))), 0)
 
 
 def content_id(*columns: str) -> Column:

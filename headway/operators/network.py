@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +47,9 @@ def timetable(stops: DataFrame, routes: DataFrame, trips: DataFrame, stop_times:
     kept = trips.join(small(kept_routes(routes, types, lines)), "route_id").select("trip_id", "line", "shape_id")
     calls = stop_times.join(small(kept), "trip_id")
     calls = calls.select("trip_id", "line", "shape_id", "stop_id", F.col("stop_sequence").try_cast("int").alias("seq"), clock_seconds(F.col("arrival_time")).alias("arr"), clock_seconds(F.col("departure_time")).alias("dep"))
-    at = calls.join(small(station_of_stop(stops)), "stop_id", "left")
-    at = at.select("trip_id", "line", "shape_id", F.coalesce("station_stop", "stop_id").alias("stop_id"), "seq", "arr", "dep", F.coalesce("name", "stop_id").alias("name"), F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"))
-    return fill_times(at)
+    # filled while the calls still lie by trip: a large table of stops deals them anew
+    at = fill_times(calls).join(small(station_of_stop(stops)), "stop_id", "left")
+    return at.select("trip_id", "line", "shape_id", F.coalesce("station_stop", "stop_id").alias("stop_id"), "seq", "arr", "dep", F.coalesce("name", "stop_id").alias("name"), F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"))
 
 
 def stations(calls: DataFrame) -> DataFrame:
@@ -118,6 +118,49 @@ def pattern_stops(times: DataFrame) -> DataFrame:
     return times.where("trip_no = 0").select("pattern_id", "pos", "station")
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the shapes of a batch together, one stop of each at a time; see geometry."""
+    for batch in batches:
+        column = {name: batch.column(name) for name in batch.schema.names}
+        flat = lambda name: column[name].flatten().to_numpy(zero_copy_only=False)
+        first = lambda name: np.asarray(column[name].offsets)[:-1].astype(np.int64) - column[name].offsets[0].as_py()
+        size = lambda name: np.diff(np.asarray(column[name].offsets).astype(np.int64))
+        s0, sn, p0, pn = first("s_lon"), size("s_lon"), first("p_lon"), size("p_lon")
+        at, line, station = np.stack([flat("s_lon"), flat("s_lat")], 1), np.stack([flat("p_lon"), flat("p_lat")], 1).astype(float), flat("s_station")
+        gap = lambda p, q: ((p - q) ** 2).sum(axis=1)
+        a, z, head, tail = at[s0], at[s0 + sn - 1], line[p0], line[p0 + pn - 1]
+        turned = gap(tail, a) + gap(head, z) < gap(head, a) + gap(tail, z)
+        order = _spans(p0, pn)
+        within = order - np.repeat(p0, pn)
+        line = line[np.where(np.repeat(turned, pn), np.repeat(p0 + pn - 1, pn) - within, order)]
+        low, out = np.zeros(len(s0), np.int64), []
+        for k in range(int(sn.max(initial=0))):
+            here = np.flatnonzero(sn > k)
+            sizes = pn[here] - low[here]
+            begin = np.cumsum(sizes) - sizes
+            index = _spans(p0[here] + low[here], sizes)
+            away = gap(line[index], np.repeat(at[s0[here] + k], sizes, axis=0))
+            hit = np.flatnonzero(away == np.repeat(np.minimum.reduceat(away, begin), sizes))
+            owner, firsts = np.unique(np.searchsorted(begin, hit, "right") - 1, return_index=True)
+            now = low.copy()
+            now[here[owner]] += hit[firsts] - begin[owner]
+            if k:
+                long = here[now[here] > low[here]]
+                out.append((long, np.full(len(long), k - 1), low[long], now[long] - low[long] + 1))
+            low = now
+        shape, place, start, points = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 4))
+        path = line[_spans(p0[shape] + start, points)] if len(shape) else line[:0]
+        values = pa.StructArray.from_arrays([pa.array(path[:, 0]), pa.array(path[:, 1])], ["lon", "lat"])
+        paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(points)]).astype(np.int32)), values)
+        ends = [pa.array(station[s0[shape] + place + k].astype(np.int32)) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([column["shape_id"].take(pa.array(shape)), pa.array(place.astype(np.int32)), *ends, paths], ["shape_id", "place", "src", "dst", "path"])
+
+
 def geometry(calls: DataFrame, shapes: DataFrame) -> DataFrame:
     """(src, dst, path) from the shapes that trips use: each shape is turned to its trip's direction and cut between stops.
 
@@ -129,25 +172,8 @@ def geometry(calls: DataFrame, shapes: DataFrame) -> DataFrame:
     point = F.struct(F.col("shape_pt_sequence").try_cast("int").alias("n"), F.col("shape_pt_lon").try_cast("double").alias("lon"), F.col("shape_pt_lat").try_cast("double").alias("lat"))
     lines = shapes.join(small(first.select("shape_id")), "shape_id", "left_semi").groupBy("shape_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for shape, calls_, points in zip(frame["shape_id"], frame["stops"], frame["points"], strict=True):
-                line, at = np.array([[p["lon"], p["lat"]] for p in points]), np.array([[s["lon"], s["lat"]] for s in calls_])
-                gap = lambda p, q: ((p - q) ** 2).sum()
-                if gap(line[-1], at[0]) + gap(line[0], at[-1]) < gap(line[0], at[0]) + gap(line[-1], at[-1]):
-                    line = line[::-1]
-                places, low = [], 0
-                for p in at:
-                    low += int(((line[low:] - p) ** 2).sum(axis=1).argmin())
-                    places.append(low)
-                for k in range(len(at) - 1):
-                    piece = line[places[k] : places[k + 1] + 1]
-                    if len(piece) > 1:
-                        rows.append((shape, k, calls_[k]["station"], calls_[k + 1]["station"], [{"lon": float(x), "lat": float(y)} for x, y in piece]))
-            yield pd.DataFrame(rows, columns=["shape_id", "place", "src", "dst", "path"])
-
-    pieces = stops.join(lines, "shape_id").mapInPandas(cut, "shape_id string, place int, src int, dst int, path array<struct<lon:double,lat:double>>")
+    columns = [F.col(f"{c}.{name}").alias(f"{c[0]}_{name}") for c, name in (("stops", "station"), ("stops", "lon"), ("stops", "lat"), ("points", "lon"), ("points", "lat"))]
+    pieces = stops.join(lines, "shape_id").select("shape_id", *columns).mapInArrow(_pieces, "shape_id string, place int, src int, dst int, path array<struct<lon:double,lat:double>>")
     return pieces.groupBy("src", "dst").agg(F.min_by("path", F.struct("shape_id", "place")).alias("path"))
 
 

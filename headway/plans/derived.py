@@ -59,7 +59,8 @@ def feed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     trips = orders.select(F.concat(F.lit("R"), line).alias("route_id"), F.col("o_orderkey").cast("string").alias("trip_id"), text("H", "o_orderkey").alias("shape_id"))
     rows = calls(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("trip_id").orderBy(*ORDER)))
     n = F.col("l_linenumber")
-    clock = lambda t: F.format_string("%d:%02d:%02d", F.floor(t / 3600), F.floor(t / 60) % 60, t % 60)
+    digits = lambda x: F.when(F.length(x.cast("string")) < 2, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
+    clock = lambda t: F.concat_ws(":", F.floor(t / 3600).cast("string"), digits(F.floor(t / 60) % 60), digits(t % 60))
     stop_times = rows.select(
         F.col("trip_id").cast("string").alias("trip_id"), F.when((n % 5 != 0) & (n % 7 != 0), clock(F.col("arr").cast("long") * 60)).alias("arrival_time"), F.when((n % 3 != 0) & (n % 7 != 0), clock(F.col("arr").cast("long") * 60 + n % 4 * 30)).alias("departure_time"),
         text("S", "l_suppkey").alias("stop_id"), F.col("seq").cast("string").alias("stop_sequence"),
